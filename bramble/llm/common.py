@@ -111,12 +111,12 @@ class Rolling:
             have = self._powers[base] = (np.cumprod(up), np.cumprod(down))
         return have
 
-    def words(self, data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, data: np.ndarray, offsets: np.ndarray, lower: bool, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, byte starts, byte ends, index of each row's first word, one more at the end)."""
         if not len(data):
             none = np.zeros(0, np.int64)
             return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-        inside = ~_GAP[data]
+        inside = ~gap[data]
         begins, ends = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         ends[:-1] &= ~inside[1:]
@@ -156,6 +156,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 _CAPITAL_OR_SMALL = np.zeros(256, bool)
 _CAPITAL_OR_SMALL[65:91] = _CAPITAL_OR_SMALL[97:123] = True
+#: Bytes of signs and space: what is left are ASCII letters and digits and all of other scripts.
+SIGNS = np.ones(256, bool)
+SIGNS[128:] = SIGNS[48:58] = SIGNS[65:91] = SIGNS[97:123] = False
 #: ASCII signs before which a word may be cut; not the apostrophe, which begins pre-tokens such as 's.
 _SIGN = np.zeros(256, bool)
 _SIGN[[33, 35, 36, 37, 38, 41, 42, 44, 46, 58, 59, 63, 93, 124, 125]] = True

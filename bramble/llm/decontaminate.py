@@ -5,9 +5,10 @@ Weights are divided by the item's own threshold, so "above threshold" is a score
 a window of `passage` words, one every `stride`; an item of up to `stride` words lies whole within a passage wherever it
 stands, and a longer one's threshold falls to the share that a passage must hold of it.
 
-A passage whose distinct terms can't reach 1 with the largest weights of their lists is dropped (for all passages of a
-block of text at once, in numpy); the others run block-max WAND: lists advance to the pivot whose list maxima reach 1,
-and past whole blocks whose maxima don't. Everything that reaches 1 is retrieved, there is no top-k. A retrieved pair
+Words are runs of letters and digits, so signs stuck to a word don't hide it. A passage is dropped for a range of items
+if its distinct terms can't reach 1 with their largest weights in that range (for all passages and ranges of a block of
+text at once, in numpy); what is left runs block-max WAND on the range: lists advance to the pivot whose list maxima
+reach 1, and past whole blocks whose maxima don't. Everything that reaches 1 is retrieved, there is no top-k. A retrieved pair
 counts if the text around the passage holds at least `overlap` percent of the five-word shingles of both the item's
 question and its answer (the last sentence, or the last third of the words if there is one sentence only).
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, blocks, total_chars, ways, written
+from .common import SIGNS, Rolling, blocks, total_chars, ways, written
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,8 @@ class Rule:
     k1: float = 1.2
     b: float = 0.75
     posting_block: int = 32
-    shard_chars: int = 10_000_000
+    ranges: int = 64
+    shard_chars: int = 4_000_000
 
 
 _HASHER = Rolling(31)
@@ -60,7 +62,7 @@ def parts(text: str) -> tuple[str, str]:
 def _hash(texts: list[str]) -> list[np.ndarray]:
     out = []
     for first, end, data, offsets in blocks(pa.array(texts, pa.string())):
-        words, _, _, row = _HASHER.words(data, offsets, lower=True)
+        words, _, _, row = _HASHER.words(data, offsets, lower=True, gap=SIGNS)
         out += [words[row[k] : row[k + 1]] for k in range(end - first)]
     return out
 
@@ -98,19 +100,23 @@ class Index:
             w = [weight[t, k] / threshold[k] for k in at]
             size = rule.posting_block
             self.lists.append((at, w, max(w), [max(w[i : i + size]) for i in range(0, len(w), size)]))
-        self.most = np.array([x[2] for x in self.lists])
+        #: The largest weight of each term in each range of items.
+        self.range = max(1, -(-len(items) // rule.ranges))
+        self.most = np.zeros((len(self.lists), -(-len(items) // self.range)), np.float32)
+        for t, (at, w, _, _) in enumerate(self.lists):
+            np.maximum.at(self.most[t], np.array(at) // self.range, np.array(w, np.float32))
 
     def term_of(self, words: np.ndarray) -> np.ndarray:
         """The number of each word's term, -1 for words of no item."""
         at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
         return np.where(self.terms[at] == words, at, -1)
 
-    def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
-        """Every item with a score of 1 or more for these distinct terms, by block-max WAND."""
-        size, end = self.rule.posting_block, len(self.item_ids)
+    def retrieve(self, terms: list[int], first: int = 0, end: int | None = None) -> list[tuple[int, float]]:
+        """Every item of first..end-1 with a score of 1 or more for these distinct terms, by block-max WAND."""
+        size, end = self.rule.posting_block, len(self.item_ids) if end is None else min(end, len(self.item_ids))
         lists = [self.lists[t] for t in terms]
-        at = [0] * len(lists)
-        head = [x[0][0] for x in lists]
+        at = [bisect_left(x[0], first) for x in lists]
+        head = [x[0][k] if k < len(x[0]) else end for x, k in zip(lists, at, strict=True)]
         out = []
         near = 1 - 1e-9
         while True:
@@ -160,12 +166,28 @@ def _overlap(part: np.ndarray, size: int, region: np.ndarray) -> float:
     return 100.0 * float(np.isin(part, _HASHER.runs(region, size)).sum()) / len(part)
 
 
+def _above(index: Index, pairs: np.ndarray, passage: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(passage, item, score) of all that reach 1; pairs: passage * number of terms + term, sorted."""
+    n_terms = len(index.terms)
+    starts = np.flatnonzero(np.diff(passage, prepend=-1))
+    step = max(1, 4_000_000 // index.most.shape[1] // max(1, len(pairs) // max(1, len(starts))))
+    for k in range(0, len(starts), step):
+        own = starts[k : k + step]
+        end = int(starts[k + step]) if k + step < len(starts) else len(pairs)
+        some = pairs[own[0] : end] % n_terms
+        bound = np.add.reduceat(index.most[some], own - own[0], axis=0)
+        for j, r in np.argwhere(bound >= 1 - 1e-5):
+            a, b = int(own[j]), int(own[j + 1]) if j + 1 < len(own) else end
+            for item, score in index.retrieve((pairs[a:b] % n_terms).tolist(), r * index.range, (r + 1) * index.range):
+                yield int(passage[a]), item, score
+
+
 def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     rule, n_terms = index.rule, len(index.terms)
     for batch in batches:
         rows = []
         for first, end, data, offsets in blocks(batch.column(1)):
-            words, _, _, row = _HASHER.words(data, offsets, lower=True)
+            words, _, _, row = _HASHER.words(data, offsets, lower=True, gap=SIGNS)
             if not len(words) or not n_terms:
                 continue
             # Strides are numbered through the block of text; passage p is stride p and the next one of the same text.
@@ -180,19 +202,16 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Reco
             before = s > base[o]
             pairs = np.unique(np.concatenate((s * n_terms + t, (s[before] - 1) * n_terms + t[before])))
             passage = pairs // n_terms
-            bound = np.bincount(passage, weights=index.most[pairs % n_terms], minlength=int(base[-1]))
-            for p in np.flatnonzero(bound >= 1 - 1e-9).tolist():
-                a, b = np.searchsorted(pairs, [p * n_terms, (p + 1) * n_terms])
-                for item, score in index.retrieve((pairs[a:b] % n_terms).tolist()):
-                    k = int(np.searchsorted(base, p, "right")) - 1
-                    at = int(row[k]) + (p - int(base[k])) * rule.stride
-                    longest = index.lengths[item]
-                    region = words[max(int(row[k]), at - longest) : min(int(row[k + 1]), at + rule.passage + longest)]
-                    sizes = index.sizes[item]
-                    q = _overlap(index.question[item], sizes[0], region)
-                    a2 = _overlap(index.answer[item], sizes[1], region)
-                    if q >= rule.overlap and a2 >= rule.overlap:
-                        rows.append((first + k, index.item_ids[item], at - int(row[k]), score, q, a2))
+            for p, item, score in _above(index, pairs, passage):
+                k = int(np.searchsorted(base, p, "right")) - 1
+                at = int(row[k]) + (p - int(base[k])) * rule.stride
+                longest = index.lengths[item]
+                region = words[max(int(row[k]), at - longest) : min(int(row[k + 1]), at + rule.passage + longest)]
+                sizes = index.sizes[item]
+                q = _overlap(index.question[item], sizes[0], region)
+                a2 = _overlap(index.answer[item], sizes[1], region)
+                if q >= rule.overlap and a2 >= rule.overlap:
+                    rows.append((first + k, index.item_ids[item], at - int(row[k]), score, q, a2))
         if rows:
             at, item, place, score, q, a2 = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(place, pa.int64()), pa.array(score), pa.array(q), pa.array(a2)], ["doc_id", "item_id", "word", "score", "question_overlap", "answer_overlap"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, minhash, packing, repeats
+from . import chat, decontaminate, divergence, keyed_ids, minhash, packing, repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergent(_table(spark, sf_dir, "documents"))
 
 
+def op3_keyed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = keyed_ids.stored(_table(spark, sf_dir, "documents"))
+    found = store.look_up(store.keys)
+    return found.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(_table(spark, sf_dir, "documents"), minhash.NearCopies(words=4))
 
@@ -44,6 +50,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_divergence": op2_divergence,
+    "op3_keyed_ids": op3_keyed_ids,
     "op4_minhash": op4_minhash,
     "op5_decontaminate": op5_decontaminate,
     "op7_packing": op7_packing,

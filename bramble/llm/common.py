@@ -45,10 +45,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+def written(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, survives lost executors, fixes what was computed once."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

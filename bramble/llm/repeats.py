@@ -4,14 +4,17 @@ With windows of `window` words and blocks of half of that, every window holds on
 starts at a multiple of the block length. So a window that occurs twice has a block of one occurrence (its anchor)
 among the rolling block-long windows of the other.
 
-1. Index and probes: documents fall into chunks by a hash. A chunk sends, to buckets by hash, the hashes of its aligned
-   blocks and of all its rolling windows of block length, each hash once, packed into one binary value per bucket. 32
-   bits of the hash and the bucket's own number are enough here, for this step only chooses candidates.
-2. A bucket task keeps the hashes that are in the index and occur more than once, and tells the chunks that have them.
-3. Extension: in its chunk, each hit is extended to all windows of full length around it. Their 128-bit hashes, once
-   per chunk with the first place of each, give the first place of every window in all documents. Consecutive windows
-   with an earlier occurrence make up the maximal exact repeats.
-4. A chunk marks the words under windows whose first place is elsewhere, and takes them out.
+1. Chunks: texts are dealt into chunks by ranges of doc_id and written, a chunk to a file of one row group, so that
+   every later pass reads whole chunks in order and no text is shuffled again.
+2. Index and probes: a chunk sends, to buckets by hash, the hashes of its aligned blocks and of all its rolling windows
+   of block length, each hash once, packed into one binary value per bucket. 32 bits of the hash and the bucket's own
+   number are enough here, for this step only chooses candidates. A bucket task keeps the hashes that are in the index
+   and occur more than once, and tells the chunks that have them.
+3. Extension: in its chunk, each hit is extended to all windows of full length around it. Consecutive windows with an
+   earlier occurrence make up the maximal exact repeats. The windows' 128-bit hashes go to buckets, each once per chunk;
+   as chunks are in the order of doc_id, the smallest chunk with a hash has its first place, and each chunk gets back
+   one bit a window that says whether it is that one.
+4. A chunk marks the words under windows that start earlier, and takes them out.
 
 A passage in a third of all documents comes once per chunk, not once per occurrence, so no key is hot; copies are
 never paired up. The verdict rests on the 128-bit hashes of whole windows, the anchors only choose candidates.
@@ -25,11 +28,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, blocks, total_chars, ways, written
+from .common import Rolling, blocks, fresh_path, total_chars, ways, written
 
 
 @dataclass(frozen=True)
@@ -60,7 +65,7 @@ def _keys(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
     return (bucket << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
 
 
-def _probe(key, texts: pa.Table, rule: Repeats, n_buckets: int) -> pa.Table:
+def _probe(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int) -> pa.Table:
     """(bucket, chunk, hashes, marks): mark 1: an aligned block is among the occurrences, 2: it occurs more than once."""
     found, on_block = [], []
     for first, end, data, offsets in blocks(texts.column("text")):
@@ -84,7 +89,7 @@ def _probe(key, texts: pa.Table, rule: Repeats, n_buckets: int) -> pa.Table:
     bounds = np.append(begin, len(keys))
     low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     part = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-    chunk = pa.array(np.full(len(bucket), key[0].as_py(), np.int32))
+    chunk = pa.array(np.full(len(bucket), number, np.int32))
     return pa.table({"bucket": pa.array(bucket.astype(np.int32)), "chunk": chunk, "hashes": part(low), "marks": part(marks)})
 
 
@@ -110,94 +115,152 @@ def _hits(key, table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(own, pa.int32()), "hashes": pa.array(keys, pa.binary())})
 
 
-class _Chunk:
-    """Candidate windows of a chunk's texts, in the order of doc_id and place."""
-
-    def __init__(self, texts: pa.Table, hits: pa.Table, rule: Repeats, n_buckets: int) -> None:
-        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in hits.column("hashes")]
-        self.hits = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-        self.texts, self.rule, self.n_buckets = texts, rule, n_buckets
-
-    def blocks(self) -> Iterator[tuple]:
-        """(first row, end row, bytes, word starts, ends, rows' first words, candidates, their rows, two hashes)."""
-        n, b = self.rule.window, self.rule.block
-        for first, end, data, offsets in blocks(self.texts.column("text")):
-            words, s, e, row = _HASHERS[0].words(data, offsets, lower=False)
-            at = owner = h1 = h2 = np.zeros(0, np.int64)
-            if len(self.hits) and len(words) >= n:
-                keys = _keys(_HASHERS[0].runs(words, b), self.n_buckets)
-                near = self.hits[np.minimum(np.searchsorted(self.hits, keys), len(self.hits) - 1)] == keys
-                hit = np.flatnonzero(near & _whole(row, len(words), b))
-                # A full window that starts up to n - b words before a hit holds it.
-                edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, np.maximum(hit - (n - b), 0), 1)
-                np.add.at(edge, hit + 1, -1)
-                full = _whole(row, len(words), n)
-                at = np.flatnonzero(full & (np.cumsum(edge[:-1])[: len(full)] > 0))
-                if len(at):
-                    owner = np.repeat(np.arange(end - first), np.diff(row))[at]
-                    h1 = _HASHERS[0].runs(words, n)[at].view(np.int64)
-                    h2 = _HASHERS[1].runs(_HASHERS[1].words(data, offsets, lower=False)[0], n)[at].view(np.int64)
-            yield first, end, data, s, e, row, at, owner, h1, h2
-
-
-def _sorted(texts: pa.Table) -> pa.Table:
-    return texts.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-
-
-def _candidates(key, texts: pa.Table, hits: pa.Table, rule: Repeats, n_buckets: int) -> pa.Table:
-    """For each distinct candidate window of the chunk, its hashes and its first place."""
-    chunk, out = _Chunk(_sorted(texts), hits, rule, n_buckets), []
-    ids = chunk.texts.column("doc_id").to_numpy()
-    copy = chunk.texts.column("copy").to_numpy()
-    for first, _end, _data, _s, _e, row, at, owner, h1, h2 in chunk.blocks():
-        if len(at):
-            out.append((h1, h2, ids[first + owner], copy[first + owner], at - row[owner]))
-    h1, h2, doc, twin, place = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
-    if len(h1):
-        order = np.lexsort((place, twin, doc, h2, h1))
-        h1, h2, doc, twin, place = (x[order] for x in (h1, h2, doc, twin, place))
-        new = np.ones(len(h1), bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        h1, h2, doc, twin, place = (x[new] for x in (h1, h2, doc, twin, place))
-    n = len(h1)
-    whole = np.full(n, key[0].as_py(), np.int32)
-    return pa.table({"chunk": whole, "h1": h1, "h2": h2, "doc_id": doc, "copy": twin, "place": place})
-
-
-def _taken_out(key, texts: pa.Table, known: pa.Table, rule: Repeats, n_buckets: int) -> pa.Table:
+def _firsts(key, table: pa.Table) -> pa.Table:
+    """For each chunk that sent hashes to a bucket, a bit for each: whether no chunk before it has that hash."""
+    table = table.sort_by("chunk")
+    pairs = [np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1) for x in table.column("hashes")]
+    h1, h2 = np.concatenate(pairs, axis=1)
+    sizes = [x.shape[1] for x in pairs]
+    chunks = np.repeat(np.arange(len(pairs)), sizes)
+    order = np.lexsort((chunks, h2, h1))
+    first = np.ones(len(order), bool)
+    first[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    out = np.empty(len(order), bool)
+    out[order] = first
+    bits = [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+
+
+def _candidates(texts: pa.Table, hits: pa.Table | None, rule: Repeats, n_buckets: int) -> Iterator[tuple]:
+    """(rows, bytes, word starts, ends, rows' first words, candidate windows, their rows, two hashes) by blocks of text."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in hits.column("hashes")] if hits is not None else []
+    known = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    n, b = rule.window, rule.block
+    for first, end, data, offsets in blocks(texts.column("text")):
+        words, s, e, row = _HASHERS[0].words(data, offsets, lower=False)
+        at = owner = np.zeros(0, np.int64)
+        h1 = h2 = np.zeros(0, np.uint64)
+        if len(known) and len(words) >= n:
+            keys = _keys(_HASHERS[0].runs(words, b), n_buckets)
+            near = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+            hit = np.flatnonzero(near & _whole(row, len(words), b))
+            # A full window that starts up to n - b words before a hit holds it.
+            edge = np.zeros(len(words) + 1, np.int32)
+            np.add.at(edge, np.maximum(hit - (n - b), 0), 1)
+            np.add.at(edge, hit + 1, -1)
+            full = _whole(row, len(words), n)
+            at = np.flatnonzero(full & (np.cumsum(edge[:-1])[: len(full)] > 0))
+            if len(at):
+                owner = np.repeat(np.arange(end - first), np.diff(row))[at]
+                h1 = _HASHERS[0].runs(words, n)[at]
+                h2 = _HASHERS[1].runs(_HASHERS[1].words(data, offsets, lower=False)[0], n)[at]
+        yield first, end, data, s, e, row, at, owner, h1, h2
+
+
+class _Windows:
+    """A chunk's distinct candidate windows: hashes, by bucket, and where each is first in the chunk."""
+
+    def __init__(self, texts: pa.Table, found: list[tuple], n_buckets: int) -> None:
+        join = lambda i: np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.uint64)
+        h1, h2 = join(8), join(9)
+        # Rows with equal doc_id and text are one document.
+        ids, copy = texts.column("doc_id"), texts.column("copy").to_numpy()
+        null, ids = np.asarray(ids.is_null()), ids.fill_null(0).to_numpy()
+        other = np.ones(len(ids), bool)
+        other[1:] = (ids[1:] != ids[:-1]) | (null[1:] != null[:-1]) | (copy[1:] != copy[:-1])
+        document = np.cumsum(other)
+        owner = np.concatenate([x[0] + x[7] for x in found]) if found else np.zeros(0, np.int64)
+        place = np.concatenate([x[6] - x[5][x[7]] for x in found]) if found else np.zeros(0, np.int64)
+        self.at = (document[owner].astype(np.int64) << 32) | place if len(owner) else np.zeros(0, np.int64)
+        order = np.lexsort((self.at, h2, h1))
+        r1, r2 = h1[order], h2[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])
+        starts = np.flatnonzero(new)
+        self.h1, self.h2 = r1[starts], r2[starts]
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.cumsum(new) - 1
+        self.first = self.at[order][starts]
+        bucket = ((self.h1 >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
+        self.bucket, begin = np.unique(bucket.astype(np.int64), return_index=True)
+        self.bounds = np.append(begin, len(starts))
+
+
+def _send(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int) -> pa.Table:
+    w = _Windows(texts, list(_candidates(texts, side["hits"], rule, n_buckets)), n_buckets)
+    parts = [np.concatenate((w.h1[a:b], w.h2[a:b])).tobytes() for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
+    return pa.table({"bucket": pa.array(w.bucket, pa.int32()), "chunk": pa.array(np.full(len(parts), number, np.int32)), "hashes": pa.array(parts, pa.binary())})
+
+
+def _taken_out(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int) -> pa.Table:
     """Every text without the words under windows that start earlier elsewhere."""
-    hits = known.filter(pa.compute.is_valid(known.column("hashes")))
-    firsts = known.filter(pa.compute.is_null(known.column("hashes")))
-    chunk = _Chunk(_sorted(texts), hits, rule, n_buckets)
-    ids, copy = chunk.texts.column("doc_id").to_numpy(), chunk.texts.column("copy").to_numpy()
-    col = lambda c: firsts.column(c).to_numpy()
-    order = np.lexsort((col("h2"), col("h1")))
-    f1, f2, fd, ft, fp = (col(c)[order] for c in ("h1", "h2", "doc_id", "copy", "place"))
-    n_words, n_removed, kept = [], [], []
-    for first, end, data, s, e, row, at, owner, h1, h2 in chunk.blocks():
+    found = list(_candidates(texts, side["hits"], rule, n_buckets))
+    w = _Windows(texts, found, n_buckets)
+    own = np.ones(len(w.first), bool)
+    bits = side["firsts"]
+    if bits is not None:
+        for bucket, raw in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True):
+            k = int(np.searchsorted(w.bucket, bucket))
+            a, b = int(w.bounds[k]), int(w.bounds[k + 1])
+            own[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
+    earlier = ~(own[w.number] & (w.first[w.number] == w.at))
+    n_words, n_removed, kept, done = [], [], [], 0
+    for first, end, data, s, e, row, at, _owner, _h1, _h2 in found:
         gone = np.zeros(len(s) + 1, np.int32)
-        if len(at) and len(f1):
-            i = np.minimum(np.searchsorted(f1, h1), len(f1) - 1)
-            while True:  # equal first halves with other second halves come next to each other
-                off = (f1[i] == h1) & (f2[i] != h2) & (i + 1 < len(f1))
-                if not off.any():
-                    break
-                i = i + off
-            same = (f1[i] == h1) & (f2[i] == h2)
-            earlier = same & ~((fd[i] == ids[first + owner]) & (ft[i] == copy[first + owner]) & (fp[i] == at - row[owner]))
-            np.add.at(gone, at[earlier], 1)
-            np.add.at(gone, at[earlier] + rule.window, -1)
+        mark = at[earlier[done : done + len(at)]]
+        done += len(at)
+        np.add.at(gone, mark, 1)
+        np.add.at(gone, np.minimum(mark + rule.window, len(s)), -1)
         out = np.cumsum(gone[:-1]) > 0
         raw = data.tobytes()
         for k in range(end - first):
             a, b = int(row[k]), int(row[k + 1])
-            mine = out[a:b]
-            stay = np.flatnonzero(~mine) + a
+            stay = np.flatnonzero(~out[a:b]) + a
             n_words.append(b - a)
             n_removed.append(b - a - len(stay))
             kept.append(b" ".join([raw[i:j] for i, j in zip(s[stay].tolist(), e[stay].tolist(), strict=True)]).decode("utf-8", "replace"))
-    return pa.table({"doc_id": chunk.texts.column("own_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
+    return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId()
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), number, np.int32)), *b.columns], ["chunk", *b.schema.names])
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch], work, side: dict[str, str], args: dict) -> Iterator[pa.RecordBatch]:
+    """Whole chunks from batches that hold one after the other; side: tables in the shared folder with a part per chunk."""
+    held: list[pa.RecordBatch] = []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if held:
+            number = held[0].column("chunk")[0].as_py()
+            yield from work(number, pa.Table.from_batches(held), {k: _part(path, number) for k, path in side.items()}, **args).to_batches()
+            held.clear()
+
+    for batch in batches:
+        chunk = np.asarray(batch.column("chunk"))
+        for part in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1) if len(chunk) else ():
+            if held and held[0].column("chunk")[0].as_py() != chunk[part[0]]:
+                yield from done()
+            held.append(batch.slice(int(part[0]), len(part)))
+    yield from done()
+
+
+def _part(path: str, number: int) -> pa.Table | None:
+    fs, root = pa.fs.FileSystem.from_uri(path) if ":" in path else (pa.fs.LocalFileSystem(), path)
+    folder = f"{root}/chunk={number}"
+    if fs.get_file_info(folder).type == pa.fs.FileType.NotFound:
+        return None
+    files = [x.path for x in fs.get_file_info(pa.fs.FileSelector(folder)) if x.path.endswith(".parquet")]
+    return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read() for f in sorted(files)]) if files else None
+
+
+def _side(df: DataFrame, name: str) -> str:
+    """df in the shared folder, with a folder for each chunk."""
+    path = fresh_path(df.sparkSession, name)
+    df.repartition("chunk").write.partitionBy("chunk").parquet(path)
+    return path
 
 
 def without_repeats(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
@@ -208,26 +271,17 @@ def without_repeats(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     by a hash of their texts, and those with equal texts too are one document, with one result. An empty table gives no
     rows. Columns other than doc_id and text are not used.
     """
-    text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("own_id"), text.alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", F.xxhash64("text"))
     total = total_chars(docs)
-    n_chunks, n_buckets = ways(total, rule.chunk_chars), ways(total, rule.bucket_chars)
-    docs = docs.select(
-        F.coalesce("own_id", F.lit(-(2**63))).alias("doc_id"), "own_id", F.xxhash64("text").alias("copy"), "text",
-        F.pmod(F.xxhash64("own_id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"),
-    )
+    n_buckets = ways(total, rule.bucket_chars)
     args = {"rule": rule, "n_buckets": n_buckets}
-    probe = lambda key, t: _probe(key, t, **args)
-    probes = docs.select("chunk", "text").groupBy("chunk").applyInArrow(probe, "bucket int, chunk int, hashes binary, marks binary")
-    hits = written(probes.groupBy("bucket").applyInArrow(lambda key, t: _hits(key, t), "chunk int, hashes binary"), "hits")
-
-    windows = lambda key, t, h: _candidates(key, t, h, **args)
-    places = "chunk int, h1 long, h2 long, doc_id long, copy long, place long"
-    own = written(docs.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(windows, places), "windows")
-    first = own.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "copy", "place")).alias("first"), F.count("*").alias("chunks"))
-    found = own.select("chunk", "h1", "h2").join(first, ["h1", "h2"]).select("chunk", "h1", "h2", "first.*")
-    found = found.withColumn("hashes", F.lit(None).cast("binary"))
-    blank = [F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "doc_id", "copy", "place")]
-    known = found.unionByName(hits.select("chunk", *blank, "hashes"))
-    out = lambda key, t, k: _taken_out(key, t, k, **args)
-    return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(out, "doc_id long, n_words long, n_removed long, kept_text string")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("copy")]
+    dealt = docs.repartitionByRange(ways(total, rule.chunk_chars), *order).sortWithinPartitions(*order)
+    chunks = written(dealt.mapInArrow(_chunked, "chunk int, doc_id long, text string, copy long"), "chunks", {"parquet.block.size": 2**30})
+    passed = lambda work, schema, **side: chunks.mapInArrow(partial(_by_chunk, work=work, side=side, args=args), schema)
+
+    probes = passed(_probe, "bucket int, chunk int, hashes binary, marks binary")
+    hits = _side(probes.groupBy("bucket").applyInArrow(lambda key, t: _hits(key, t), "chunk int, hashes binary"), "hits")
+    sent = passed(_send, "bucket int, chunk int, hashes binary", hits=hits)
+    firsts = _side(sent.groupBy("bucket").applyInArrow(lambda key, t: _firsts(key, t), "chunk int, bucket int, bits binary"), "firsts")
+    return passed(_taken_out, "doc_id long, n_words long, n_removed long, kept_text string", hits=hits, firsts=firsts)

@@ -22,7 +22,7 @@ never paired up. The verdict rests on the 128-bit hashes of whole windows, the a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 
@@ -219,7 +219,8 @@ def _taken_out(number: int, texts: pa.Table, side: dict, rule: Repeats, n_bucket
             n_words.append(b - a)
             n_removed.append(b - a - len(stay))
             kept.append(b" ".join([raw[i:j] for i, j in zip(s[stay].tolist(), e[stay].tolist(), strict=True)]).decode("utf-8", "replace"))
-    return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
+    others = [c for c in texts.column_names if c not in ("chunk", "doc_id", "text", "copy")]
+    return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())} | {c: texts.column(c) for c in others})
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,25 +264,27 @@ def _side(df: DataFrame, name: str) -> str:
     return path
 
 
-def without_repeats(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words joined by one blank) for every row of docs.
+def without_repeats(docs: DataFrame, rule: Repeats = Repeats(), carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (kept words joined by one blank) and `carried` for every row of docs.
 
     A word goes if a window over it has the same words as one that starts earlier: in a smaller doc_id, or earlier in
     its own text. Null text: no words. Rows without doc_id come before all others; rows that share a doc_id are ordered
     by a hash of their texts, and those with equal texts too are one document, with one result. An empty table gives no
-    rows. Columns other than doc_id and text are not used.
+    rows. Columns other than doc_id, text and those carried are not used; carried ones may not be named like these, copy
+    or chunk.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", F.xxhash64("text"))
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carried).withColumn("copy", F.xxhash64("text"))
     total = total_chars(docs)
     n_buckets = ways(total, rule.bucket_chars)
     args = {"rule": rule, "n_buckets": n_buckets}
     order = [F.col("doc_id").asc_nulls_first(), F.col("copy")]
     dealt = docs.repartitionByRange(ways(total, rule.chunk_chars), *order).sortWithinPartitions(*order)
-    chunks = written(dealt.mapInArrow(_chunked, "chunk int, doc_id long, text string, copy long"), "chunks", {"parquet.block.size": 2**30})
+    chunks = written(dealt.mapInArrow(_chunked, f"chunk int, doc_id long, text string{kinds}, copy long"), "chunks", {"parquet.block.size": 2**30})
     passed = lambda work, schema, **side: chunks.mapInArrow(partial(_by_chunk, work=work, side=side, args=args), schema)
 
     probes = passed(_probe, "bucket int, chunk int, hashes binary, marks binary")
     hits = _side(probes.groupBy("bucket").applyInArrow(lambda key, t: _hits(key, t), "chunk int, hashes binary"), "hits")
     sent = passed(_send, "bucket int, chunk int, hashes binary", hits=hits)
     firsts = _side(sent.groupBy("bucket").applyInArrow(lambda key, t: _firsts(key, t), "chunk int, bucket int, bits binary"), "firsts")
-    return passed(_taken_out, "doc_id long, n_words long, n_removed long, kept_text string", hits=hits, firsts=firsts)
+    return passed(_taken_out, f"doc_id long, n_words long, n_removed long, kept_text string{kinds}", hits=hits, firsts=firsts)

@@ -15,6 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +96,56 @@ def _blocks(column, size):
         first = end
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId()
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), number, np.int32)), *b.columns], ["chunk", *b.schema.names])
+
+
+def by_chunk(batches: Iterator[pa.RecordBatch], work, side: dict[str, str], args: dict) -> Iterator[pa.RecordBatch]:
+    """Whole chunks from batches that hold one after the other; side: tables in the shared folder with a part per chunk."""
+    held: list[pa.RecordBatch] = []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if held:
+            number = held[0].column("chunk")[0].as_py()
+            yield from work(number, pa.Table.from_batches(held), {k: _part(path, number) for k, path in side.items()}, **args).to_batches()
+            held.clear()
+
+    for batch in batches:
+        chunk = np.asarray(batch.column("chunk"))
+        for part in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1) if len(chunk) else ():
+            if held and held[0].column("chunk")[0].as_py() != chunk[part[0]]:
+                yield from done()
+            held.append(batch.slice(int(part[0]), len(part)))
+    yield from done()
+
+
+def _part(path: str, number: int) -> pa.Table | None:
+    fs, root = pa.fs.FileSystem.from_uri(path) if ":" in path else (pa.fs.LocalFileSystem(), path)
+    folder = f"{root}/chunk={number}"
+    if fs.get_file_info(folder).type == pa.fs.FileType.NotFound:
+        return None
+    files = [x.path for x in fs.get_file_info(pa.fs.FileSelector(folder)) if x.path.endswith(".parquet")]
+    return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read() for f in sorted(files)]) if files else None
+
+
+def side_table(df: DataFrame, name: str) -> str:
+    """df in the shared folder, with a folder for each chunk."""
+    path = fresh_path(df.sparkSession, name)
+    df.repartition("chunk").write.partitionBy("chunk").parquet(path)
+    return path
+
+
+def chunked(df: DataFrame, order: list, n: int, schema: str) -> DataFrame:
+    """df sorted by `order` in n chunks by ranges of it, written a chunk to a file of one row group, with a column chunk.
+
+    A file of one row group is never divided among tasks, so every scan has each chunk whole and in order.
+    """
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return written(dealt.mapInArrow(_numbered, f"chunk int, {schema}"), "chunks", {"parquet.block.size": 2**30})
+
+
 class Rolling:
     """Hashes of byte runs and of runs of words, a function of the seed and the content alone."""
 

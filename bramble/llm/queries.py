@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, keyed_ids, minhash, packing, repeats, toxicity
+from . import chat, ctw, decontaminate, divergence, keyed_ids, minhash, packing, repeats, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scored(_table(spark, sf_dir, "documents"))
+
+
 def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergent(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ctw": op1_ctw,
     "op2_divergence": op2_divergence,
     "op3_keyed_ids": op3_keyed_ids,
     "op4_minhash": op4_minhash,

@@ -28,13 +28,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-import pyarrow.parquet as pq
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, blocks, fresh_path, total_chars, ways, written
+from .common import Rolling, blocks, by_chunk, chunked, side_table, total_chars, ways
 
 
 @dataclass(frozen=True)
@@ -223,47 +220,6 @@ def _taken_out(number: int, texts: pa.Table, side: dict, rule: Repeats, n_bucket
     return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())} | {c: texts.column(c) for c in others})
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId()
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), number, np.int32)), *b.columns], ["chunk", *b.schema.names])
-
-
-def _by_chunk(batches: Iterator[pa.RecordBatch], work, side: dict[str, str], args: dict) -> Iterator[pa.RecordBatch]:
-    """Whole chunks from batches that hold one after the other; side: tables in the shared folder with a part per chunk."""
-    held: list[pa.RecordBatch] = []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if held:
-            number = held[0].column("chunk")[0].as_py()
-            yield from work(number, pa.Table.from_batches(held), {k: _part(path, number) for k, path in side.items()}, **args).to_batches()
-            held.clear()
-
-    for batch in batches:
-        chunk = np.asarray(batch.column("chunk"))
-        for part in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1) if len(chunk) else ():
-            if held and held[0].column("chunk")[0].as_py() != chunk[part[0]]:
-                yield from done()
-            held.append(batch.slice(int(part[0]), len(part)))
-    yield from done()
-
-
-def _part(path: str, number: int) -> pa.Table | None:
-    fs, root = pa.fs.FileSystem.from_uri(path) if ":" in path else (pa.fs.LocalFileSystem(), path)
-    folder = f"{root}/chunk={number}"
-    if fs.get_file_info(folder).type == pa.fs.FileType.NotFound:
-        return None
-    files = [x.path for x in fs.get_file_info(pa.fs.FileSelector(folder)) if x.path.endswith(".parquet")]
-    return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read() for f in sorted(files)]) if files else None
-
-
-def _side(df: DataFrame, name: str) -> str:
-    """df in the shared folder, with a folder for each chunk."""
-    path = fresh_path(df.sparkSession, name)
-    df.repartition("chunk").write.partitionBy("chunk").parquet(path)
-    return path
-
-
 def without_repeats(docs: DataFrame, rule: Repeats = Repeats(), carried: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one blank) and `carried` for every row of docs.
 
@@ -279,12 +235,11 @@ def without_repeats(docs: DataFrame, rule: Repeats = Repeats(), carried: Sequenc
     n_buckets = ways(total, rule.bucket_chars)
     args = {"rule": rule, "n_buckets": n_buckets}
     order = [F.col("doc_id").asc_nulls_first(), F.col("copy")]
-    dealt = docs.repartitionByRange(ways(total, rule.chunk_chars), *order).sortWithinPartitions(*order)
-    chunks = written(dealt.mapInArrow(_chunked, f"chunk int, doc_id long, text string{kinds}, copy long"), "chunks", {"parquet.block.size": 2**30})
-    passed = lambda work, schema, **side: chunks.mapInArrow(partial(_by_chunk, work=work, side=side, args=args), schema)
+    chunks = chunked(docs, order, ways(total, rule.chunk_chars), f"doc_id long, text string{kinds}, copy long")
+    passed = lambda work, schema, **side: chunks.mapInArrow(partial(by_chunk, work=work, side=side, args=args), schema)
 
     probes = passed(_probe, "bucket int, chunk int, hashes binary, marks binary")
-    hits = _side(probes.groupBy("bucket").applyInArrow(lambda key, t: _hits(key, t), "chunk int, hashes binary"), "hits")
+    hits = side_table(probes.groupBy("bucket").applyInArrow(lambda key, t: _hits(key, t), "chunk int, hashes binary"), "hits")
     sent = passed(_send, "bucket int, chunk int, hashes binary", hits=hits)
-    firsts = _side(sent.groupBy("bucket").applyInArrow(lambda key, t: _firsts(key, t), "chunk int, bucket int, bits binary"), "firsts")
+    firsts = side_table(sent.groupBy("bucket").applyInArrow(lambda key, t: _firsts(key, t), "chunk int, bucket int, bits binary"), "firsts")
     return passed(_taken_out, f"doc_id long, n_words long, n_removed long, kept_text string{kinds}", hits=hits, firsts=firsts)

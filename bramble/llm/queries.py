@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontaminate, divergence, keyed_ids, minhash, packing, repeats, toxicity
+from . import chat, ctw, decontaminate, divergence, fixity, keyed_ids, minhash, packing, repeats, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replica = fixity.laid_out(_table(spark, sf_dir, "pages"))
+    return fixity.audited(replica, fixity.damaged(replica))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_keyed_ids": op3_keyed_ids,
     "op4_minhash": op4_minhash,
     "op5_decontaminate": op5_decontaminate,
+    "op6_fixity": op6_fixity,
     "op7_packing": op7_packing,
     "op8_repeats": op8_repeats,
     "op9_toxicity": op9_toxicity,

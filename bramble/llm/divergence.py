@@ -125,7 +125,7 @@ def divergent(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     d = d.withColumn("found", F.sort_array(F.filter(F.transform("words", lambda w: F.array_position("common_words", w)), lambda k: k > 0))).drop("words")
     last = F.filter(F.sequence(F.lit(0), F.size("found") - 1), lambda i: F.get("found", i + 1).isNull() | (F.get("found", i) != F.get("found", i + 1)))
     d = d.withColumn("ends", F.when(F.size("found") > 0, last))
-    n = F.col("n_words").cast("double")
+    n = F.nullif(F.col("n_words").cast("double"), F.lit(0.0))
     hits = F.transform("ends", lambda e, k: F.struct((F.element_at("common_shares", F.get("found", e).cast("int"))).alias("q"), ((e - F.coalesce(F.get("ends", k - 1), F.lit(-1))) / n).alias("p")))
     d = d.withColumn("hits", F.coalesce(hits, F.array().cast("array<struct<q:double,p:double>>"))).drop("ends")
     in_text = F.aggregate("hits", F.lit(0.0), lambda a, x: a + _part(x["p"], x["q"]))
@@ -134,7 +134,7 @@ def divergent(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     d = d.withColumns({"in_text": in_text, "unseen": common - seen, "other_p": 1 - F.size("found") / n, "other_q": 1 - common})
     # A common word that the text lacks adds its share: q * log2(2q / q).
     words = (F.col("in_text") + F.col("unseen") + _part(F.col("other_p"), F.col("other_q"))) / 2
-    classes = sum((_part(F.col(c) / F.col("n_chars_all"), F.get("class_shares", F.lit(k))) for k, c in enumerate(CLASSES)), F.lit(0.0)) / 2
+    classes = sum((_part(F.col(c) / F.nullif("n_chars_all", F.lit(0)), F.get("class_shares", F.lit(k))) for k, c in enumerate(CLASSES)), F.lit(0.0)) / 2
     distance = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
     d = d.withColumns({
         "class_distance": F.when((F.col("n_chars_all") >= rules.guard_chars) & (F.col("n_chars_all") > 0), distance(classes)),

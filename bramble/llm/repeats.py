@@ -106,9 +106,9 @@ def _hits(key, table: pa.Table) -> pa.Table:
     hit = order[np.repeat(((every & 1) == 1) & (((every & 2) == 2) | (sizes > 1)), sizes)]
     hit = hit[np.argsort(chunks[hit], kind="stable")]
     own, starts = np.unique(chunks[hit], return_index=True)
-    ends = np.append(starts[1:], len(hit))
+    bounds = np.append(starts, len(hit))
     bucket = np.uint64(key[0].as_py() << 32)
-    keys = [(hashes[hit[a:b]].astype(np.uint64) | bucket).tobytes() for a, b in zip(starts, ends, strict=True)]
+    keys = [(hashes[hit[a:b]].astype(np.uint64) | bucket).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return pa.table({"chunk": pa.array(own, pa.int32()), "hashes": pa.array(keys, pa.binary())})
 
 

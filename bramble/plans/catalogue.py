@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bramble.functions import membership as mf
-from bramble.operators import balance, evaluation, graph, images, induction, selection, table
+from bramble.operators import balance, evaluation, graph, images, induction, rasters, selection, table
+from bramble.plans import scenario
 from bramble.session import table as read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -560,3 +561,42 @@ def knn_danger_set(spark, d):
 @_query()
 def smote_rows(spark, d):
     return balance.borderline(_points(spark, d), "p_partkey", ["x", "y"], "label", 2, 200)
+
+
+# ---- whole images, long runs
+
+
+def _rastered(spark, d, step):
+    p = pixels(spark, d).withColumn("v", F.col("v") * 16)
+    return rounded(rasters.to_pixels(rasters.each(rasters.from_pixels(p), step)), "v")
+
+
+for _name, _step in (
+    ("image_resize", lambda a: rasters.resized(a, 16, 16)), ("image_sharpen", rasters.sharpened), ("image_equalize", rasters.equalized),
+    ("image_darkest", rasters.darkest), ("image_hair_removal", lambda a: rasters.without_hairs(a, 3)), ("image_denoise", lambda a: rasters.denoised(a, 10.0, 3, 5)),
+):
+    QUERIES[_name] = lambda spark, d, step=_step: _rastered(spark, d, step)
+
+
+@_query(f"WITH px AS {_PX}, h AS (SELECT image_id, v, count(*) AS n FROM px GROUP BY ALL), c AS (SELECT image_id, v, CAST(sum(n) OVER o AS DOUBLE) AS n0, CAST(sum(n * v) OVER o AS DOUBLE) AS s0, CAST(sum(n) OVER w AS DOUBLE) AS n1, CAST(sum(n * v) OVER w AS DOUBLE) AS s1 FROM h WINDOW w AS (PARTITION BY image_id), o AS (PARTITION BY image_id ORDER BY v)), b AS (SELECT image_id, v, round(n0 * (n1 - n0) * power(s0 / n0 - (s1 - s0) / (n1 - n0), 2) / (n1 * n1), 9) AS g FROM c WHERE n0 < n1), th AS (SELECT image_id, v AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY g DESC, v) AS k FROM b) WHERE k = 1) SELECT image_id, y, x, CASE WHEN v > threshold THEN v ELSE 0 END AS v FROM px JOIN th USING (image_id)")
+def masked_pixels(spark, d):
+    return images.masked(pixels(spark, d))
+
+
+@_query()
+def wrapper_selection(spark, d):
+    kept = selection.forward_wrapper(read(spark, d, "part").select(F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), (F.col("p_size") > 25).cast("int").alias("label")), ["size"], ["price"], "label", 1, 1, folds=2, trees=5)
+    return spark.createDataFrame(list(enumerate(kept)), "rank int, feature string")
+
+
+@_query()
+def sampled_graph_runs(spark, d):
+    rules = ob(spark, d)
+    runs = scenario.sampled_runs(rules.filter("rid % 10 < 7"), rules.filter("rid % 10 >= 7"), OB, "label", "rid", turns=2)
+    return spark.createDataFrame([(str(r["turn"]), float(r["accuracy"])) for r in runs], "turn string, accuracy double")
+
+
+@_query()
+def anova_two_way(spark, d):
+    c = read(spark, d, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")
+    return spark.createDataFrame([(r["source"], r["ss"], r["df"], r["f"], r["p"]) for r in evaluation.two_way(c, "o_totalprice", "o_orderstatus", "o_orderpriority")], "source string, ss double, df long, f double, p double")

@@ -29,11 +29,21 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))).alias("e")).select("e.*")
 
 
-def mean_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Average ranks: ranks are made over the distinct values with their counts and joined back."""
+def mean_ranks(df: DataFrame, column: str, name: str, parts: int = 1024) -> DataFrame:
+    """Average ranks of a numeric column, joined back from its distinct values with their counts.
+
+    Values are cut into `parts` intervals; counts run within an interval, and over the few totals of intervals.
+    """
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select(column, (below + (F.col("_n") + 1) / 2).alias(name)), column, "left")
+    ends = counts.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")).cast("double"))
+    part = F.coalesce(F.least(F.floor((F.col(column) - F.col("_lo")) / width * parts), F.lit(parts - 1)), F.lit(0))
+    counts = counts.join(F.broadcast(ends)).select(column, "_n", part.alias("_part"))  # ends: one row
+    totals = counts.groupBy("_part").agg(F.sum("_n").alias("_t"))  # `parts` rows at most
+    totals = totals.select("_part", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_own", own).join(F.broadcast(totals), "_part")
+    return df.join(counts.select(column, (F.col("_before") + F.col("_own") + (F.col("_n") + 1) / 2).alias(name)), column, "left")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

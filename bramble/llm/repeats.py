@@ -40,6 +40,8 @@ class Repeats:
     #: Characters of text in one chunk, and rolling windows in one bucket, about.
     chunk_chars: int = 16_000_000
     bucket_chars: int = 4_000_000
+    #: Whether a text that loses nothing comes back as it is, spacing and all, and not as its words joined.
+    untouched: bool = False
 
     @property
     def block(self) -> int:
@@ -215,6 +217,9 @@ def _taken_out(number: int, texts: pa.Table, side: dict, rule: Repeats, n_bucket
             stay = np.flatnonzero(~out[a:b]) + a
             n_words.append(b - a)
             n_removed.append(b - a - len(stay))
+            if rule.untouched and len(stay) == b - a:
+                kept.append(texts.column("text")[first + k].as_py())
+                continue
             kept.append(b" ".join([raw[i:j] for i, j in zip(s[stay].tolist(), e[stay].tolist(), strict=True)]).decode("utf-8", "replace"))
     others = [c for c in texts.column_names if c not in ("chunk", "doc_id", "text", "copy")]
     return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())} | {c: texts.column(c) for c in others})

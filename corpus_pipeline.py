@@ -31,10 +31,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 20 words and more that an earlier one has; n_chars follows the text."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    whole = F.coalesce("text", F.lit(""))
-    out = repeats.without_repeats(docs.withColumn("whole", whole), carried=[*others, "whole"])
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("whole"))
-    out = out.withColumn("text", text)
+    out = repeats.without_repeats(docs, repeats.Repeats(untouched=True), carried=others).withColumnRenamed("kept_text", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

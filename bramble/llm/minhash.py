@@ -9,8 +9,8 @@ Exact copies first become one class, known by a 128-bit digest of the shingle se
 candidates. In every band bucket all members are held against its first one, then, in a few turns, against a member by
 chance if they are not in its component yet. Members of one component need no further look. What is left in buckets
 with several components is held against each other where two sets share one of their rarest shingles (the prefix
-filter, which loses no pair) and their parity sketches allow it, again only across components. So a bucket of n near copies costs a few n pairs, and no
-link between members of different components of a bucket is left out. With 24
+filter, which loses no pair) and their parity sketches allow it, again only across components. So a bucket of n near
+copies costs a few n pairs, and no link between members of different components of a bucket is left out. With 24
 bands of 4 coordinates a pair at similarity 0.8 is missed with a chance of 3 in a million.
 """
 
@@ -38,19 +38,12 @@ class NearCopies:
     universe_bits: int = 20
     #: Rounds in which a member of each bucket, by chance, is held against the other components' members.
     turns: int = 1
-    #: Words of 64 low bits of coordinates by which candidates are sifted, and how many of the bits may differ.
-    sketch_words: int = 4
-    sketch_differ: int = 64
-
-    @property
-    def coordinates(self) -> int:
-        return max(self.bands * self.rows, 64 * self.sketch_words)
 
 
 class Signer:
     def __init__(self, rule: NearCopies) -> None:
         self.rule, self.hasher = rule, Rolling(11)
-        size, k = 1 << rule.universe_bits, rule.coordinates
+        size, k = 1 << rule.universe_bits, rule.bands * rule.rows
         pi = np.random.Generator(np.random.PCG64(12)).permutation(size).astype(np.uint32)
         # Read backwards, so that the steps (place - k) are consecutive.
         wide = np.concatenate((pi[::-1], pi[::-1][: k - 1]))
@@ -82,16 +75,12 @@ class Signer:
         return low
 
     def bands(self, signatures: np.ndarray) -> np.ndarray:
-        s = signatures[:, : self.rule.bands * self.rule.rows].astype(np.uint64).reshape(len(signatures), self.rule.bands, self.rule.rows)
+        s = signatures.astype(np.uint64).reshape(len(signatures), self.rule.bands, self.rule.rows)
         out = np.broadcast_to(np.arange(self.rule.bands, dtype=np.uint64), s.shape[:2]).copy()
         for r in range(self.rule.rows):
             out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + s[:, :, r])
         return out
 
-    def sketches(self, signatures: np.ndarray) -> np.ndarray:
-        bits = (signatures[:, : 64 * self.rule.sketch_words] & 1).astype(np.uint8)
-        return np.packbits(bits, axis=1).view(np.int64)
-
 
 _SIGNERS: dict[NearCopies, Signer] = {}
 
@@ -113,13 +102,13 @@ def _sign(batches: Iterator[pa.RecordBatch], rule: NearCopies) -> Iterator[pa.Re
         for _, shingles in signer.sets(batch.column(1)):
             size.append(len(shingles))
             digest.append(_digest(shingles) if len(shingles) else None)
-            low.append(signer.signature(shingles) if len(shingles) else np.zeros(rule.coordinates, np.uint32))
-        low = np.array(low, np.uint32).reshape(-1, rule.coordinates)
-        bands, sketches = signer.bands(low).view(np.int64), signer.sketches(low)
+            low.append(signer.signature(shingles) if len(shingles) else np.zeros(rule.bands * rule.rows, np.uint32))
+        low = np.array(low, np.uint32).reshape(-1, rule.bands * rule.rows)
+        bands = signer.bands(low).view(np.int64)
         full = np.array(size, bool)
         lengths = np.where(full, rule.bands, 0)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(bands[full].ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists, pa.FixedSizeListArray.from_arrays(pa.array(sketches.ravel()), rule.sketch_words).cast(pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "bands"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], rule: NearCopies) -> Iterator[pa.RecordBatch]:
@@ -177,14 +166,14 @@ def _odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(offsets).astype(np.int64)), odd], ["node", "n", "odd"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rule: NearCopies) -> DataFrame:
-    """The pairs (a, b) of documents that are similar enough, by their full sets, which are made again for them alone."""
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    sets = written(_sets_of(ends, docs, rule), "near-sets")
+def _verified(pairs: DataFrame, pool: DataFrame, rule: NearCopies) -> DataFrame:
+    """The pairs (a, b) of documents that are similar enough, by their full sets."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(pool.join(ends, "node", "left_semi"), "near-sets")
     both = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("shingles", "sa"), "a")
     both = both.join(sets.withColumnRenamed("node", "b").withColumnRenamed("shingles", "sb"), "b")
     same, total = F.size(F.array_intersect("sa", "sb")).cast("long"), (F.size("sa") + F.size("sb")).cast("long")
-    return both.filter(100 * same >= rule.percent * (total - same)).select("a", "b")
+    return both.filter(100 * same >= rule.percent * (total - same)).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -229,25 +218,25 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
     gives no rows. Columns other than doc_id and text are not used.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = written(docs.mapInArrow(partial(_sign, rule=rule), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "signed")
+    signed = written(docs.mapInArrow(partial(_sign, rule=rule), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
     real = signed.filter("doc_id is not null and digest is not null")
     # A class of equal sets goes by its smallest doc_id, and one row of it carries its bands.
     classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     carriers = real.join(classes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"], "left_semi")
-    carriers = carriers.groupBy("digest", F.col("doc_id").alias("node")).agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    carriers = written(carriers, "carriers")
-    bands = written(carriers.select("node", "n", F.explode("bands").alias("band")), "bands")
+    carriers = carriers.groupBy("digest", F.col("doc_id").alias("node")).agg(F.first("bands").alias("bands"))
+    bands = written(carriers.select("node", F.explode("bands").alias("band")), "bands")
     buckets = bands.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").drop("last")
-    members = written(bands.join(buckets, "band").select("band", "first", "node", "n").distinct(), "members")
-    # Sizes and sketches tell most candidates apart. At similarity 0.8, 26 of 256 bits differ in the mean; the chance
-    # that more than 64 do is under one in 10**12, far below that of sharing no band.
-    differ = " + ".join(f"bit_count(ka[{i}] ^ kb[{i}])" for i in range(rule.sketch_words))
-    sized = f"100 * least(na, nb) >= {rule.percent} * greatest(na, nb)"
-    near = f"{sized} and {differ} <= {rule.sketch_differ}"
-    marks = lambda c: carriers.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"))
-    sifted = lambda pairs: pairs.distinct().join(marks("a"), "a").join(marks("b"), "b").filter(near).select("a", "b")
+    members = written(bands.join(buckets, "band").select("band", "first", "node").distinct(), "members")
+    # The full sets of all that share a band with another text, made once, and their sketches. Sizes and sketches rule
+    # out most candidates, and never a pair that is similar enough.
+    pool = written(_sets_of(members.select("node").distinct(), docs, rule), "sets")
+    odd = written(pool.mapInArrow(_odd, "node long, n long, odd array<long>"), "sketches")
+    differ = " + ".join(f"bit_count(oa[{i}] ^ ob[{i}])" for i in range(_ODD_BITS // 64))
+    near = f"100 * least(na, nb) >= {rule.percent} * greatest(na, nb) and {100 + rule.percent} * ({differ}) <= {100 - rule.percent} * (na + nb)"
+    marks = lambda c: odd.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
+    sifted = lambda pairs: pairs.distinct().join(marks("a"), "a").join(marks("b"), "b").filter(near).select("a", "b").distinct()
     tried = written(sifted(members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))), "pairs")
-    links = written(_verified(tried, docs, rule), "links")
+    links = written(_verified(tried, pool, rule), "links")
     # A doc_id with several texts joins their classes.
     several = real.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc_id")
     own = real.join(several, "doc_id").select("doc_id", "digest").distinct().join(classes, "digest")
@@ -271,14 +260,14 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
         if more.isEmpty():
             continue
         tried = written(tried.unionByName(more), "tried")
-        links = written(links.unionByName(_verified(more, docs, rule)), "links")
+        links = written(links.unionByName(_verified(more, pool, rule)), "links")
         found = written(components(links.unionByName(own)), "components")
 
     # What is left: unlinked texts that share a band all the same, for a passage they have in common, say. Two sets this
     # similar share a member among the first few in any one order; with rare shingles first, common passages drop out.
     if not placed.isEmpty():
         left = placed.select("node", "l").distinct()
-        sets = written(_sets_of(left.select("node").distinct(), docs, rule), "left-sets")
+        sets = written(pool.join(left.select("node").distinct(), "node", "left_semi"), "left-sets")
         seen = sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(_RARITY)).alias("slot")).agg(F.count("*").alias("n"))
         rarity = np.zeros(_RARITY, np.int32)
         for r in seen.filter("n > 1").collect():  # at most _RARITY counters
@@ -288,16 +277,14 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
         sizes = keyed.groupBy("key", "l").agg(F.count("*").alias("m"))
         largest = sizes.groupBy("key").agg(F.max(F.struct("m", "l")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("top.l").alias("lt"))
         # Only what is outside a key's largest component meets the others, so a large component costs no pairs of its own.
-        odd = sets.mapInArrow(_odd, "node long, n long, odd array<long>")
         keyed = written(keyed.join(largest, "key").join(odd, "node"), "keyed")
         apart = keyed.filter("l <> lt").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"), F.col("l").alias("la"))
         rest = keyed.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"), F.col("l").alias("lb"))
-        at_least = " + ".join(f"bit_count(oa[{i}] ^ ob[{i}])" for i in range(_ODD_BITS // 64))
-        apart = apart.join(rest, "key").filter(f"la <> lb and {sized} and {100 + rule.percent} * ({at_least}) <= {100 - rule.percent} * (na + nb)")
+        apart = apart.join(rest, "key").filter(f"la <> lb and {near}")
         more = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            links = written(links.unionByName(_verified(more, docs, rule)), "links")
+            links = written(links.unionByName(_verified(more, pool, rule)), "links")
             found = written(components(links.unionByName(own)), "components")
 
     labels = label(classes, "node", "component").select("digest", "component")

@@ -55,7 +55,8 @@ STAGES = [
     ("packing", in_sequences),
 ]
 
-#: Trained networks and tokenizers are beyond SQL; tests hold run() against plain Python versions of the stages.
+#: Trained networks and tokenizers are beyond SQL. The operators of the stages are tested against brute force one by one;
+#: run() as a whole is so far tested for shape and for what the stages decide on a small table.
 ORACLE_SQL = None
 
 

@@ -1,6 +1,7 @@
 """Each operator on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -268,3 +269,15 @@ def test_pipeline(docs, spark):
     assert out.columns == columns and out.filter("doc_id = 1").first()["text"] == ROWS[0][1]
     assert decontaminate.clean(out, items).count() == out.count()
     assert packing.packed(out).select(F.countDistinct("doc_id")).first()[0] == near.filter("doc_id is not null").count()
+
+
+def test_toxicity_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fitted(docs, labels)
+    rows = toxicity.scored(docs.join(labels.filter(toxicity.held_out()).select("doc_id"), "doc_id"), model).join(labels, "doc_id").collect()
+    right = [(r["score"] >= 0.5) == (r["toxic"] == 1) for r in rows]
+    clean_taken = [r for r in rows if r["toxic"] == 0 and r["score"] >= 0.5]
+    assert sum(right) >= 0.9 * len(rows) and len(clean_taken) <= 0.05 * len(rows)

@@ -147,13 +147,17 @@ def chunked(df: DataFrame, order: list, n: int, schema: str) -> DataFrame:
 
 
 class Rolling:
-    """Hashes of byte runs and of runs of words, a function of the seed and the content alone."""
+    """Hashes of byte runs and of runs of words, a function of the seed and the content alone.
+
+    Seeds differ in their tables; the two bases, and so their powers, are shared by all of a worker's hashers.
+    """
+
+    base, step = 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, seed: int = 1) -> None:
         r = np.random.Generator(np.random.PCG64(seed))
         self.table = r.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base, self.step = (int(x) * 8 + 5 for x in r.integers(2**40, 2**60, 2))
-        self._powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def powers(self, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         have = self._powers.get(base)
@@ -234,7 +238,7 @@ class PieceEncoder:
     pieces stay for the worker's next tasks; all are forgotten when there are more than `most`.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -9,6 +9,10 @@ words, so a language has at most 1/word_share common words; a language has a ref
 least `lang_share` of all words, so there are at most 1/lang_share of them, and the others are held against the
 reference of all texts. These two bounds are what makes the reference table small enough to broadcast, at any size.
 
+The limit of the word distance comes with the reference: `lack_share` of the distance that a text with none of its
+common words has, and `max_word_distance` at most. The reference of all texts mixes languages, and good texts of each
+lack most of its common words, so texts held against it have `max_word_distance` only.
+
 A text is one row from the scan to the result: no text or word array is ever shuffled.
 """
 
@@ -37,6 +41,7 @@ class Rules:
     guard_chars: int = 200
     max_class_distance: float = 0.3
     max_word_distance: float = 0.4
+    lack_share: float = 0.9
 
 
 def _language() -> Column:
@@ -81,7 +86,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame, rules: Rules) -> DataFrame:
-    """One row for each reference: language, its class shares, its common words and their shares."""
+    """One row for each reference: language, its class shares, its common words, their shares and the word limit."""
     d = docs.select(_language().alias("language"), F.coalesce("text", F.lit("")).alias("text"))
     words = d.select("language", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
     counts = written(words.groupBy("language", "word").agg(F.count("*").alias("n")), "word-counts")
@@ -100,7 +105,10 @@ def references(docs: DataFrame, rules: Rules) -> DataFrame:
     chars = chars.withColumn("rest", F.col("all") - sum((F.col(c) for c in CLASSES[1:-1]), F.col("small")))
     shares = chars.select("language", F.array(*((F.col(c) / F.col("all")) for c in CLASSES)).alias("class_shares"))
     out = shares.join(common, "language", "left")
-    return out.select("language", "class_shares", F.transform("common", lambda x: x["word"]).alias("common_words"), F.transform("common", lambda x: x["share"]).alias("common_shares"))
+    total = F.aggregate("common", F.lit(0.0), lambda a, x: a + x["share"])
+    lacking = F.sqrt((total + _part(F.lit(1.0), 1 - total)) / 2)
+    limit = F.when((F.col("language") != EVERY) & (total > 0), F.least(F.lit(rules.max_word_distance), rules.lack_share * lacking)).otherwise(F.lit(rules.max_word_distance))
+    return out.select("language", "class_shares", F.transform("common", lambda x: x["word"]).alias("common_words"), F.transform("common", lambda x: x["share"]).alias("common_shares"), limit.alias("word_limit"))
 
 
 def _part(p: Column, q: Column) -> Column:
@@ -141,6 +149,6 @@ def divergent(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "word_distance": F.when((F.col("n_words") >= rules.guard_words) & (F.col("n_words") > 0), distance(words)),
         "base_failed": (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")),
     })
-    verdict = (F.coalesce("class_distance", F.lit(0.0)) <= rules.max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.max_word_distance)
+    verdict = (F.coalesce("class_distance", F.lit(0.0)) <= rules.max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= F.coalesce("word_limit", F.lit(rules.max_word_distance)))
     d = d.withColumn("kept", ~F.col("base_failed") & verdict)
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDE = "decimal(38,0)"
@@ -109,28 +110,58 @@ def similarity(a: Sequence[Column], b: Sequence[Column], label_a: Column, label_
 
 
 def sampled(rules: DataFrame, features: Sequence[str], label: str, order: str, percent: float, e: float, seed: int, k: int = 2, part: int = 5000) -> DataFrame:
-    """A diverse sample: rules by seeded hash; one joins if it is less than 1 - e similar to all that joined from its part.
+    """A diverse sample: rules are drawn by seeded hash; a draw, then the up to k rows before and after it in `order`
+    that are less than 1 - e similar to it, join if they are less than 1 - e similar to all that joined before.
 
-    Rules are taken in parts of about `part` by hash, each sampled to its share by one task; the draws of a part end when
-    none is left, so the sample may be smaller than asked.
+    A row's place is that of the first draw that offers it, a kind of rule has the place of its first row; only kinds
+    are compared. The first `part` kinds are settled on the driver, those still free of conflict with the sample come
+    next, so the sample is that of one long pass at any size of `part`. It is of model size and passes the driver; the
+    draws end when no kind is left, so it may be smaller than asked.
     """
-    n = max(1, -(-rules.count() // part))
     columns = [*features, label]
 
-    def greedy(pdf):
-        pdf = pdf.sort_values("_h", kind="stable")
-        want, kept, values = int(len(pdf) * percent / 100), [], pdf[columns].to_numpy()
-        for i in range(len(values)):
-            if len(kept) >= want:
+    def alike(a: str, b: str) -> Column:
+        same = reduce(lambda x, y: x + y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")).cast("int") for c in features))
+        return F.col(f"{a}.{label}").eqNullSafe(F.col(f"{b}.{label}")) & ((same + 1) / (len(features) + 1) >= 1 - e)
+
+    spread = rules.select(F.struct(*rules.columns).alias("rule"), F.col(order).alias("_o")).repartitionByRange("_o").withColumn("_p", F.spark_partition_id()).persist()
+    before, total = {}, 0
+    for r in spread.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():  # one row for each partition
+        before[r["_p"]], total = total, total + r["n"]
+    want = int(total * percent / 100)
+    if not want:
+        spread.unpersist()
+        return rules.limit(0)
+    start = F.element_at(F.create_map(*(F.lit(x) for item in before.items() for x in item)), F.col("_p"))
+    place = start + F.row_number().over(Window.partitionBy("_p").orderBy("_o", F.struct(*(F.col(f"rule.{c}") for c in columns))))
+    rows = spread.select("rule", place.cast("long").alias("_i"), F.xxhash64("_o", F.lit(seed)).alias("_h"))
+    draws = rows.select(F.struct(*(F.col(f"rule.{c}").alias(c) for c in columns)).alias("drawn"), "_h", F.posexplode(F.sequence(F.col("_i") - k, F.col("_i") + k)).alias("_far", "_i"))
+    offers = rows.drop("_h").join(draws.withColumn("_far", F.abs(F.col("_far") - k)), "_i").filter((F.col("_far") == 0) | ~alike("rule", "drawn"))
+    at = F.struct("_h", "_far", "_i")
+    rest = offers.groupBy(*(F.col(f"rule.{c}").alias(f"_{c}") for c in columns)).agg(F.min(at).alias("at"), F.min_by("rule", at).alias("rule")).select("at", "rule").persist()
+
+    kept = []
+    while True:
+        batch = rest.orderBy("at").limit(part).collect()
+        new, seen = [], {}
+        for r in batch:
+            if len(kept) + len(new) == want:
                 break
-            if kept:
-                old = values[kept]
-                alike = (old == values[i]).mean(1)
-                if ((old[:, -1] == values[i, -1]) & (alike >= 1 - e)).any():
-                    continue
-            kept.append(i)
-        return pdf.iloc[kept].drop(columns=["_h", "_p"])
-
-    schema = rules.schema
-    hashed = rules.withColumn("_h", F.xxhash64(F.col(order), F.lit(seed))).withColumn("_p", F.pmod(F.xxhash64(F.col(order), F.lit(seed + 1)), F.lit(n)))
-    return hashed.groupBy("_p").applyInPandas(greedy, schema)
+            values = np.array([r["rule"][c] for c in features], object)
+            old = seen.setdefault(r["rule"][label], [])
+            if not old or (((np.array(old, object) == values).sum(1) + 1) / (len(features) + 1) < 1 - e).all():
+                old.append(values)
+                new.append(r["rule"])
+        kept += new
+        if len(batch) < part or len(kept) == want:
+            break
+        taken = F.broadcast(rules.sparkSession.createDataFrame(new, rules.schema)).alias("taken")  # `part` rows at most
+        last = F.struct(*(F.lit(x).cast("long") for x in batch[-1]["at"]))
+        last = F.struct(last["col1"].alias("_h"), last["col2"].cast("int").alias("_far"), last["col3"].alias("_i"))
+        after = rest.filter(F.col("at") > last).join(taken, alike("rule", "taken"), "left_anti").persist()
+        after.count()
+        rest.unpersist()
+        rest = after
+    rest.unpersist()
+    spread.unpersist()
+    return rules.sparkSession.createDataFrame(kept, rules.schema)

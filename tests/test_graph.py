@@ -5,6 +5,8 @@ from itertools import combinations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from bramble.operators import graph
 
 F5 = ["f0", "f1", "f2", "f3", "f4"]
@@ -55,3 +57,24 @@ def test_guards(spark):
         graph.checked(df, ["f0", "f1", "f2"], "label")
     with pytest.raises(Exception, match="labels start at 1"):
         graph.checked(df, ["f0", "f1", "f2", "f3"], "label").collect()
+
+
+def _drawn(rows, percent, e, k):
+    """rows: (hash, bins..., label) in order; the draws one by one."""
+    alike = lambda a, b: a[-1] == b[-1] and (sum(x == y for x, y in zip(a[1:-1], b[1:-1], strict=True)) + 1) / (len(a) - 1) >= 1 - e
+    kept, want = [], int(len(rows) * percent / 100)
+    for i in sorted(range(len(rows)), key=lambda i: rows[i][0]):
+        near = sorted(range(max(0, i - k), min(len(rows), i + k + 1)), key=lambda j: (abs(j - i), j))
+        for j in near:
+            if len(kept) < want and (j == i or not alike(rows[j], rows[i])) and not any(alike(rows[j], rows[o]) for o in kept):
+                kept.append(j)
+    return kept
+
+
+@pytest.mark.parametrize(("part", "k", "percent"), [(5000, 2, 20), (15, 2, 20), (15, 0, 20), (15, 2, 4)])
+def test_sample_is_diverse_across_parts(spark, part, k, percent):
+    r = random.Random(7)
+    rules = spark.createDataFrame([(3 * i, *(r.randint(1, 4) for _ in range(5)), r.randint(1, 2)) for i in range(600)], ", ".join(f"{c} int" for c in ["rid", *F5, "label"]))
+    rows = [tuple(x) for x in rules.orderBy("rid").select(F.xxhash64("rid", F.lit(1)), *F5, "label").collect()]
+    got = [x["rid"] // 3 for x in graph.sampled(rules, F5, "label", "rid", percent, 0.2, 1, k=k, part=part).collect()]
+    assert got == _drawn(rows, percent, 0.2, k)

@@ -48,16 +48,31 @@ def danger(df: DataFrame, key: str, columns: Sequence[str], label: str, minority
     return n.filter((F.col("foreign_rows") >= m / 2) & (F.col("foreign_rows") < m))
 
 
-def borderline(df: DataFrame, key: str, columns: Sequence[str], label: str, minority: int, wanted: int, k: int = 5, m: int = 10, seed: int = 42) -> DataFrame:
-    """df with `wanted` more minority rows between border rows and their nearest minority rows; new keys are negative."""
+def borderline(df: DataFrame, key: str, columns: Sequence[str], label: str, minority: int, wanted: int | None = None, k: int = 5, m: int = 10, seed: int = 42) -> DataFrame:
+    """df with `wanted` more minority rows between border rows and their nearest minority rows; new keys are negative.
+
+    Without `wanted` the minority is filled up to the largest class.
+    """
+    if wanted is None:
+        sizes = {r[label]: r["count"] for r in df.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}  # one row for each class
+        wanted = max(sizes.values(), default=0) - sizes.get(minority, 0)
+    if wanted <= 0:
+        return df
     own = df.filter(F.col(label) == minority)
     border = own.join(danger(df, key, columns, label, minority, m).select(key), key, "left_semi")
-    pairs = nearest(border, own, key, columns, k)
+    pairs = nearest(border, own, key, columns, k).withColumn("_h", F.xxhash64(key, "other", F.lit(seed))).persist()
     n = pairs.count()
-    if not n or wanted <= 0:
+    if not n:
         return df
-    copies = -(-wanted // n)
-    made = pairs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).orderBy("copy", F.xxhash64(key, "other", F.lit(seed))).limit(wanted)
+    # Every pair is used wanted // n times and the first wanted % n by hash once more.
+    part = F.pmod("_h", F.lit(1024))
+    full, more, below = wanted // n, wanted % n, 0
+    for last, size in sorted(map(tuple, pairs.groupBy(part.alias("p")).agg(F.count("*")).collect())):  # 1024 rows at most
+        if below + size >= more:
+            break
+        below += size
+    extra = pairs.filter(part < last).unionByName(pairs.filter(part == last).orderBy("_h", key, "other").limit(more - below)).withColumn("copy", F.lit(full + 1).cast("long"))
+    made = pairs.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(full).cast("long")))).unionByName(extra) if full else extra
     gap = F.pmod(F.xxhash64(key, "other", "copy", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     a, b = own.select(key, *(F.col(c).alias(f"_a_{c}") for c in columns)), own.select(F.col(key).alias("other"), *(F.col(c).alias(f"_b_{c}") for c in columns))
     new = made.join(a, key).join(b, "other").withColumn("_g", gap)

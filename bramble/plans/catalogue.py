@@ -560,7 +560,7 @@ def knn_danger_set(spark, d):
 
 @_query()
 def smote_rows(spark, d):
-    return balance.borderline(_points(spark, d), "p_partkey", ["x", "y"], "label", 2, 200)
+    return balance.borderline(_points(spark, d), "p_partkey", ["x", "y"], "label", 2)
 
 
 # ---- whole images, long runs

@@ -55,6 +55,18 @@ def test_splits_are_apart(spark):
     assert a.join(b, "id").count() == 0 and a.count() + b.count() == 1000 and 600 < a.count() < 800
 
 
+@pytest.mark.parametrize(("wanted", "made"), [(None, 340), (17, 17), (0, 0)])
+def test_oversampling_to_parity(spark, wanted, made):
+    x = np.random.default_rng(1).normal(size=(500, 2))
+    rows = [(i, float(a), float(b), 2 if i < 60 else 3 if i < 100 else 1) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "i long, a double, b double, label int")
+    got = balance.borderline(df, "i", ["a", "b"], "label", 2, *([] if wanted is None else [wanted])).collect()
+    new = [r for r in got if r["i"] < 0]
+    assert len(got) == 500 + made and len(new) == len({r["i"] for r in new}) == made and {r["label"] for r in new} <= {2}
+    own = x[:60]
+    assert all(own[:, 0].min() <= r["a"] <= own[:, 0].max() and own[:, 1].min() <= r["b"] <= own[:, 1].max() for r in new)
+
+
 def test_principal_against_numpy(spark):
     x = np.random.default_rng(0).normal(size=(50, 3)) * [3, 2, 1]
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, a double, b double, c double")

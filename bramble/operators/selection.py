@@ -75,34 +75,42 @@ def binned_information(df: DataFrame, columns: Sequence[str], label: str) -> Dat
 def neighbour_information(df: DataFrame, columns: Sequence[str], label: str, k: int = 3) -> DataFrame:
     """(feature, mi) of continuous features and a class by nearest neighbours (Ross 2014); one task per feature.
 
-    Meant for tables of model size; binned_information scales with the data.
+    Each row's ball ends before its k-th neighbour of the same class; where that many have its very value, the ball is
+    that value. Both counts are those of the ball, so ties need no noise. Classes of one row are left out. A task holds
+    all values of its feature; binned_information scales with the data.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         digamma = lambda v: np.log(v) - 1 / (2 * v) - 1 / (12 * v * v) + 1 / (120.0 * v**4)
         exact = lambda v: digamma(v + 6.0) - sum(1 / (v + i) for i in range(6))
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        rows = []
-        everything = np.sort(x)
+        out = lambda mi: pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "mi": [max(0.0, float(mi))]})
+        size = pdf.groupby("y")["x"].transform("size")
+        x, y = pdf["x"].to_numpy()[size > 1], pdf["y"].to_numpy()[size > 1]
+        if not len(x):
+            return out(0.0)
+        everything, terms = np.sort(x), 0.0
+
+        def inside(values, v, r):
+            """How many of the sorted values are nearer to v than r, or equal to v where r is 0."""
+            lo, hi = np.searchsorted(values, v - r, "left"), np.searchsorted(values, v + r, "right")
+            # v - r and v + r are rounded: runs of equal values at the ends are held against the distance itself.
+            for _ in range(2):
+                at = values[np.minimum(lo, len(values) - 1)]
+                lo = np.where((r > 0) & (v - at >= r), np.searchsorted(values, at, "right"), lo)
+                at = values[np.maximum(hi, 1) - 1]
+                hi = np.where((r > 0) & (at - v >= r), np.searchsorted(values, at, "left"), hi)
+            return hi - lo
+
         for c in np.unique(y):
             own = np.sort(x[y == c])
             n = len(own)
-            if n < 2:
-                continue
             kk = min(k, n - 1)
-            for i, v in enumerate(own):
-                near = own[max(0, i - kk) : i + kk + 1]
-                r = np.sort(np.abs(near - v))[kk]
-                r = np.nextafter(r, 0)
-                m = np.searchsorted(everything, v + r, "right") - np.searchsorted(everything, v - r, "left")
-                rows.append((n, kk, max(1, m)))
-        if not rows:
-            return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "mi": [0.0]})
-        n, kk, m = (np.array(v, float) for v in zip(*rows, strict=True))
-        mi = exact(float(len(n))) + exact(kk).mean() - exact(n).mean() - exact(m).mean()
-        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "mi": [max(0.0, float(mi))]})
-
-    rows = _long(df, columns, label).filter("x is not null").withColumnRenamed(label, "y")
+            wide = np.concatenate([np.full(kk, -np.inf), own, np.full(kk, np.inf)])
+            r = np.min([np.maximum(own - wide[j : j + n], wide[j + kk : j + kk + n] - own) for j in range(kk + 1)], axis=0)
+            terms += (exact(inside(own, own, r).astype(float)) - exact(inside(everything, own, r).astype(float))).sum() - n * exact(float(n))
+        return out(exact(float(len(x))) + terms / len(x))
+
+    rows = _long(df, columns, label).withColumnRenamed(label, "y").filter("x is not null and y is not null")
     return rows.groupBy("feature").applyInPandas(run, "feature string, mi double")
 
 
@@ -129,11 +137,11 @@ def not_redundant(ranked: Sequence[str], pairs: dict[frozenset, float], threshol
 
 
 def filter_multimodal(df: DataFrame, image: Sequence[str], clinical: Sequence[str], label: str, k_image: int = 10, k_clinical: int = 10, threshold: float = 0.9) -> list[str]:
-    """Both kinds' best features by the mean of information and forest importance, twice as many as asked at first, then
+    """Both kinds' best features by the mean of neighbour information and forest importance, twice as many as asked at first, then
     without redundant ones, then the best k of each."""
     out: list[str] = []
     for columns, k in ((image, k_image), (clinical, k_clinical)):
-        mi = {r["feature"]: r["mi"] for r in binned_information(df, columns, label).collect()}
+        mi = {r["feature"]: r["mi"] for r in neighbour_information(df, columns, label).collect()}
         score = {c: (mi.get(c, 0.0) + v) / 2 for c, v in forest_importance(df, columns, label, trees=20)}
         ranked = sorted(columns, key=lambda c: (-score[c], c))[: 2 * k]
         pairs = {frozenset((r["a"], r["b"])): r["corr"] for r in correlations(df, ranked).collect()} if len(ranked) > 1 else {}

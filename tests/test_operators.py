@@ -67,6 +67,31 @@ def test_oversampling_to_parity(spark, wanted, made):
     assert all(own[:, 0].min() <= r["a"] <= own[:, 0].max() and own[:, 1].min() <= r["b"] <= own[:, 1].max() for r in new)
 
 
+def test_filter_passes_distinct_noise_over(spark):
+    r = np.random.default_rng(2)
+    rows = [(float(r.normal()), float(round(r.normal() + 2 * (i % 2), 1)), float(r.normal() + i % 2), i % 2) for i in range(1500)]
+    df = spark.createDataFrame(rows, "noise double, coarse double, shifted double, label int")
+    mi = {x["feature"]: x["mi"] for x in selection.neighbour_information(df, ["noise", "coarse", "shifted"], "label").collect()}
+    # Normal classes 2 and 1 deviations apart share 0.337 and 0.112 nats with the label.
+    assert mi["noise"] < 0.06 and mi["coarse"] == pytest.approx(0.337, abs=0.06) and mi["shifted"] == pytest.approx(0.112, abs=0.06)
+    assert selection.filter_multimodal(df, ["noise", "coarse"], ["shifted"], "label", 1, 1) == ["coarse", "shifted"]
+
+
+@pytest.mark.parametrize("places", [0, 1, 12])
+def test_neighbour_information_against_loops(spark, places):
+    r = np.random.default_rng(places)
+    x, y = np.round(r.normal(size=80) * 2 + 1e3, places), r.integers(0, 3, 80)
+    psi = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, n))
+    want = psi(80)
+    for i in range(80):
+        own, every = np.abs(x[y == y[i]] - x[i]), np.abs(x - x[i])
+        d = np.sort(own)[3]
+        ball = lambda v: int(((v < d) | (v == 0)).sum())
+        want += (psi(ball(own)) - psi(ball(every)) - psi(len(own))) / 80
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y, strict=True)], "x double, label int")
+    assert selection.neighbour_information(df, ["x"], "label").first()["mi"] == pytest.approx(max(0.0, want), abs=1e-6)
+
+
 def test_principal_against_numpy(spark):
     x = np.random.default_rng(0).normal(size=(50, 3)) * [3, 2, 1]
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, a double, b double, c double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
@@ -142,15 +143,16 @@ def filter_multimodal(df: DataFrame, image: Sequence[str], clinical: Sequence[st
     out: list[str] = []
     for columns, k in ((image, k_image), (clinical, k_clinical)):
         mi = {r["feature"]: r["mi"] for r in neighbour_information(df, columns, label).collect()}
-        score = {c: (mi.get(c, 0.0) + v) / 2 for c, v in forest_importance(df, columns, label, trees=20)}
+        score = {c: (mi.get(c, 0.0) + v) / 2 for c, v in forest_importance(df, columns, label)}
         ranked = sorted(columns, key=lambda c: (-score[c], c))[: 2 * k]
         pairs = {frozenset((r["a"], r["b"])): r["corr"] for r in correlations(df, ranked).collect()} if len(ranked) > 1 else {}
         out += not_redundant(ranked, pairs, threshold)[:k]
     return out
 
 
-def forward_wrapper(df: DataFrame, image: Sequence[str], clinical: Sequence[str], label: str, most_image: int = 5, most_clinical: int = 5, folds: int = 3, trees: int = 10, seed: int = 42) -> list[str]:
-    """Features added one by one while the cross-validated accuracy of a forest rises, at most so many of each kind."""
+def forward_wrapper(df: DataFrame, image: Sequence[str], clinical: Sequence[str], label: str, most_image: int = 5, most_clinical: int = 5, folds: int = 5, trees: int = 100, seed: int = 42, least_image: int = 1, least_clinical: int = 1) -> list[str]:
+    """The best `least` features of each kind by themselves, then features of both added one by one while the
+    cross-validated accuracy of a forest rises, at most so many of each kind."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
@@ -164,14 +166,24 @@ def forward_wrapper(df: DataFrame, image: Sequence[str], clinical: Sequence[str]
         grid = ParamGridBuilder().build()
         return CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="_y", metricName="accuracy"), numFolds=folds, seed=seed).fit(wide).avgMetrics[0]
 
-    kept, best = [], 0.0
+    def best_of(kept: list[str], left: list[str]) -> tuple[float, str]:
+        with ThreadPoolExecutor(4) as pool:  # small jobs, side by side
+            tried = list(zip(pool.map(lambda c: accuracy([*kept, c]), left), left, strict=True))
+        return max(tried, key=lambda x: (x[0], -left.index(x[1])))
+
+    kept, best = [], -1.0
+    for some, least in ((image, least_image), (clinical, least_clinical)):
+        own: list[str] = []
+        while len(own) < min(least, len(some)):
+            own.append(best_of(own, [c for c in some if c not in own])[1])
+        kept += own
     while True:
         left = [c for some, most in ((image, most_image), (clinical, most_clinical)) if sum(k in some for k in kept) < most for c in some if c not in kept]
-        tried = [(accuracy([*kept, c]), c) for c in left]
-        if not tried or max(tried)[0] <= best:
+        score, c = best_of(kept, left) if left else (best, "")
+        if score <= best:
             data.unpersist()
             return kept
-        best, c = max(tried, key=lambda x: (x[0], -left.index(x[1])))
+        best = score
         kept.append(c)
 
 

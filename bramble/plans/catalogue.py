@@ -239,7 +239,7 @@ def neighbour_mi(spark, d):
 
 @_query()
 def rf_importance(spark, d):
-    return spark.createDataFrame(selection.forest_importance(_items(spark, d), _NUMBERS, "label", trees=10), "feature string, importance double")
+    return spark.createDataFrame(selection.forest_importance(_items(spark, d), _NUMBERS, "label"), "feature string, importance double")
 
 
 @_query()
@@ -585,14 +585,16 @@ def masked_pixels(spark, d):
 
 @_query()
 def wrapper_selection(spark, d):
-    kept = selection.forward_wrapper(read(spark, d, "part").select(F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), (F.col("p_size") > 25).cast("int").alias("label")), ["size"], ["price"], "label", 1, 1, folds=2, trees=5)
+    size, price, key = F.col("p_size").cast("double"), F.col("p_retailprice"), F.col("p_partkey")
+    part = read(spark, d, "part").select(size.alias("size"), (key * 37 % 101).cast("double").alias("grey"), (size % 7).alias("week"), price.alias("price"), (key % 17).cast("double").alias("shelf"), ((size + price / 100) % 5).alias("mixed"), ((size > 25) != (price > 1500)).cast("int").alias("label"))
+    kept = selection.forward_wrapper(part, ["size", "grey", "week"], ["price", "shelf", "mixed"], "label")
     return spark.createDataFrame(list(enumerate(kept)), "rank int, feature string")
 
 
 @_query()
 def sampled_graph_runs(spark, d):
     rules = ob(spark, d)
-    runs = scenario.sampled_runs(rules.filter("rid % 10 < 7"), rules.filter("rid % 10 >= 7"), OB, "label", "rid", turns=2)
+    runs = scenario.sampled_runs(rules.filter("rid % 10 < 7"), rules.filter("rid % 10 >= 7"), OB, "label", "rid")
     return spark.createDataFrame([(str(r["turn"]), float(r["accuracy"])) for r in runs], "turn string, accuracy double")
 
 

@@ -92,6 +92,13 @@ def test_neighbour_information_against_loops(spark, places):
     assert selection.neighbour_information(df, ["x"], "label").first()["mi"] == pytest.approx(max(0.0, want), abs=1e-6)
 
 
+def test_wrapper_takes_one_of_each_kind(spark):
+    r = np.random.default_rng(3)
+    rows = [(float(i % 2), float(r.normal()), float(r.normal()), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "told double, noise double, other double, label int")
+    assert selection.forward_wrapper(df, ["noise", "told"], ["other"], "label", folds=2, trees=5)[:2] == ["told", "other"]
+
+
 def test_principal_against_numpy(spark):
     x = np.random.default_rng(0).normal(size=(50, 3)) * [3, 2, 1]
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, a double, b double, c double")

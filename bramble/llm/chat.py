@@ -41,7 +41,7 @@ def unescaped(text: str) -> str:
 
 
 def _layout(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encode = encoder(path)
+    encode = encoder(path, marks_as_text=True)
     vocab = encode.tokenizer.get_vocab_size()
     for batch in batches:
         roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
@@ -87,7 +87,7 @@ class Reader:
     """Reads turns back from ids and mask."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = encoder(path).tokenizer
+        self.tokenizer = encoder(path, marks_as_text=True).tokenizer
         self.vocab = self.tokenizer.get_vocab_size()
         self.bytes = [bytes(_BYTE[c] for c in self.tokenizer.id_to_token(i)) if i not in self.tokenizer.get_added_tokens_decoder() else self.tokenizer.id_to_token(i).encode() for i in range(self.vocab)]
 

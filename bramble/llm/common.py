@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy block holds (a longer single text is a block of its own).
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: The contract's word pattern, for Spark's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,9 +34,12 @@ _LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset and all
+    run on one machine (tests). On a cluster it has to be set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="bramble-"))
     return found.rstrip("/")
 
@@ -109,7 +112,7 @@ def by_chunk(batches: Iterator[pa.RecordBatch], work, side: dict[str, str], args
     def done() -> Iterator[pa.RecordBatch]:
         if held:
             number = held[0].column("chunk")[0].as_py()
-            yield from work(number, pa.Table.from_batches(held), {k: _part(path, number) for k, path in side.items()}, **args).to_batches()
+            yield from work(number, pa.Table.from_batches(held), {k: side_part(path, number) for k, path in side.items()}, **args).to_batches()
             held.clear()
 
     for batch in batches:
@@ -121,7 +124,8 @@ def by_chunk(batches: Iterator[pa.RecordBatch], work, side: dict[str, str], args
     yield from done()
 
 
-def _part(path: str, number: int) -> pa.Table | None:
+def side_part(path: str, number: int) -> pa.Table | None:
+    """A chunk's rows of a side table."""
     fs, root = pa.fs.FileSystem.from_uri(path) if ":" in path else (pa.fs.LocalFileSystem(), path)
     folder = f"{root}/chunk={number}"
     if fs.get_file_info(folder).type == pa.fs.FileType.NotFound:
@@ -149,13 +153,14 @@ def chunked(df: DataFrame, order: list, n: int, schema: str) -> DataFrame:
 class Rolling:
     """Hashes of byte runs and of runs of words, a function of the seed and the content alone.
 
-    Seeds differ in their tables; the two bases, and so their powers, are shared by all of a worker's hashers.
+    Seeds differ in their tables; the powers of a base are shared by all of a worker's hashers that have it. Hashes that
+    are to fail apart from each other need bases of their own besides.
     """
 
-    base, step = 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, seed: int = 1) -> None:
+    def __init__(self, seed: int = 1, base: int = 0x2545F4914F6CDD1D, step: int = 0x9E3779B97F4A7C15) -> None:
+        self.base, self.step = base, step
         r = np.random.Generator(np.random.PCG64(seed))
         self.table = r.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -234,16 +239,19 @@ class PieceEncoder:
     No pre-token of the public byte- and word-level BPE files goes on from a non-space to a space or from an ASCII
     letter to a sign other than the apostrophe, so cutting there leaves all pre-tokens whole, and the ids of a text
     are those of its pieces. Pieces are found and told apart by numpy; only new ones reach the tokenizer, many at a
-    time, joined by a space that no piece can take in. A text with other space characters is encoded whole. Known
-    pieces stay for the worker's next tasks; all are forgotten when there are more than `most`.
+    time, joined by a space that no piece can take in. A text with other space characters is encoded whole, and so is
+    one with the string of an added token, unless those are ordinary text (`marks_as_text`). Known pieces stay for the
+    worker's next tasks; all are forgotten when there are more than `most`.
     """
 
-    def __init__(self, path: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, marks_as_text: bool = False, most: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = marks_as_text
+        marks = () if marks_as_text else [str(x) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = [x.lower().encode() for x in marks]
         #: The word-level file drops white space and lower-cases; the byte-level one keeps both.
         self.drops_space = self.tokenizer.normalizer is not None
         #: What stands between pieces that are encoded together: a pre-token of its own, of one id, in no piece.
@@ -260,7 +268,7 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of some rows one after the other, where each row's ids start and one more) by turns."""
         for first, end, data, offsets in blocks(texts):
-            odd = [r for r in np.unique(np.searchsorted(offsets, np.flatnonzero(_MAY_BE_ODD[data]), "right") - 1) if _ODD.search(_text(data, offsets[r], offsets[r + 1]))] if len(data) else []
+            odd = self._whole(data, offsets) if len(data) else set()
             if not odd:
                 yield first, *self._block(data, offsets)
                 continue
@@ -272,6 +280,18 @@ class PieceEncoder:
                 else:
                     yield first + row, *self._block(own, np.array([0, len(own)]))
 
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> set[int]:
+        """The rows that are encoded in one piece."""
+        of = lambda at: (np.unique(np.searchsorted(offsets, at, "right")) - 1).tolist()
+        out = {r for r in of(np.flatnonzero(_MAY_BE_ODD[data])) if _ODD.search(_text(data, offsets[r], offsets[r + 1]))}
+        low = data.tobytes().lower() if self.marks else b""
+        for mark in self.marks:
+            at = low.find(mark)
+            while at >= 0:
+                out.update(of(np.array([at])))
+                at = low.find(mark, at + 1)
+        return out
+
     def _block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
         if not n:
@@ -340,14 +360,16 @@ def _text(data: np.ndarray, start: int, end: int) -> str:
     return data[start:end].tobytes().decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """This worker's encoder of a tokenizer file; it keeps its pieces from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, marks_as_text: bool = False) -> PieceEncoder:
+    """This worker's encoder of a tokenizer file; it keeps its pieces from task to task, but only one file's."""
+    key = path, marks_as_text
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = PieceEncoder(path, marks_as_text)
+    return _ENCODERS[key]
 
 
 def tokenizer_path(name: str) -> str:

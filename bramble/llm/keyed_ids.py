@@ -238,9 +238,9 @@ def _fetch(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
         for k, (s, first, n, before) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "first", "count", "before")), strict=True)):
             if s != number:
                 shard, number = Shard(folder, s), s
-            stored = shard.null[first], shard.keys[first]
-            if stored[0] != (not doc_id[k].is_valid) or (not stored[0] and stored[1] != doc_id[k].as_py()):
-                raise ValueError("the index led to another key's document")
+            # One foreign key in 2**32 has a stored fingerprint: the key itself, beside the ids, has the last word.
+            if shard.null[first] != (not doc_id[k].is_valid) or (not shard.null[first] and shard.keys[first] != doc_id[k].as_py()):
+                continue
             for x, got in enumerate(shard.documents(first, n)):
                 rows.append(k)
                 start.append(before + int(shard.starts[first + x]))
@@ -265,6 +265,7 @@ class Store:
     n_parts: int
     manifest: DataFrame
     keys: DataFrame
+    n_ids: int
 
     def part_of(self, column: str = "doc_id"):
         x = F.coalesce(F.xxhash64(F.col(column)), F.lit(0))
@@ -273,15 +274,16 @@ class Store:
     def look_up(self, keys: DataFrame) -> DataFrame:
         """(doc_id, shard, start, ids) of the documents with these doc_ids; ids: little-endian u32, bytes.
 
-        keys: a column doc_id, each once. A key that no document has gives no row. start: ids before the document.
+        keys: a column doc_id; a key that is asked for twice is answered twice. A key that no document has gives no row,
+        even if its fingerprint is that of a stored one. start: ids before the document.
         """
         folder = self.folder
         asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("part", self.part_of())
         places = asked.groupBy("part").applyInArrow(lambda key, t: _look_up(key, t, folder), "doc_id long, shard int, first int, count int")
-        # A shard's documents are read in their order, shards apart; a range of places, not the shard, is dealt out.
-        # A shard's documents are read in their order, shards apart; a range of places, not the shard, is dealt out.
-        places = places.join(self.manifest, "shard").withColumn("run", F.floor(F.col("first") / 4096))
-        places = places.repartition("shard", "run").sortWithinPartitions("shard", "first").drop("run")
+        # A shard's documents are read in their order; ranges of places, not shards, are dealt out, to as many tasks as
+        # the stored ids ask for.
+        places = places.join(self.manifest, "shard").withColumn("run", F.floor(F.col("first") / 1024))
+        places = places.repartition(ways(self.n_ids, 4_000_000), "shard", "run").sortWithinPartitions("shard", "first").drop("run")
         return places.mapInArrow(partial(_fetch, folder=folder), "doc_id long, shard int, start long, ids binary")
 
 
@@ -289,7 +291,8 @@ def stored(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
     """Encode all texts (null: empty), each with end_id after it, into shards in ascending doc_id order, and index them.
 
     Null doc_ids come first and are one key. Rows with the same doc_id follow each other, ordered by text, under one
-    key. An empty table gives no shards, and look-ups give no rows. Columns other than doc_id and text are not used.
+    key. An empty table gives no shards, and look-ups give no rows. Texts of any length are encoded block by block, one
+    that holds an added token's string whole. Columns other than doc_id and text are not used.
     """
     spark: SparkSession = docs.sparkSession
     folder = fresh_path(spark, "ids")
@@ -302,7 +305,8 @@ def stored(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     manifest = written(totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "manifest")
     keys = runs.select("doc_id").distinct()
-    store = Store(folder, ways(runs.count(), part_keys, least=8), manifest, keys)
+    size = runs.agg(F.count("*").alias("runs")).first()["runs"]
+    store = Store(folder, ways(size, part_keys, least=8), manifest, keys, totals.agg(F.sum("n").alias("n")).first()["n"] or 0)
     placed = runs.withColumn("part", store.part_of())
     written(placed.groupBy("part").applyInArrow(lambda key, t: _index(key, t, folder), "part long, keys long"), "index-parts")
     return store

@@ -10,7 +10,8 @@ documents there are. The driver solves the histogram; it never sees a document.
 3. `best_fit` packs the rest in order of decreasing length, each into the fullest open bin that holds it, again by
    counts: bins of the same content are one group. A length splits at most one group and opens at most two.
 4. A pattern of lengths with its count gives, for each length, intervals of ranks; a piece finds its sequence and
-   offset from its rank by binary search in that table, whose size step 3 bounds by the capacity.
+   offset from its rank by binary search in that table, whose size step 3 bounds by the capacity. What the ranks of a
+   task's pieces start from lies in the shared folder, a small file for each task; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, tokenizer_path, written
+from .common import encoder, side_part, side_table, tokenizer_path, written
 
 #: Lengths in one sequence, largest first, and how many sequences have them.
 Pattern = tuple[tuple[int, ...], int]
@@ -172,9 +173,16 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: in
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), chunk, np.int32)), doc_ids.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(rank)], schema=schema)
 
 
-def _place(batches: Iterator[pa.RecordBatch], table: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _place(batches: Iterator[pa.RecordBatch], table: dict[str, np.ndarray], bases: str, capacity: int) -> Iterator[pa.RecordBatch]:
+    chunk, base = None, np.zeros(capacity + 1, np.int64)
     for b in batches:
-        length, rank = np.asarray(b.column("length")).astype(np.int64), np.asarray(b.column("rank"))
+        length, rank = np.asarray(b.column("length")).astype(np.int64), np.asarray(b.column("own_rank")).copy()
+        chunks = np.asarray(b.column("chunk"))
+        for part in np.split(np.arange(len(chunks)), np.flatnonzero(np.diff(chunks)) + 1) if len(chunks) else ():
+            if chunks[part[0]] != chunk:  # a chunk's few ranks, read where its pieces are
+                chunk, own = int(chunks[part[0]]), side_part(bases, int(chunks[part[0]]))
+                base[own.column("length").to_numpy()] = own.column("base").to_numpy()
+            rank[part] += base[length[part]]
         at = np.searchsorted(table["key"], (length << 44) | rank, "right") - 1
         sequence = table["base"][at] + rank - table["first"][at]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("piece"), b.column("start"), pa.array(length), b.column("ids_crc32"), pa.array(sequence), pa.array(table["offset"][at])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
@@ -184,18 +192,19 @@ def packed(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int
     """Pieces of every text and their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A text (null: empty) gives its ids and end_id; only longer ones are cut, into `capacity` tokens a piece but the
-    first. An empty text is a piece of one token. Rows with the same doc_id, or none, are packed one by one. An empty
-    table gives no rows. Columns other than doc_id and text are not used.
+    first. An empty text is a piece of one token. Rows with the same doc_id, or none, are packed one by one; equal lengths
+    are packed in the order in which they are met. A text of any length is cut as it is encoded. An empty table gives no
+    rows. Columns other than doc_id and text are not used.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     path = tokenizer_path(tokenizer)
     pieces = written(rows.mapInArrow(partial(_cut, path=path, end_id=end_id, capacity=capacity), _PIECES), "pieces")
     by_chunk = pieces.groupBy("chunk", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = written(by_chunk.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-ranks")
+    by_chunk = written(by_chunk, "piece-counts")
+    bases = side_table(by_chunk.select("chunk", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "piece-ranks")
     counts = np.zeros(capacity + 1, np.int64)
-    for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
+    for r in by_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
         counts[r["length"]] = r["n"]
     table = slots(solved(counts, capacity))
-    ranked = pieces.join(bases.drop("n"), ["chunk", "length"]).withColumn("rank", F.col("base") + F.col("own_rank"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(partial(_place, table=table), _PACKED)
+    return pieces.mapInArrow(partial(_place, table=table, bases=bases, capacity=capacity), _PACKED)

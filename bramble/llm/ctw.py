@@ -6,18 +6,23 @@ Krichevsky-Trofimov from its counts. A node's weighted probability is half its o
 those of its contexts one byte longer; at full depth it is the estimate's. So the code length of a byte mixes all depths
 with the weights that the training data give them, and no depth has to be chosen.
 
+A text ends with an event of its own: the byte END, which no UTF-8 text holds, is learned and coded like any other after
+the last bytes. So a score is the probability of a text, not of all texts that begin like it.
+
 The tree is never on one machine. A run of depth + 1 bytes (a gram, in one 64-bit number) stands for a context with its
 next byte; the distinct grams of all texts with their training counts are the model's whole input.
 
-1. Texts are dealt into chunks; each sends its distinct grams with their training counts, once, to buckets by the
-   nearest JOINT bytes of the context, packed into one binary value per bucket.
-2. A bucket thus has all deeper nodes of its contexts: levels depth..JOINT are weighted there bottom up, vectorized over
-   the sorted grams. A key has at most 256**(depth - JOINT + 1) grams, whatever the corpus.
-3. The nodes of JOINT bytes pass their counts and weighted probabilities up to the few levels above, as a table; there
-   the mixture of the upper levels is written as p = a + b * (the mixture from level JOINT on) for every node.
-4. Back in the buckets, the mixture runs top down to a code length for every gram, seen in training or not. A context
+1. Texts are dealt into chunks; each sends its distinct grams with their training counts, once, to buckets by the hash
+   of the whole gram, packed into one binary value per bucket. There they are summed: what goes on is distinct grams.
+2. These go to parts by the nearest JOINT bytes of the context. A part thus has all deeper nodes of its contexts: levels
+   depth..JOINT are weighted there bottom up, vectorized over the sorted grams. A key has at most
+   256**(depth - JOINT + 1) distinct grams, whatever the corpus and however often it has them.
+3. The nodes of JOINT bytes pass their counts and weighted probabilities up: by the nearest byte to level 1 (at most 255
+   nodes a byte), then to the root on the driver. Down the same way, the mixture of the upper levels is written as
+   p = a + b * (the mixture from level JOINT on) for every node.
+4. In the parts, the mixture runs top down to a code length for every distinct gram, seen in training or not. A context
    without a training count has no say: its share goes to the longest one that has.
-5. Each chunk gets the code lengths of its grams in the order it sent them, and sums them per text.
+5. The lengths go back to the buckets, each chunk gets those of its grams in the order it sent them, and sums them per text.
 
 Word counts, for comparison with a unigram model of words, go the same way.
 """
@@ -46,15 +51,20 @@ class Rule:
 
 
 #: Bytes of context whose nodes are weighted together above the parts.
-JOINT = 2
+JOINT = 3
+#: Characters of text from which the number of parts grows no further: contexts of JOINT bytes have a bound of their own.
+PART_BOUND = 4_000_000_000
+#: The event after a text's last byte.
+END = 255
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
-    """For every byte its gram: contexts nearest first from the top, then the byte itself in the lowest place."""
-    low = _LOWER[data]
-    out, n = low.copy(), len(data)
+    """For every byte and each row's end its gram: contexts nearest first from the top, then the byte in the lowest place."""
+    low = np.insert(_LOWER[data], offsets[1:], np.uint64(END))
+    offsets = offsets + np.arange(len(offsets))
+    out, n = low.copy(), len(low)
     place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
     for k in range(1, depth + 1):
         before = np.full(n, 32, np.uint64)
@@ -100,6 +110,13 @@ class Level:
         self.one = (n1 + 0.5) / (n0 + n1 + 1.0)
         self.seen = n0 + n1 > 0
 
+    @classmethod
+    def given(cls, key: np.ndarray, n0: np.ndarray, n1: np.ndarray, weighted: np.ndarray, alone: np.ndarray) -> Level:
+        """Nodes whose weighted probabilities were found elsewhere, from the levels below them."""
+        out = cls(key, n0, n1, None)
+        out.weighted, out.alone = weighted, alone
+        return out
+
     def up(self, bits: int = 8) -> Level:
         """The level of contexts one byte shorter. The farthest byte is the lowest one of the context."""
         context, node = self.key >> np.uint64(8), self.key & np.uint64(255)
@@ -162,9 +179,8 @@ _HASHER = Rolling(51)
 GRAMS, WORDS = 0, 1
 
 
-def _bucket(keys: np.ndarray, kind: int, depth: int, n_buckets: int) -> np.ndarray:
-    of = keys >> np.uint64(8 * (depth + 1 - JOINT)) if kind == GRAMS else keys
-    return (mixed(of) % np.uint64(n_buckets)).astype(np.int64)
+def _bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (mixed(keys) % np.uint64(n_buckets)).astype(np.int64)
 
 
 class _Counts:
@@ -179,7 +195,7 @@ class _Counts:
             n.append(np.bincount(which, weights=np.repeat(trains[first:end], rows), minlength=len(some)))
         keys, which = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_inverse=True)
         count = np.bincount(which, weights=np.concatenate(n) if n else None, minlength=len(keys))
-        bucket = _bucket(keys, kind, depth, n_buckets)
+        bucket = _bucket(keys, n_buckets)
         order = np.argsort(bucket, kind="stable")
         self.keys, self.n = keys[order], count[order].astype(np.uint32)
         self.bucket, begin = np.unique(bucket[order], return_index=True)
@@ -189,7 +205,7 @@ class _Counts:
 def _keys(data: np.ndarray, offsets: np.ndarray, kind: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The keys of a block of texts, and how many each row has."""
     if kind == GRAMS:
-        return grams(data, offsets, depth), np.diff(offsets)
+        return grams(data, offsets, depth), np.diff(offsets) + 1
     words, _, _, row = _HASHER.words(data, offsets, lower=True)
     return words, np.diff(row)
 
@@ -218,20 +234,59 @@ def _answers(table: pa.Table, kind: int, values: np.ndarray, which: np.ndarray,
     return pa.table({"chunk": table.column("chunk"), "kind": pa.array([kind] * len(raw), pa.int32()), "bucket": table.column("bucket"), "answer": pa.array(raw, pa.binary()), "known": once(known), "total": once(total)})
 
 
+def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their summed counts."""
+    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
+    n = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("n")])
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.add.reduceat(n[order].astype(np.int64), starts)
+
+
+def _distinct(key, table: pa.Table, depth: int, n_parts: int) -> pa.Table:
+    """A bucket's distinct grams with their counts, packed for the parts of their contexts."""
+    keys, n = _totals(table)
+    part = _bucket(keys >> np.uint64(8 * (depth + 1 - JOINT)), n_parts)
+    order = np.argsort(part, kind="stable")
+    own, begin = np.unique(part[order], return_index=True)
+    bounds = np.append(begin, len(keys))
+    packed = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+    return pa.table({"part": pa.array(own, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(own), pa.int32()), "keys": packed(keys), "n": packed(n)})
+
+
+def _part_levels(table: pa.Table, depth: int) -> tuple[np.ndarray, list[Level]]:
+    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
+    n = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("n")])
+    return keys, levels(keys, n, depth, JOINT)
+
+
 def _lift(key, table: pa.Table, depth: int) -> pa.Table:
-    """A bucket's nodes of level JOINT."""
-    keys, n, _, _ = _summed(table)
-    top = levels(keys, n, depth, JOINT)[0]
-    return pa.table({"bucket": pa.array(np.full(len(top.key), key[0].as_py(), np.int32)), "node": top.key.view(np.int64), "n0": top.n0, "n1": top.n1, "weighted": top.weighted})
+    """A part's nodes of level JOINT."""
+    top = _part_levels(table, depth)[1][0]
+    return pa.table({"part": pa.array(np.full(len(top.key), key[0].as_py(), np.int32))} | _columns(top))
 
 
 def _lengths(key, table: pa.Table, above: pa.Table, depth: int) -> pa.Table:
-    """The code lengths of the grams that each chunk sent to a bucket."""
-    keys, n, which, sizes = _summed(table)
-    found = levels(keys, n, depth, JOINT)
+    """The code lengths of a part's grams, for the buckets that sent them."""
+    keys, found = _part_levels(table, depth)
     order = np.argsort(above.column("node").to_numpy().view(np.uint64))
     a, b, c = (above.column(x).to_numpy()[order] for x in "abc")
-    return _answers(table, GRAMS, code(keys, found, JOINT, depth, a, b, c).astype(np.float32), which, sizes, 0, 0)
+    values = code(keys, found, JOINT, depth, a, b, c).astype(np.float32)
+    sizes = np.array([len(x.as_buffer()) // 8 for x in table.column("keys")])
+    raw = [x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])]
+    return pa.table({"bucket": table.column("bucket"), "keys": table.column("keys"), "lengths": pa.array(raw, pa.binary())})
+
+
+def _told(key, sent: pa.Table, lengths: pa.Table) -> pa.Table:
+    """The code lengths of the grams that each chunk sent to a bucket, in its order."""
+    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in lengths.column("keys")])
+    values = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in lengths.column("lengths")])
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    asked = [np.frombuffer(x.as_buffer(), np.uint64) for x in sent.column("keys")]
+    which = np.searchsorted(keys, np.concatenate(asked))
+    return _answers(sent, GRAMS, values, which, [len(x) for x in asked], 0, 0)
 
 
 def _word_counts(key, table: pa.Table) -> pa.Table:
@@ -239,30 +294,51 @@ def _word_counts(key, table: pa.Table) -> pa.Table:
     return _answers(table, WORDS, n, which, sizes, int((n > 0).sum()), int(n.sum()))
 
 
+_NODES = "node long, n0 long, n1 long, weighted double, alone double"
+
+
+def _columns(level: Level) -> dict[str, np.ndarray]:
+    return {"node": level.key.view(np.int64), "n0": level.n0, "n1": level.n1, "weighted": level.weighted, "alone": level.alone}
+
+
+def _given(table: pa.Table) -> tuple[Level, np.ndarray]:
+    """The nodes in a table, in order, and that order."""
+    key = table.column("node").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return Level.given(key[order], *(table.column(c).to_numpy()[order] for c in ("n0", "n1", "weighted", "alone"))), order
+
+
+def _to_one(key, table: pa.Table) -> pa.Table:
+    """The nodes of level 1 above the nodes of one nearest byte."""
+    level, _ = _given(table)
+    for _ in range(JOINT - 1):
+        level = level.up()
+    return pa.table(_columns(level))
+
+
+def _from_one(key, table: pa.Table, above: list[Level]) -> pa.Table:
+    """(part, node, a, b, c): what the levels above a node make of bit 1; c: the estimate of the longest seen context."""
+    level, order = _given(table)
+    node, context = level.key & np.uint64(255), level.key >> np.uint64(8)
+    between, up = [], level
+    for _ in range(JOINT - 2):
+        up = up.up()
+        between.insert(0, up)
+    p, rest, last = np.zeros(len(order)), np.ones(len(order)), np.full(len(order), 0.5)
+    for k, one in enumerate([*above, *between]):
+        p, rest, last = one.mix(one.find(((context >> np.uint64(8 * (JOINT - k))) << np.uint64(8)) | node), p, rest, last)
+    return pa.table({"part": table.column("part").take(pa.array(order)), "node": level.key.view(np.int64), "a": p, "b": rest, "c": last})
+
+
 def _upper(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, a, b, c): for each node of level JOINT, what the levels above make of bit 1: a + b * what follows.
+    """For each node of level JOINT, what the levels above make of bit 1: a + b * what follows.
 
-    Levels 0..JOINT-1 have at most 256**(JOINT-1) contexts of 255 nodes each, a bound that no corpus moves.
+    The driver sees level 1: 256 contexts of 255 nodes at most, a bound that no corpus moves.
     """
-    step, above = nodes, []
-    for _ in range(JOINT):
-        parent = F.shiftleft(F.shiftrightunsigned("node", 16), 8) + F.col("node").bitwiseAND(255)
-        rows = step.groupBy(parent.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below")).orderBy("node").collect()
-        col = lambda c, kind: np.array([r[c] for r in rows], kind)  # noqa: B023,E731
-        level = Level(col("node", np.int64).view(np.uint64), col("n0", np.int64), col("n1", np.int64), col("below", np.float64))
-        above.insert(0, level)
-        step = nodes.sparkSession.createDataFrame(pa.table({"node": level.key.view(np.int64), "n0": level.n0, "n1": level.n1, "weighted": level.weighted}))
-
-    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = np.asarray(batch.column("node")).view(np.uint64)
-            context, node = key >> np.uint64(8), key & np.uint64(255)
-            p, rest, last = np.zeros(len(key)), np.ones(len(key)), np.full(len(key), 0.5)
-            for k, level in enumerate(above):
-                p, rest, last = level.mix(level.find(((context >> np.uint64(8 * (JOINT - k))) << np.uint64(8)) | node), p, rest, last)
-            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("node"), *map(pa.array, (p, rest, last))], ["bucket", "node", "a", "b", "c"])
-
-    return nodes.select("bucket", "node").mapInArrow(down, "bucket int, node long, a double, b double, c double")
+    near = F.shiftrightunsigned("node", 8 * JOINT)
+    one, _ = _given(nodes.withColumn("near", near).groupBy("near").applyInArrow(lambda key, t: _to_one(key, t), _NODES).toArrow())
+    above = [one.up(), one]
+    return nodes.withColumn("near", near).groupBy("near").applyInArrow(lambda key, t: _from_one(key, t, above), "part int, node long, a double, b double, c double")
 
 
 def _sums(number: int, texts: pa.Table, side: dict, depth: int, n_buckets: int, known: int, total: int) -> pa.Table:
@@ -287,7 +363,7 @@ def _sums(number: int, texts: pa.Table, side: dict, depth: int, n_buckets: int,
             bounds = np.concatenate(([0], np.cumsum(rows)))
             per_row = lambda x: (s := np.concatenate(([0.0], np.cumsum(x[which], dtype=np.float64))))[bounds[1:]] - s[bounds[:-1]]  # noqa: B023,E731
             if kind == GRAMS:
-                out["score"][first:end], out["n_bytes"][first:end] = per_row(got), rows
+                out["score"][first:end], out["n_bytes"][first:end] = per_row(got), rows - 1
             else:
                 out["base_score"][first:end] = per_row(log(got))
                 out["n_tokens"][first:end] += rows
@@ -302,10 +378,11 @@ def held_out(doc_id: str = "doc_id", of: int = 10) -> Column:
 
 
 def scored(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """Per row of docs: doc_id, held_out, n_bytes, score (log10 probability by a model of the rows not held out), and a
-    unigram model's n_tokens, n_known, train_tokens, base_score.
+    """Per row of docs: doc_id, held_out, n_bytes, score (log10 probability of the text and its end by a model of the rows
+    not held out), and a unigram model's n_tokens, n_known, train_tokens, base_score.
 
-    A-Z are lower-cased. Null text: empty, score 0, one token (the end). Repeated rows are learned from and scored each.
+    A-Z are lower-cased. Null text: empty, only its end is scored. Rows without doc_id are held out. Repeated rows are
+    learned from and scored each; the order of rows doesn't matter. A text longer than a chunk is a chunk of its own.
     Without training texts every bit has probability one half. An empty table gives no rows. Other columns are not used.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -313,13 +390,17 @@ def scored(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     seen = rows.agg(F.sum(F.length("text")).alias("chars"), F.sum("trains").alias("ends")).first()
     chars, ends = seen["chars"] or 0, seen["ends"] or 0
     args = {"depth": rule.depth, "n_buckets": ways(chars, rule.bucket_chars)}
+    n_parts = ways(min(chars, PART_BOUND), rule.bucket_chars)
     chunks = chunked(rows, [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")], ways(chars, rule.chunk_chars), "doc_id long, text string, trains int")
     depth = rule.depth
     sent = written(chunks.mapInArrow(partial(by_chunk, work=_send, side={}, args=args), "kind int, bucket int, chunk int, keys binary, n binary"), "counts")
     of_grams, of_words = sent.filter(f"kind = {GRAMS}"), sent.filter(f"kind = {WORDS}")
-    nodes = written(of_grams.groupBy("bucket").applyInArrow(lambda key, t: _lift(key, t, depth), "bucket int, node long, n0 long, n1 long, weighted double"), "nodes")
+    distinct = of_grams.groupBy("bucket").applyInArrow(lambda key, t: _distinct(key, t, depth, n_parts), "part int, bucket int, keys binary, n binary")
+    distinct = written(distinct, "grams")
+    nodes = written(distinct.groupBy("part").applyInArrow(lambda key, t: _lift(key, t, depth), f"part int, {_NODES}"), "nodes")
     kinds = "chunk int, kind int, bucket int, answer binary, known long, total long"
-    lengths = of_grams.groupBy("bucket").cogroup(_upper(nodes).groupBy("bucket")).applyInArrow(lambda key, t, u: _lengths(key, t, u, depth), kinds)
+    lengths = distinct.groupBy("part").cogroup(_upper(nodes).groupBy("part")).applyInArrow(lambda key, t, u: _lengths(key, t, u, depth), "bucket int, keys binary, lengths binary")
+    lengths = of_grams.groupBy("bucket").cogroup(lengths.groupBy("bucket")).applyInArrow(lambda key, t, u: _told(key, t, u), kinds)
     words = of_words.groupBy("bucket").applyInArrow(lambda key, t: _word_counts(key, t), kinds)
     answers = side_table(lengths.unionByName(words), "answers")
     sums = docs.sparkSession.read.schema(kinds).parquet(answers).agg(F.sum("known").alias("known"), F.sum("total").alias("total")).first()

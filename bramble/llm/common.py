@@ -66,6 +66,21 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def file_system(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(folder) if ":" in folder else (pa.fs.LocalFileSystem(), folder)
+
+
+def put_file(folder: str, name: str, parts: list[bytes | memoryview]) -> None:
+    """A file that is whole once it has its name, so a task that runs again leaves nothing half written."""
+    fs, path = file_system(folder)
+    fs.create_dir(path, recursive=True)
+    own = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(own, compression=None) as out:
+        for x in parts:
+            out.write(x)
+    fs.move(own, f"{path}/{name}")
+
+
 def total_chars(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.length(column)).alias("n")).first()["n"] or 0
 
@@ -126,7 +141,7 @@ def by_chunk(batches: Iterator[pa.RecordBatch], work, side: dict[str, str], args
 
 def side_part(path: str, number: int) -> pa.Table | None:
     """A chunk's rows of a side table."""
-    fs, root = pa.fs.FileSystem.from_uri(path) if ":" in path else (pa.fs.LocalFileSystem(), path)
+    fs, root = file_system(path)
     folder = f"{root}/chunk={number}"
     if fs.get_file_info(folder).type == pa.fs.FileType.NotFound:
         return None

@@ -20,8 +20,6 @@ executor was lost leaves whole files only. A manifest (one small row per shard)
 from __future__ import annotations
 
 import struct
-import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -33,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, fresh_path, mixed, tokenizer_path, total_chars, ways, written
+from .common import encoder, file_system, fresh_path, mixed, put_file, tokenizer_path, total_chars, ways, written
 
 MAGIC = b"BRIDS001"
 _HEAD = struct.Struct("<8sIIQ")
@@ -41,20 +39,6 @@ _HEAD = struct.Struct("<8sIIQ")
 _NULL = 0x6E756C6C
 
 
-def _fs(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pa.fs.LocalFileSystem(), folder)
-
-
-def _put(folder: str, name: str, parts: list[bytes | memoryview]) -> None:
-    fs, path = _fs(folder)
-    fs.create_dir(path, recursive=True)
-    own = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(own) as out:
-        for x in parts:
-            out.write(x)
-    fs.move(own, f"{path}/{name}")
-
-
 def key_hashes(keys: np.ndarray, null: np.ndarray, seed: int) -> np.ndarray:
     x = np.where(null, np.uint64(_NULL), keys.view(np.uint64)) + null.astype(np.uint64) * np.uint64(0xA5A5A5A5)
     return mixed(mixed(x + np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1))) ^ np.uint64(seed))
@@ -135,7 +119,7 @@ class Part:
 
     @classmethod
     def read(cls, folder: str, number: int) -> Part | None:
-        fs, path = _fs(folder)
+        fs, path = file_system(folder)
         name = f"{path}/part-{number:08d}"
         if fs.get_file_info(name).type == pa.fs.FileType.NotFound:
             return None
@@ -165,7 +149,7 @@ class Shard:
     """Reads a shard's documents; only the parts of the file that are asked for."""
 
     def __init__(self, folder: str, number: int) -> None:
-        fs, path = _fs(folder)
+        fs, path = file_system(folder)
         self.file = fs.open_input_file(f"{path}/shard-{number:08d}")
         magic, self.width, self.n, self.ids = _HEAD.unpack(self.file.read_at(_HEAD.size, 0))
         if magic != MAGIC:
@@ -203,7 +187,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, folder: st
     keys, null, sizes = (np.concatenate(x) for x in (keys, null, sizes))
     starts = np.concatenate(([0], np.cumsum(sizes)))
     head = _HEAD.pack(MAGIC, width, len(keys), int(starts[-1]))
-    _put(folder, f"shard-{number:08d}", [head, *payload, starts.astype("<u8").tobytes(), keys.astype("<i8").tobytes(), null.astype(np.uint8).tobytes()])
+    put_file(folder, f"shard-{number:08d}", [head, *payload, starts.astype("<u8").tobytes(), keys.astype("<i8").tobytes(), null.astype(np.uint8).tobytes()])
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (null[1:] != null[:-1])
     first = np.flatnonzero(new)
@@ -217,7 +201,7 @@ def _index(key, table: pa.Table, folder: str) -> pa.Table:
     col = lambda c: table.column(c).to_numpy()
     null = np.asarray(ids.is_null())
     part = Part.of(np.asarray(ids.fill_null(0)), null, col("shard"), col("first"), col("count"))
-    _put(folder, f"part-{key[0].as_py():08d}", part.bytes())
+    put_file(folder, f"part-{key[0].as_py():08d}", part.bytes())
     return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "keys": pa.array([len(ids)], pa.int64())})
 
 

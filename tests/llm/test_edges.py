@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bramble.llm import chat, ctw, decontaminate, divergence, fixity, keyed_ids, minhash, packing, repeats, toxicity
+from bramble.llm import chat, ctw, decontaminate, divergence, keyed_ids, minhash, packing, repeats, toxicity
 
 LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(6000))
 ROWS = [
@@ -166,17 +166,6 @@ def test_wand_against_all_scores():
         assert {i for i, _ in index.retrieve(terms)} == {i for i, s in scores.items() if s >= 1 - 1e-9}
 
 
-def test_fixity(spark):
-    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * 5) for i in range(300)] + [(None, None, None), (7, "u7", None)], "page_id long, url string, html string")
-    replica = fixity.laid_out(pages, records=64)
-    ours, theirs = fixity.tree(replica, 64), fixity.tree(replica.filter("page_id is null or page_id <> 299"), 64)
-    assert fixity.compared(ours, ours).count() == 0 and fixity.compared(ours, theirs).count() == 1
-    bad = {r["page_id"] for r in fixity.audited(replica, fixity.damaged(replica, 11), 64).filter("not intact").collect()}
-    assert bad == {i for i in [*range(300), None] if zlib.crc32(b"" if i is None else str(i).encode()) % 11 == 0}
-    empty = fixity.laid_out(pages.limit(0))
-    assert fixity.audited(empty, empty).count() == 0
-
-
 def test_packing(docs, none):
     got = packing.packed(docs, capacity=64).toPandas()
     assert packing.packed(none).count() == 0

@@ -17,9 +17,10 @@ next byte; the distinct grams of all texts with their training counts are the mo
 2. These go to parts by the nearest JOINT bytes of the context. A part thus has all deeper nodes of its contexts: levels
    depth..JOINT are weighted there bottom up, vectorized over the sorted grams. A key has at most
    256**(depth - JOINT + 1) distinct grams, whatever the corpus and however often it has them.
-3. The nodes of JOINT bytes pass their counts and weighted probabilities up: by the nearest byte to level 1 (at most 255
-   nodes a byte), then to the root on the driver. Down the same way, the mixture of the upper levels is written as
-   p = a + b * (the mixture from level JOINT on) for every node.
+3. The nodes of JOINT bytes pass their counts and weighted probabilities up, by their two nearest bytes, dealt over a
+   fixed number of groups; sums of that level make level 1 (256 contexts of 255 nodes at most) and the root on the driver.
+   Down the same way, the mixture of the upper levels is written as p = a + b * (the mixture from level JOINT on) for
+   every node.
 4. In the parts, the mixture runs top down to a code length for every distinct gram, seen in training or not. A context
    without a training count has no say: its share goes to the longest one that has.
 5. The lengths go back to the buckets, each chunk gets those of its grams in the order it sent them, and sums them per text.
@@ -29,7 +30,6 @@ Word counts, for comparison with a unigram model of words, go the same way.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -294,6 +294,8 @@ def _word_counts(key, table: pa.Table) -> pa.Table:
     return _answers(table, WORDS, n, which, sizes, int((n > 0).sum()), int(n.sum()))
 
 
+#: Groups in which the levels above JOINT are worked out.
+_GROUPS = 256
 _NODES = "node long, n0 long, n1 long, weighted double, alone double"
 
 
@@ -308,15 +310,15 @@ def _given(table: pa.Table) -> tuple[Level, np.ndarray]:
     return Level.given(key[order], *(table.column(c).to_numpy()[order] for c in ("n0", "n1", "weighted", "alone"))), order
 
 
-def _to_one(key, table: pa.Table) -> pa.Table:
-    """The nodes of level 1 above the nodes of one nearest byte."""
+def _to_two(key, table: pa.Table) -> pa.Table:
+    """The nodes of level 2 above these."""
     level, _ = _given(table)
-    for _ in range(JOINT - 1):
+    for _ in range(JOINT - 2):
         level = level.up()
     return pa.table(_columns(level))
 
 
-def _from_one(key, table: pa.Table, above: list[Level]) -> pa.Table:
+def _from_two(key, table: pa.Table, above: list[Level]) -> pa.Table:
     """(part, node, a, b, c): what the levels above a node make of bit 1; c: the estimate of the longest seen context."""
     level, order = _given(table)
     node, context = level.key & np.uint64(255), level.key >> np.uint64(8)
@@ -335,10 +337,14 @@ def _upper(nodes: DataFrame) -> DataFrame:
 
     The driver sees level 1: 256 contexts of 255 nodes at most, a bound that no corpus moves.
     """
-    near = F.shiftrightunsigned("node", 8 * JOINT)
-    one, _ = _given(nodes.withColumn("near", near).groupBy("near").applyInArrow(lambda key, t: _to_one(key, t), _NODES).toArrow())
+    near = F.pmod(F.xxhash64(F.shiftrightunsigned("node", 8 * (JOINT - 1))), F.lit(_GROUPS))
+    of_two = nodes.withColumn("near", near).groupBy("near")
+    parent = F.shiftleft(F.shiftrightunsigned("node", 16), 8) + F.col("node").bitwiseAND(255)
+    two = of_two.applyInArrow(lambda key, t: _to_two(key, t), _NODES)
+    rows = two.groupBy(parent.alias("node")).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted"))).orderBy("node").toArrow()
+    one = Level(rows.column("node").to_numpy().view(np.uint64), *(rows.column(c).to_numpy() for c in ("n0", "n1", "weighted")))
     above = [one.up(), one]
-    return nodes.withColumn("near", near).groupBy("near").applyInArrow(lambda key, t: _from_one(key, t, above), "part int, node long, a double, b double, c double")
+    return of_two.applyInArrow(lambda key, t: _from_two(key, t, above), "part int, node long, a double, b double, c double")
 
 
 def _sums(number: int, texts: pa.Table, side: dict, depth: int, n_buckets: int, known: int, total: int) -> pa.Table:

@@ -4,14 +4,14 @@ Each text gives two histograms: of its characters over the classes small letter,
 rest, and of its words over the common words of its language and "any other word". Both are compared with the
 language's own histograms by the Jensen-Shannon distance (square root of the divergence to base 2, from 0 to 1).
 
-The references are counted from all texts. A word is common if it makes at least `word_share` of a language's
-words, so a language has at most 1/word_share common words; a language has a reference of its own if it makes at
-least `lang_share` of all words, so there are at most 1/lang_share of them, and the others are held against the
-reference of all texts. These two bounds are what makes the reference table small enough to broadcast, at any size.
+The references are counted from all texts, one for each language that has at least `reference_words` words; it depends on
+the texts of its language alone. A text of a language with fewer has nothing to be held against and passes by the base
+rules. A word is common if it makes at least `word_share` of a language's words, so a language has at most 1/word_share
+common words, held by 64-bit hashes. A language whose common words make less than `least_common` of its words (one that
+is written without gaps, say) says nothing by them, and its texts are judged by their characters.
 
 The limit of the word distance comes with the reference: `lack_share` of the distance that a text with none of its
-common words has, and `max_word_distance` at most. The reference of all texts mixes languages, and good texts of each
-lack most of its common words, so texts held against it have `max_word_distance` only.
+common words has, and `max_word_distance` at most.
 
 A text is one row from the scan to the result: no text or word array is ever shuffled.
 """
@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 from .common import WORD, written
 
 CLASSES = ("small", "capital", "digit", "gap", "symbol", "rest")
-EVERY = "\x00every language"
 SYMBOLS = r"[#*$%&|<>]"
+GAP = r"[\x20\x09-\x0D]"
+#: Common words are looked up in slots by their hash, and a word's number is slot * _SLOT + its place there.
+_SLOTS, _SLOT = 64, 4096
+#: So many references are broadcast (at most 4 kB each); more are joined by shuffling, each language over _SALTS keys.
+_FEW, _SALTS = 2048, 32
 
 
 @dataclass(frozen=True)
@@ -35,7 +39,8 @@ class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
     word_share: float = 1 / 250
-    lang_share: float = 1 / 100
+    reference_words: int = 2000
+    least_common: float = 0.1
     #: Least words for which the word histogram, and least characters for which the class histogram, is judged.
     guard_words: int = 50
     guard_chars: int = 200
@@ -48,32 +53,39 @@ def _language() -> Column:
     return F.coalesce(F.col("lang"), F.lit(""))
 
 
-def _length_of(pattern: str) -> Column:
+def _without(pattern: str) -> Column:
     """Code points left of the text when runs of `pattern` are taken out."""
-    return F.length(F.regexp_replace("text", pattern, ""))
+    return F.length(F.regexp_replace("text", f"{pattern}+", "")).cast("long")
+
+
+def _words() -> Column:
+    return F.array_remove(F.split("text", f"{GAP}+"), "")
+
+
+def _classes() -> dict[str, Column]:
+    """The text's characters, and of them those of each class but the last."""
+    n = F.length("text").cast("long")
+    return {"n_chars_all": n, "small": n - _without(r"\p{Ll}"), "capital": _without(r"[^\p{Lu}]"), "digit": _without(r"[^\p{Nd}]"), "gap": n - _without(GAP), "symbol": n - _without(SYMBOLS)}
+
+
+def _rest() -> Column:
+    return F.col("n_chars_all") - sum((F.col(c) for c in CLASSES[1:-1]), F.col(CLASSES[0]))
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """The rows of docs, with the lengths and counts of their texts (null: no words)."""
     d = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    d = d.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
+    d = d.withColumns({"words": _words(), **_classes()})
     d = d.withColumns({
         "n_words": F.size("words").cast("long"),
-        "n_chars_all": F.length("text").cast("long"),
-        "word_chars": _length_of(r"[\x20\x09-\x0D]+").cast("long"),
-        "n_symbols": (F.length("text") - _length_of(SYMBOLS + "+")).cast("long"),
-        "small": _length_of(r"[^\p{Ll}]+").cast("long"),
-        "capital": _length_of(r"[^\p{Lu}]+").cast("long"),
-        "digit": _length_of(r"[^\p{Nd}]+").cast("long"),
-        "lines": lines,
+        "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)),
         # Windows of three words by a 64-bit hash.
         "windows": F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))),
     })
     d = d.withColumns({
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-        "gap": F.col("n_chars_all") - F.col("word_chars"),
-        "symbol": F.col("n_symbols"),
+        "word_chars": F.col("n_chars_all") - F.col("gap"),
+        "n_symbols": F.col("symbol"),
         "ranked": F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
     }).drop("lines", "windows")
     twice = F.filter("ranked", lambda x, k: (x["h"] == F.get("ranked", k - 1)["h"]) | (x["h"] == F.get("ranked", k + 1)["h"]))
@@ -81,34 +93,32 @@ def counted(docs: DataFrame) -> DataFrame:
     d = d.withColumn("covered", F.transform("starts", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("starts", k + 1) - p, F.lit(3)))))
     return d.withColumns({
         "n_repeat_words": F.coalesce(F.aggregate("covered", F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"),
-        "rest": F.col("n_chars_all") - F.col("small") - F.col("capital") - F.col("digit") - F.col("gap") - F.col("symbol"),
+        "rest": _rest(),
     }).drop("starts", "covered")
 
 
 def references(docs: DataFrame, rules: Rules) -> DataFrame:
-    """One row for each reference: language, its class shares, its common words, their shares and the word limit."""
+    """One row for each reference: language, its class shares, its common words by slots, their shares and the word limit."""
     d = docs.select(_language().alias("language"), F.coalesce("text", F.lit("")).alias("text"))
-    words = d.select("language", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
+    words = d.select("language", F.explode(F.transform(_words(), lambda w: F.xxhash64(w))).alias("word"))
     counts = written(words.groupBy("language", "word").agg(F.count("*").alias("n")), "word-counts")
-    total = counts.agg(F.sum("n").alias("t")).first()["t"] or 0
-    sizes = counts.groupBy("language").agg(F.sum("n").alias("of")).filter(F.col("of") >= rules.lang_share * total)
-    each = counts.join(F.broadcast(sizes), "language").filter(F.col("n") >= rules.word_share * F.col("of"))
-    pooled = counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= rules.word_share * total)
-    pooled = pooled.select(F.lit(EVERY).alias("language"), "word", "n", F.lit(total).cast("long").alias("of"))
-    common = each.unionByName(pooled).withColumn("share", F.col("n") / F.col("of"))
-    common = common.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("word", "share"))).alias("common"))
-
-    chars = d.select("language", F.length("text").cast("long").alias("all"), _length_of(r"[^\p{Ll}]+").alias("small"), _length_of(r"[^\p{Lu}]+").alias("capital"), _length_of(r"[^\p{Nd}]+").alias("digit"), (F.length("text") - _length_of(r"[\x20\x09-\x0D]+")).alias("gap"), (F.length("text") - _length_of(SYMBOLS + "+")).alias("symbol"))
-    chars = written(chars.groupBy("language").agg(*(F.sum(c).cast("long").alias(c) for c in ("all", *CLASSES[:-1]))), "class-counts")
-    every = chars.agg(*(F.sum(c).cast("long").alias(c) for c in chars.columns[1:])).withColumn("language", F.lit(EVERY))
-    chars = chars.join(F.broadcast(sizes.select("language")), "language").unionByName(every).filter(F.col("all") > 0)
-    chars = chars.withColumn("rest", F.col("all") - sum((F.col(c) for c in CLASSES[1:-1]), F.col("small")))
-    shares = chars.select("language", F.array(*((F.col(c) / F.col("all")) for c in CLASSES)).alias("class_shares"))
+    sizes = counts.groupBy("language").agg(F.sum("n").alias("of")).filter(F.col("of") >= rules.reference_words)
+    # Words of one language are as many keys as it has words; only the few that can be common meet its size.
+    likely = counts.filter(F.col("n") >= rules.word_share * rules.reference_words)
+    common = likely.join(sizes, "language").filter(F.col("n") >= rules.word_share * F.col("of")).withColumn("share", F.col("n") / F.col("of"))
+    common = common.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("word", "share"))).alias("common"))  # 1/word_share at most
+
+    chars = d.select("language", *(v.alias(k) for k, v in _classes().items()))
+    chars = written(chars.groupBy("language").agg(*(F.sum(c).alias(c) for c in ("n_chars_all", *CLASSES[:-1]))), "class-counts")
+    chars = chars.join(sizes.select("language"), "language").withColumn("rest", _rest())
+    shares = chars.select("language", F.array(*((F.col(c) / F.col("n_chars_all")) for c in CLASSES)).alias("class_shares"))
     out = shares.join(common, "language", "left")
     total = F.aggregate("common", F.lit(0.0), lambda a, x: a + x["share"])
     lacking = F.sqrt((total + _part(F.lit(1.0), 1 - total)) / 2)
-    limit = F.when((F.col("language") != EVERY) & (total > 0), F.least(F.lit(rules.max_word_distance), rules.lack_share * lacking)).otherwise(F.lit(rules.max_word_distance))
-    return out.select("language", "class_shares", F.transform("common", lambda x: x["word"]).alias("common_words"), F.transform("common", lambda x: x["share"]).alias("common_shares"), limit.alias("word_limit"))
+    slot = lambda k: F.filter("common", lambda x: F.pmod(x["word"], F.lit(_SLOTS)) == k)
+    slots = F.transform(F.sequence(F.lit(0), F.lit(_SLOTS - 1)), slot)
+    limit = F.when(total >= rules.least_common, F.least(F.lit(rules.max_word_distance), rules.lack_share * lacking))
+    return out.select("language", "class_shares", slots.alias("slots"), total.alias("common_share"), limit.alias("word_limit"))
 
 
 def _part(p: Column, q: Column) -> Column:
@@ -117,38 +127,53 @@ def _part(p: Column, q: Column) -> Column:
     return log(p) + log(q)
 
 
+def _beside(d: DataFrame, refs: DataFrame) -> DataFrame:
+    """Each row with its language's reference, if there is one."""
+    if refs.count() <= _FEW:
+        return d.join(F.broadcast(refs), "language", "left")
+    salt = F.pmod(F.xxhash64("doc_id", "n_chars_all", "word_chars"), F.lit(_SALTS))
+    wide = refs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    return d.withColumn("salt", salt).join(wide, ["language", "salt"], "left").drop("salt")
+
+
 def divergent(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs (doc_id, text and lang are used) with their counts, both distances and the verdict.
 
     Null text or lang: an empty text, an unnamed language. Empty text: no words, base_failed. Repeated rows are
-    judged one by one. An empty table gives no rows. Columns other than doc_id, text and lang are left out.
+    judged one by one, and so do equal distances and limits pass. A text of any length is one row. A language without a
+    reference has null distances. An empty table gives no rows. Columns other than doc_id, text and lang are left out.
     """
     docs = docs.select("doc_id", "text", "lang")
     refs = written(references(docs, rules), "references")
-    known = [r["language"] for r in refs.select("language").collect()]  # at most 1/lang_share + 1
-    d = counted(docs)
-    d = d.withColumn("language", F.when(_language().isin(known), _language()).otherwise(F.lit(EVERY))).drop("text", "lang")
-    d = d.join(F.broadcast(refs), "language", "left")
+    refs = refs.select("language", "class_shares", "common_share", "word_limit", F.transform("slots", lambda s: s["word"]).alias("slot_words"), F.transform("slots", lambda s: s["share"]).alias("slot_shares"))
+    d = counted(docs).withColumn("language", _language()).drop("text", "lang")
+    d = _beside(d, refs)
+
+    def number(w: Column) -> Column:
+        h = F.xxhash64(w)
+        slot = F.pmod(h, F.lit(_SLOTS))
+        place = F.array_position(F.get("slot_words", slot.cast("int")), h)
+        return F.when(place > 0, slot * _SLOT + place - 1)
 
-    d = d.withColumn("found", F.sort_array(F.filter(F.transform("words", lambda w: F.array_position("common_words", w)), lambda k: k > 0))).drop("words")
+    d = d.withColumn("found", F.sort_array(F.array_compact(F.transform("words", number)))).drop("words")
     last = F.filter(F.sequence(F.lit(0), F.size("found") - 1), lambda i: F.get("found", i + 1).isNull() | (F.get("found", i) != F.get("found", i + 1)))
     d = d.withColumn("ends", F.when(F.size("found") > 0, last))
     n = F.nullif(F.col("n_words").cast("double"), F.lit(0.0))
-    hits = F.transform("ends", lambda e, k: F.struct((F.element_at("common_shares", F.get("found", e).cast("int"))).alias("q"), ((e - F.coalesce(F.get("ends", k - 1), F.lit(-1))) / n).alias("p")))
+    share = lambda k: F.get(F.get("slot_shares", F.floor(k / _SLOT).cast("int")), (k % _SLOT).cast("int"))
+    hits = F.transform("ends", lambda e, k: F.struct(share(F.get("found", e)).alias("q"), ((e - F.coalesce(F.get("ends", k - 1), F.lit(-1))) / n).alias("p")))
     d = d.withColumn("hits", F.coalesce(hits, F.array().cast("array<struct<q:double,p:double>>"))).drop("ends")
     in_text = F.aggregate("hits", F.lit(0.0), lambda a, x: a + _part(x["p"], x["q"]))
     seen = F.aggregate("hits", F.lit(0.0), lambda a, x: a + x["q"])
-    common = F.coalesce(F.aggregate("common_shares", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
-    d = d.withColumns({"in_text": in_text, "unseen": common - seen, "other_p": 1 - F.size("found") / n, "other_q": 1 - common})
+    d = d.withColumns({"in_text": in_text, "unseen": F.col("common_share") - seen, "other_p": 1 - F.size("found") / n, "other_q": 1 - F.col("common_share")})
     # A common word that the text lacks adds its share: q * log2(2q / q).
     words = (F.col("in_text") + F.col("unseen") + _part(F.col("other_p"), F.col("other_q"))) / 2
     classes = sum((_part(F.col(c) / F.nullif("n_chars_all", F.lit(0)), F.get("class_shares", F.lit(k))) for k, c in enumerate(CLASSES)), F.lit(0.0)) / 2
     distance = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
     d = d.withColumns({
-        "class_distance": F.when((F.col("n_chars_all") >= rules.guard_chars) & (F.col("n_chars_all") > 0), distance(classes)),
-        "word_distance": F.when((F.col("n_words") >= rules.guard_words) & (F.col("n_words") > 0), distance(words)),
+        "class_distance": F.when((F.col("n_chars_all") >= rules.guard_chars) & (F.col("n_chars_all") > 0) & F.col("class_shares").isNotNull(), distance(classes)),
+        "word_distance": F.when((F.col("n_words") >= rules.guard_words) & (F.col("n_words") > 0) & F.col("word_limit").isNotNull(), distance(words)),
         "base_failed": (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")),
     })
-    verdict = (F.coalesce("class_distance", F.lit(0.0)) <= rules.max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= F.coalesce("word_limit", F.lit(rules.max_word_distance)))
+    verdict = (F.coalesce("class_distance", F.lit(0.0)) <= rules.max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= F.coalesce("word_limit", F.lit(1.0)))
     d = d.withColumn("kept", ~F.col("base_failed") & verdict)
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))

@@ -6,12 +6,17 @@ places, the second, a fixed permutation pi of that universe, is read from each p
 table, so a signature is a minimum over rows of a sliding view of it.
 
 Exact copies first become one class, known by a 128-bit digest of the shingle set. Classes that share a band are
-candidates. In every band bucket all members are held against its first one, then, in a few turns, against a member by
-chance if they are not in its component yet. Members of one component need no further look. What is left in buckets
-with several components is held against each other where two sets share one of their rarest shingles (the prefix
-filter, which loses no pair) and their parity sketches allow it, again only across components. So a bucket of n near
-copies costs a few n pairs, and no link between members of different components of a bucket is left out. With 24
-bands of 4 coordinates a pair at similarity 0.8 is missed with a chance of 3 in a million.
+candidates. A band bucket is dealt over SALTS sub-buckets by a hash of the member: members are held against the first
+one of their sub-bucket, these against the first one of the bucket, and then, in a few turns, members against one by
+chance of their sub-bucket that is in another component. Members of one component need no further look. What is left
+in buckets with several components is held against each other where two sets share one of their rarest shingles (the
+prefix filter, which loses no pair) and their parity sketches allow it, again only across components; the rows of a
+common shingle are dealt over as many keys as their number asks for. So a bucket of n near copies costs a few n pairs,
+no row meets more than its share of a bucket in one task, and no link between members of different components of a
+bucket is left out. With 24 bands of 4 coordinates a pair at similarity 0.8 is missed with a chance of 3 in a million.
+
+A set with nearly as many shingles as the universe has places looks like any other such set to the signature: it costs
+candidates, never links.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, blocks, dropped, mixed, written
@@ -82,6 +87,9 @@ class Signer:
         return out
 
 
+#: Sub-buckets of a band, and copies of a small table that is joined with a key that many rows may have.
+SALTS = 64
+
 _SIGNERS: dict[NearCopies, Signer] = {}
 
 
@@ -125,12 +133,24 @@ def _full_sets(batches: Iterator[pa.RecordBatch], rule: NearCopies) -> Iterator[
 
 
 def _sets_of(nodes: DataFrame, docs: DataFrame, rule: NearCopies) -> DataFrame:
+    """nodes: a written table of doc_ids, so that its size tells whether it can go to the texts or they have to come to it."""
     texts = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
     return texts.mapInArrow(partial(_full_sets, rule=rule), "node long, shingles array<long>").distinct()
 
 
-#: Counters of how common a shingle is among the texts that are left; any order would be right, this one is quick.
-_RARITY = 1 << 18
+def _salt(by: str | Column, n: int = SALTS) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(n))
+
+
+def _salted(many: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """many joined with few, a small table with one row a key, where a key may have any share of the rows of `many`."""
+    wide = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return many.withColumn("_salt", _salt(by)).join(wide, [key, "_salt"], how).drop("_salt")
+
+
+#: Counters of how common a shingle is among the texts that are left: a power of two, as many as there are shingles, in
+#: these bounds (16 MB at most). Any order would be right, this one is quick.
+_RARITY = 1 << 18, 1 << 22
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], rule: NearCopies, rarity: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -142,7 +162,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], rule: NearCopies, rarity: np.nd
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
             own = values[a:b]
             n = len(own)
-            order = np.lexsort((own, rarity[own % _RARITY]))
+            order = np.lexsort((own, rarity[own & (len(rarity) - 1)]))
             keys.append(own[order[: n - -(-n * rule.percent // 100) + 1]])
             sizes.append(len(keys[-1]))
         nodes = np.repeat(np.asarray(batch.column("node")), sizes)
@@ -187,14 +207,15 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         either = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         parent = written(either.groupBy("x").agg(F.min("y").alias("p")).select("x", F.least("x", "p").alias("p")), "parents")
-        while True:  # the parents' parents, until every one is its own
-            up = parent.select(F.col("x").alias("p"), F.col("p").alias("q"))
-            higher = written(parent.join(up, "p").select("x", F.col("q").alias("p"), (F.col("q") < F.col("p")).alias("went")), "parents")
-            done = higher.filter("went").isEmpty()
-            dropped(parent)
-            parent = higher.drop("went")
-            if done:
+        while True:  # the parents' parents, until every one is its own; a root, which may have any share of the rows, stays
+            up = parent.filter("x <> p").select(F.col("x").alias("p"), F.col("p").alias("q"))
+            up = written(up.join(parent.select("p").distinct(), "p", "left_semi"), "parents")
+            if up.isEmpty():
                 break
+            higher = written(_salted(parent, up, "p", "x", "left").select("x", F.coalesce("q", "p").alias("p")), "parents")
+            dropped(parent)
+            dropped(up)
+            parent = higher
         step = parent.select(F.col("x").alias("label"), F.col("p").alias("root"))
         if moved is None:
             moved = step
@@ -214,32 +235,38 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
 
     component_id is the smallest doc_id reachable over links, the row's own included; kept rows are those that have it.
     A text without words (null, empty) has no shingles and is linked with nothing. Rows that share a doc_id are one
-    document to the links. A row without doc_id is linked with nothing, has no component and is kept. An empty table
-    gives no rows. Columns other than doc_id and text are not used.
+    document to the links, and get one row each. A row without doc_id is linked with nothing, has no component and is
+    kept. A similarity right at the limit is a link. Texts of any length are taken whole. An empty table gives no rows.
+    Columns other than doc_id and text are not used.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = written(docs.mapInArrow(partial(_sign, rule=rule), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
     real = signed.filter("doc_id is not null and digest is not null")
     # A class of equal sets goes by its smallest doc_id, and one row of it carries its bands.
-    classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    carriers = real.join(classes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"], "left_semi")
+    classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")), "classes")
+    carriers = real.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     carriers = carriers.groupBy("digest", F.col("doc_id").alias("node")).agg(F.first("bands").alias("bands"))
-    bands = written(carriers.select("node", F.explode("bands").alias("band")), "bands")
-    buckets = bands.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").drop("last")
-    members = written(bands.join(buckets, "band").select("band", "first", "node").distinct(), "members")
+    bands = written(carriers.select("node", F.explode("bands").alias("band")).withColumn("salt", _salt("node")), "bands")
+    leads = bands.groupBy("band", "salt").agg(F.min("node").alias("lead"), F.count("*").alias("n"))
+    leads = leads.groupBy("band").agg(F.min("lead").alias("first"), F.sum("n").alias("n"), F.collect_list(F.struct("salt", "lead")).alias("leads")).filter("n > 1")  # SALTS at most
+    leads = written(leads.select("band", "first", F.explode("leads").alias("of")).select("band", "first", "of.*"), "leads")
+    members = written(bands.join(leads, ["band", "salt"]).select("band", "salt", "first", "lead", "node").distinct(), "members")
     # The full sets of all that share a band with another text, made once, and their sketches. Sizes and sketches rule
     # out most candidates, and never a pair that is similar enough.
-    pool = written(_sets_of(members.select("node").distinct(), docs, rule), "sets")
+    nodes = written(members.select("node").distinct(), "candidates")
+    pool = written(_sets_of(nodes, docs, rule), "sets")
     odd = written(pool.mapInArrow(_odd, "node long, n long, odd array<long>"), "sketches")
     differ = " + ".join(f"bit_count(oa[{i}] ^ ob[{i}])" for i in range(_ODD_BITS // 64))
     near = f"100 * least(na, nb) >= {rule.percent} * greatest(na, nb) and {100 + rule.percent} * ({differ}) <= {100 - rule.percent} * (na + nb)"
     marks = lambda c: odd.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
     sifted = lambda pairs: pairs.distinct().join(marks("a"), "a").join(marks("b"), "b").filter(near).select("a", "b").distinct()
-    tried = written(sifted(members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))), "pairs")
+    in_sub = members.filter("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    of_leads = members.filter("lead = node and first <> lead").select(F.col("first").alias("a"), F.col("lead").alias("b"))
+    tried = written(sifted(in_sub.unionByName(of_leads)), "pairs")
     links = written(_verified(tried, pool, rule), "links")
     # A doc_id with several texts joins their classes.
     several = real.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc_id")
-    own = real.join(several, "doc_id").select("doc_id", "digest").distinct().join(classes, "digest")
+    own = _salted(real.select("doc_id", "digest").distinct(), several, "doc_id", "digest").join(classes, "digest")
     own = written(own.select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "own-links")
     found = written(components(links.unionByName(own)), "components")
 
@@ -248,14 +275,14 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
     while True:
         # Only buckets whose members are not all in one component need a further look.
         placed = written(label(members if placed is None else placed.drop("l"), "node", "l"), "placed")
-        several_labels = placed.groupBy("band").agg(F.min("l").alias("low"), F.max("l").alias("high")).filter("low <> high").select("band")
-        placed = written(placed.join(several_labels, "band", "left_semi"), "placed")
+        several_labels = written(placed.groupBy("band").agg(F.min("l").alias("low"), F.max("l").alias("high")).filter("low <> high").select("band"), "mixed")
+        placed = written(_salted(placed, several_labels, "band", "node", "left_semi"), "placed")
         turn += 1
         if turn > rule.turns or placed.isEmpty():
             break
-        # In each turn another member, by chance, is held against all that are not in its component.
-        lead = placed.groupBy("band").agg(F.min_by(F.struct("node", "l"), F.xxhash64("node", "band", F.lit(turn))).alias("lead"))
-        more = placed.join(lead, "band").filter("l <> lead.l").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+        # In each turn another member, by chance, is held against all of its sub-bucket that are not in its component.
+        lead = placed.groupBy("band", "salt").agg(F.min_by(F.struct("node", "l"), F.xxhash64("node", "band", F.lit(turn))).alias("lead"))
+        more = placed.join(lead.withColumnRenamed("lead", "other"), ["band", "salt"]).filter("l <> other.l").select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"))
         more = written(sifted(more).join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
@@ -268,26 +295,32 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
     if not placed.isEmpty():
         left = placed.select("node", "l").distinct()
         sets = written(pool.join(left.select("node").distinct(), "node", "left_semi"), "left-sets")
-        seen = sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(_RARITY)).alias("slot")).agg(F.count("*").alias("n"))
-        rarity = np.zeros(_RARITY, np.int32)
-        for r in seen.filter("n > 1").collect():  # at most _RARITY counters
-            rarity[r["slot"]] = min(r["n"], 2**31 - 1)
+        total = sets.agg(F.sum(F.size("shingles")).alias("n")).first()["n"]
+        counters = 1 << int(np.clip(int(total - 1).bit_length(), *(x.bit_length() - 1 for x in _RARITY)))
+        seen = sets.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(counters - 1)).alias("slot")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).alias("n"))
+        seen, rarity = seen.filter("n > 1").toArrow(), np.zeros(counters, np.int32)
+        rarity[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
         keyed = sets.mapInArrow(partial(_prefixes, rule=rule, rarity=rarity), "node long, key long").distinct()
         keyed = written(keyed.join(left, "node"), "keyed")
-        sizes = keyed.groupBy("key", "l").agg(F.count("*").alias("m"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("m", "l")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("top.l").alias("lt"))
-        # Only what is outside a key's largest component meets the others, so a large component costs no pairs of its own.
-        keyed = written(keyed.join(largest, "key").join(odd, "node"), "keyed")
-        apart = keyed.filter("l <> lt").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"), F.col("l").alias("la"))
-        rest = keyed.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"), F.col("l").alias("lb"))
-        apart = apart.join(rest, "key").filter(f"la <> lb and {near}")
+        sizes = keyed.groupBy("key", "l").agg(F.count("*").alias("m")).groupBy("key")
+        mixed_keys = sizes.agg(F.max(F.struct("m", "l")).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("m")).filter("labels > 1")
+        mixed_keys = written(mixed_keys.select("key", F.col("top.l").alias("lt"), F.ceil(F.col("m") / 256).alias("parts")), "mixed")
+        # Only what is outside a key's largest component meets the others, so a large component costs no pairs of its own;
+        # the others are dealt over the key's parts, and each one outside goes to all of them.
+        keyed = written(_salted(keyed, mixed_keys, "key", "node").join(odd, "node"), "keyed")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+        apart = keyed.filter("l <> lt").select("key", every, F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"), F.col("l").alias("la"))
+        rest = keyed.select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"), F.col("l").alias("lb"))
+        apart = apart.join(rest, ["key", "part"]).filter(f"la <> lb and {near}")
         more = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             links = written(links.unionByName(_verified(more, pool, rule)), "links")
             found = written(components(links.unionByName(own)), "components")
 
-    labels = label(classes, "node", "component").select("digest", "component")
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(labels, "digest", "left")
+    # Only classes of several rows, or with links, say more of a row than it does itself.
+    labels = label(classes, "node", "component").filter("node <> last or component <> node").select("digest", "component")
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    out = _salted(out, written(labels, "labels"), "digest", "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -81,4 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {"op2_divergence": oracles.DIVERGENCE, "op6_fixity": oracles.FIXITY}
+ORACLES: dict[str, str] = {
+    "op2_divergence": oracles.DIVERGENCE,
+    "op4_minhash": oracles.NEAR_COPIES,
+    "op6_fixity": oracles.FIXITY,
+    "op8_repeats": oracles.REPEATS,
+}

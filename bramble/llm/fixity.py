@@ -107,7 +107,7 @@ def replica(pages: DataFrame, records: int = RECORDS, octets: int = OCTETS) -> t
         raise ValueError(f"a file has at most {RECORDS} records")
     folder = fresh_path(pages.sparkSession, "replica")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    return folder, written(rows.mapInArrow(partial(_write, folder=folder, records=records, octets=octets), _WRITTEN), "manifest")
+    return folder, written(rows.mapInArrow(partial(_write, folder=folder, records=records, octets=octets), _WRITTEN), "manifest", {"compression": "zstd"})
 
 
 def walked(raw: bytes) -> Iterator[tuple[str | None, int, int, bytes]]:
@@ -185,7 +185,7 @@ def trees(folder: str, files: DataFrame) -> DataFrame:
     """All nodes of the trees over a replica's files (column file), one task for a few files, written."""
     names = files.select("file").distinct()
     n = ways(names.count(), 4, least=1)
-    return written(names.repartition(n, "file").mapInArrow(partial(_trees, folder=folder), _NODES), "tree")
+    return written(names.repartition(n, "file").mapInArrow(partial(_trees, folder=folder), _NODES), "tree", {"compression": "zstd"})
 
 
 def compared(a: DataFrame, b: DataFrame) -> DataFrame:

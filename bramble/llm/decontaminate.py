@@ -12,23 +12,28 @@ reach 1, and past whole blocks whose maxima don't. Everything that reaches 1 is
 counts if the text around the passage holds at least `overlap` percent of the five-word shingles of both the item's
 question and its answer (the last sentence, or the last third of the words if there is one sentence only).
 
-Items are indexed by shards of at most `shard_chars` characters: that bounds the driver's share and the broadcast.
+Items are indexed by shards of about `shard_chars` characters, each built by a task from its items and written to the
+shared folder; document frequencies and the mean length are those of all items, so scores don't depend on the shards. A
+searching task takes its texts `HELD` bytes at a time through one shard after the other: one scan of the texts, one
+index in memory, nothing on the driver.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIGNS, Rolling, blocks, total_chars, ways, written
+from .common import SIGNS, Rolling, blocks, file_system, fresh_path, put_file, total_chars, ways, written
 
 
 @dataclass(frozen=True)
@@ -45,6 +50,8 @@ class Rule:
     shard_chars: int = 4_000_000
 
 
+#: Bytes of texts that a task takes through the shards at a time.
+HELD = 48_000_000
 _HASHER = Rolling(31)
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
@@ -71,8 +78,19 @@ def _shingles(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(_HASHER.runs(words, min(n, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """What weights need to know of all items: their number, their mean length, and how many have a term."""
+
+    items: int
+    mean: float
+    having: dict[int, int]
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]], rule: Rule) -> None:
+    """An inverted index of items; `of`: the corpus that they are a part of, themselves if it is not given."""
+
+    def __init__(self, items: list[tuple[int | None, str]], rule: Rule, of: Corpus | None = None) -> None:
         self.rule, self.item_ids = rule, [i for i, _ in items]
         words = _hash([t for _, t in items])
         self.lengths = [len(w) for w in words]
@@ -85,10 +103,11 @@ class Index:
             for t, n in zip(*np.unique(w, return_counts=True), strict=True):
                 postings.setdefault(int(t), []).append((k, int(n)))
         self.terms = np.array(sorted(postings), np.uint64)
-        mean = max(1.0, sum(self.lengths) / max(1, len(items)))
+        of = of or Corpus(len(items), sum(self.lengths) / max(1, len(items)), {t: len(x) for t, x in postings.items()})
+        mean = max(1.0, of.mean)
         weight, own = {}, np.zeros(len(items))
         for t, found in postings.items():
-            idf = np.log1p((len(items) - len(found) + 0.5) / (len(found) + 0.5))
+            idf = np.log1p((of.items - of.having[t] + 0.5) / (of.having[t] + 0.5))
             for k, n in found:
                 weight[t, k] = idf * n * (rule.k1 + 1) / (n + rule.k1 * (1 - rule.b + rule.b * self.lengths[k] / mean))
                 own[k] += weight[t, k]
@@ -182,69 +201,146 @@ def _above(index: Index, pairs: np.ndarray, passage: np.ndarray) -> Iterator[tup
                 yield int(passage[a]), item, score
 
 
-def _search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+def _held(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, float, float, float]]:
+    """(row, item, first word, score, overlap of question and answer) of all passages that hold an item."""
     rule, n_terms = index.rule, len(index.terms)
-    for batch in batches:
-        rows = []
-        for first, end, data, offsets in blocks(batch.column(1)):
-            words, _, _, row = _HASHER.words(data, offsets, lower=True, gap=SIGNS)
-            if not len(words) or not n_terms:
-                continue
-            # Strides are numbered through the block of text; passage p is stride p and the next one of the same text.
-            counts = np.diff(row)
-            strides = -(-counts // rule.stride)
-            base = np.concatenate(([0], np.cumsum(strides)))
-            owner = np.repeat(np.arange(end - first), counts)
-            stride = base[owner] + (np.arange(len(words)) - row[owner]) // rule.stride
-            term = index.term_of(words)
-            known = np.flatnonzero(term >= 0)
-            s, t, o = stride[known], term[known], owner[known]
-            before = s > base[o]
-            pairs = np.unique(np.concatenate((s * n_terms + t, (s[before] - 1) * n_terms + t[before])))
-            passage = pairs // n_terms
-            for p, item, score in _above(index, pairs, passage):
-                k = int(np.searchsorted(base, p, "right")) - 1
-                at = int(row[k]) + (p - int(base[k])) * rule.stride
-                longest = index.lengths[item]
-                region = words[max(int(row[k]), at - longest) : min(int(row[k + 1]), at + rule.passage + longest)]
-                sizes = index.sizes[item]
-                q = _overlap(index.question[item], sizes[0], region)
-                a2 = _overlap(index.answer[item], sizes[1], region)
-                if q >= rule.overlap and a2 >= rule.overlap:
-                    rows.append((first + k, index.item_ids[item], at - int(row[k]), score, q, a2))
-        if rows:
-            at, item, place, score, q, a2 = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(place, pa.int64()), pa.array(score), pa.array(q), pa.array(a2)], ["doc_id", "item_id", "word", "score", "question_overlap", "answer_overlap"])
+    for first, end, data, offsets in blocks(texts):
+        words, _, _, row = _HASHER.words(data, offsets, lower=True, gap=SIGNS)
+        if not len(words) or not n_terms:
+            continue
+        # Strides are numbered through the block of text; passage p is stride p and the next one of the same text.
+        counts = np.diff(row)
+        strides = -(-counts // rule.stride)
+        base = np.concatenate(([0], np.cumsum(strides)))
+        owner = np.repeat(np.arange(end - first), counts)
+        stride = base[owner] + (np.arange(len(words)) - row[owner]) // rule.stride
+        term = index.term_of(words)
+        known = np.flatnonzero(term >= 0)
+        s, t, o = stride[known], term[known], owner[known]
+        before = s > base[o]
+        pairs = np.unique(np.concatenate((s * n_terms + t, (s[before] - 1) * n_terms + t[before])))
+        passage = pairs // n_terms
+        for p, item, score in _above(index, pairs, passage):
+            k = int(np.searchsorted(base, p, "right")) - 1
+            at = int(row[k]) + (p - int(base[k])) * rule.stride
+            longest = index.lengths[item]
+            region = words[max(int(row[k]), at - longest) : min(int(row[k + 1]), at + rule.passage + longest)]
+            sizes = index.sizes[item]
+            q = _overlap(index.question[item], sizes[0], region)
+            a = _overlap(index.answer[item], sizes[1], region)
+            if q >= rule.overlap and a >= rule.overlap:
+                yield first + k, item, at - int(row[k]), score, q, a
+
+
+_LOADED: dict[tuple[str, int], Index] = {}
+
+
+def _shard(folder: str, number: int) -> Index:
+    """A shard of the index; a worker keeps the last one."""
+    key = folder, number
+    if key not in _LOADED:
+        _LOADED.clear()
+        fs, root = file_system(folder)
+        with fs.open_input_stream(f"{root}/items-{number:08d}", compression=None) as f:
+            _LOADED[key] = pickle.loads(f.read())
+    return _LOADED[key]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= HELD:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+_HITS = "doc_id long, item_id long, word long, score double, question_overlap double, answer_overlap double"
+
+
+def _search(batches: Iterator[pa.RecordBatch], folder: str, shards: list[int]) -> Iterator[pa.RecordBatch]:
+    for held in _groups(batches):
+        for number in shards:
+            index = _shard(folder, number)
+            for batch in held:
+                rows = list(_held(index, batch.column(1)))
+                if rows:
+                    at, item, place, score, q, a = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([index.item_ids[i] for i in item], pa.int64()), pa.array(place, pa.int64()), pa.array(score), pa.array(q), pa.array(a)], [x.split()[0] for x in _HITS.split(", ")])
+
+
+def _keep(batches: Iterator[pa.RecordBatch], folder: str, shards: list[int]) -> Iterator[pa.RecordBatch]:
+    for held in _groups(batches):
+        texts = [pa.compute.fill_null(b.column(b.schema.get_field_index("text")), "") for b in held]
+        stay = [np.ones(len(b), bool) for b in held]
+        for number in shards:
+            index = _shard(folder, number)
+            for text, own in zip(texts, stay, strict=True):
+                for row, *_ in _held(index, text):
+                    own[row] = False
+        for b, own in zip(held, stay, strict=True):
+            yield b.filter(pa.array(own))
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = _hash(b.column("text").to_pylist())
+        terms = pa.array([np.unique(w).view(np.int64) for w in words], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array([len(w) for w in words], pa.int64()), terms], ["shard", "length", "terms"])
+
+
+def _build(key, items: pa.Table, having: pa.Table, folder: str, rule: Rule, n: int, mean: float) -> pa.Table:
+    number = key[0].as_py()
+    own = sorted(zip(items.column("item_id").to_pylist(), items.column("text").to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    of = Corpus(n, mean, dict(zip(having.column("term").to_numpy().view(np.uint64).tolist(), having.column("n").to_pylist(), strict=True)))
+    put_file(folder, f"items-{number:08d}", [pickle.dumps(Index(own, rule, of))])
+    return pa.table({"shard": pa.array([number], pa.int32())})
+
+
+def indexed(items: DataFrame, rule: Rule = Rule()) -> tuple[str, list[int]]:
+    """(folder, shards) of an index of all items with a word, those without item_id included, equal rows once.
+
+    Shards grow in number with the items, not in size; an item is never cut.
+    """
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).distinct()
+    n_shards = ways(total_chars(items), rule.shard_chars, least=1)
+    items = written(items.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(n_shards)).cast("int")), "items")
+    folder = fresh_path(items.sparkSession, "index")
+    terms = written(items.mapInArrow(_terms, "shard int, length long, terms array<long>"), "terms")
+    size = terms.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    one = terms.select("shard", F.explode("terms").alias("term"))
+    having = one.distinct().join(one.groupBy("term").agg(F.count("*").alias("n")), "term")
+    n, mean = size["n"], size["mean"] or 0.0
+    built = items.groupBy("shard").cogroup(having.groupBy("shard")).applyInArrow(lambda key, t, u: _build(key, t, u, folder, rule, n, mean), "shard int")
+    return folder, sorted(r["shard"] for r in written(built, "shards").collect())
 
 
 def hits(docs: DataFrame, items: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, item_id, word, score, question_overlap, answer_overlap): passages, by first word, that hold an item.
 
-    Neighbouring passages that both hold an item give a row each, repeated rows of docs one row set each. Null or empty
-    texts hold nothing; null or empty items are held by nothing. No items or no docs: no rows. Columns other than
-    doc_id and text, item_id and text are not used.
+    Neighbouring passages that both hold an item give a row each, repeated rows of docs one row set each, and so do items
+    with equal texts. Null or empty texts hold nothing; items without a word are held by nothing; one without item_id is
+    searched for like any other. A score right at the threshold counts. Texts of any length are searched whole. No items
+    or no docs: no rows. Columns other than doc_id and text, item_id and text are not used.
     """
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    n_shards = ways(total_chars(items), rule.shard_chars, least=1)
-    items = items.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(n_shards)))
+    folder, shards = indexed(items, rule)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "doc_id long, item_id long, word long, score double, question_overlap double, answer_overlap double"
-    found = []
-    for shard in range(n_shards):
-        own = sorted((r["item_id"], r["text"]) for r in items.filter(F.col("shard") == shard).distinct().collect() if r["item_id"] is not None)
-        if own:
-            found.append(docs.mapInArrow(partial(_search, index=Index(own, rule)), schema))
-    return reduce(DataFrame.unionByName, found) if found else docs.limit(0).select("doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", ")[1:])))
+    return docs.mapInArrow(partial(_search, folder=folder, shards=shards), _HITS)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(doc_id, item_id, passages, score, question_overlap, answer_overlap): best figures of each document and item."""
-    found = hits(docs, items, rule).filter("doc_id is not null")
+    """(doc_id, item_id, passages, score, question_overlap, answer_overlap): best figures of each document and item.
+
+    Rows without doc_id are one document here, and so are items without item_id.
+    """
     best = [F.round(F.max(c), 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")]
-    return found.groupBy("doc_id", "item_id").agg(F.countDistinct("word").alias("passages"), *best)
+    return hits(docs, items, rule).groupBy("doc_id", "item_id").agg(F.countDistinct("word").alias("passages"), *best)
 
 
 def clean(docs: DataFrame, items: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id holds no item; rows without doc_id stay."""
-    bad = written(hits(docs, items, rule).filter("doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, all columns as they are, whose own text holds no item, with or without doc_id."""
+    folder, shards = indexed(items, rule)
+    return docs.mapInArrow(partial(_keep, folder=folder, shards=shards), docs.schema)

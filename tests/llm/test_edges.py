@@ -140,19 +140,6 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.clean(docs, items).count() == len(ROWS) - 2
 
 
-def test_wand_against_all_scores():
-    r = np.random.Generator(np.random.PCG64(2))
-    items = [(i, " ".join(f"t{k}" for k in r.zipf(1.5, 30) % 60)) for i in range(90)]
-    index = decontaminate.Index(items, decontaminate.Rule(posting_block=3, share=0.2))
-    for _ in range(100):
-        terms = sorted(set(r.integers(0, len(index.terms), r.integers(1, 20)).tolist()))
-        scores: dict = {}
-        for t in terms:
-            for i, w in zip(index.lists[t][0], index.lists[t][1], strict=True):
-                scores[i] = scores.get(i, 0) + w
-        assert {i for i, _ in index.retrieve(terms)} == {i for i, s in scores.items() if s >= 1 - 1e-9}
-
-
 def test_packing(docs, none):
     got = packing.packed(docs, capacity=64).toPandas()
     assert packing.packed(none).count() == 0

@@ -20,6 +20,7 @@ import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Bytes of text that one numpy block holds (a longer single text is a block of its own).
 BLOCK_BYTES = 1_000_000
@@ -156,13 +157,14 @@ def side_table(df: DataFrame, name: str) -> str:
     return path
 
 
-def chunked(df: DataFrame, order: list, n: int, schema: str) -> DataFrame:
+def chunked(df: DataFrame, order: list, n: int) -> DataFrame:
     """df sorted by `order` in n chunks by ranges of it, written a chunk to a file of one row group, with a column chunk.
 
     A file of one row group is never divided among tasks, so every scan has each chunk whole and in order.
     """
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return written(dealt.mapInArrow(_numbered, f"chunk int, {schema}"), "chunks", {"parquet.block.size": 2**30})
+    schema = StructType([StructField("chunk", IntegerType()), *df.schema.fields])
+    return written(dealt.mapInArrow(_numbered, schema), "chunks", {"parquet.block.size": 2**30})
 
 
 class Rolling:

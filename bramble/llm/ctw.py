@@ -47,7 +47,7 @@ class Rule:
     #: Bytes of context, at most 7.
     depth: int = 5
     chunk_chars: int = 16_000_000
-    bucket_chars: int = 4_000_000
+    bucket_chars: int = 8_000_000
 
 
 #: Bytes of context whose nodes are weighted together above the parts.
@@ -397,7 +397,7 @@ def scored(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     chars, ends = seen["chars"] or 0, seen["ends"] or 0
     args = {"depth": rule.depth, "n_buckets": ways(chars, rule.bucket_chars)}
     n_parts = ways(min(chars, PART_BOUND), rule.bucket_chars)
-    chunks = chunked(rows, [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")], ways(chars, rule.chunk_chars), "doc_id long, text string, trains int")
+    chunks = chunked(rows, [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")], ways(chars, rule.chunk_chars))
     depth = rule.depth
     sent = written(chunks.mapInArrow(partial(by_chunk, work=_send, side={}, args=args), "kind int, bucket int, chunk int, keys binary, n binary"), "counts")
     of_grams, of_words = sent.filter(f"kind = {GRAMS}"), sent.filter(f"kind = {WORDS}")

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Rolling, blocks, by_chunk, chunked, side_table, total_chars, ways
 
@@ -39,16 +40,17 @@ class Repeats:
     window: int = 20
     #: Characters of text in one chunk, and rolling windows in one bucket, about.
     chunk_chars: int = 16_000_000
-    bucket_chars: int = 4_000_000
-    #: Whether a text that loses nothing comes back as it is, spacing and all, and not as its words joined.
-    untouched: bool = False
+    bucket_chars: int = 16_000_000
+    #: Whether kept_text is the text with the removed words cut out, all else as it is, and not the kept words joined.
+    cut_out: bool = False
 
     @property
     def block(self) -> int:
         return (self.window + 1) // 2
 
 
-_HASHERS = (Rolling(21), Rolling(22))
+#: Two hashes of a window, of tables and bases of their own.
+_HASHERS = (Rolling(21), Rolling(22, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
 def _whole(row: np.ndarray, n_words: int, n: int) -> np.ndarray:
@@ -131,7 +133,7 @@ def _firsts(key, table: pa.Table) -> pa.Table:
 
 
 def _candidates(texts: pa.Table, hits: pa.Table | None, rule: Repeats, n_buckets: int) -> Iterator[tuple]:
-    """(rows, bytes, word starts, ends, rows' first words, candidate windows, their rows, two hashes) by blocks of text."""
+    """(rows, bytes, word starts, ends, rows' first words, candidate windows, their rows, two hashes, rows' offsets)."""
     parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in hits.column("hashes")] if hits is not None else []
     known = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
     n, b = rule.window, rule.block
@@ -153,7 +155,7 @@ def _candidates(texts: pa.Table, hits: pa.Table | None, rule: Repeats, n_buckets
                 owner = np.repeat(np.arange(end - first), np.diff(row))[at]
                 h1 = _HASHERS[0].runs(words, n)[at]
                 h2 = _HASHERS[1].runs(_HASHERS[1].words(data, offsets, lower=False)[0], n)[at]
-        yield first, end, data, s, e, row, at, owner, h1, h2
+        yield first, end, data, s, e, row, at, owner, h1, h2, offsets
 
 
 class _Windows:
@@ -204,7 +206,7 @@ def _taken_out(number: int, texts: pa.Table, side: dict, rule: Repeats, n_bucket
             own[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
     earlier = ~(own[w.number] & (w.first[w.number] == w.at))
     n_words, n_removed, kept, done = [], [], [], 0
-    for first, end, data, s, e, row, at, _owner, _h1, _h2 in found:
+    for first, end, data, s, e, row, at, _owner, _h1, _h2, offsets in found:
         gone = np.zeros(len(s) + 1, np.int32)
         mark = at[earlier[done : done + len(at)]]
         done += len(at)
@@ -217,34 +219,46 @@ def _taken_out(number: int, texts: pa.Table, side: dict, rule: Repeats, n_bucket
             stay = np.flatnonzero(~out[a:b]) + a
             n_words.append(b - a)
             n_removed.append(b - a - len(stay))
-            if rule.untouched and len(stay) == b - a:
-                kept.append(texts.column("text")[first + k].as_py())
-                continue
-            kept.append(b" ".join([raw[i:j] for i, j in zip(s[stay].tolist(), e[stay].tolist(), strict=True)]).decode("utf-8", "replace"))
-    others = [c for c in texts.column_names if c not in ("chunk", "doc_id", "text", "copy")]
-    return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())} | {c: texts.column(c) for c in others})
+            if rule.cut_out:
+                kept.append(_cut_out(raw[offsets[k] : offsets[k + 1]], s[a:b] - offsets[k], e[a:b] - offsets[k], out[a:b]))
+            else:
+                kept.append(b" ".join([raw[i:j] for i, j in zip(s[stay].tolist(), e[stay].tolist(), strict=True)]))
+    rest = {"rest": texts.column("rest")} if "rest" in texts.column_names else {}
+    return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).view(pa.string())} | rest)
+
+
+def _cut_out(raw: bytes, s: np.ndarray, e: np.ndarray, out: np.ndarray) -> bytes:
+    """A text without runs of removed words, each with the gap behind it; what stays keeps its own spacing."""
+    if not out.any():
+        return raw
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], out, [False])).astype(np.int8)))
+    parts, at = [], 0
+    for first, after in edge.reshape(-1, 2).tolist():
+        parts.append(raw[at : s[first]])
+        at = int(s[after]) if after < len(s) else int(e[-1])
+    return b"".join([*parts, raw[at:]])
 
 
 def without_repeats(docs: DataFrame, rule: Repeats = Repeats(), carried: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words joined by one blank) and `carried` for every row of docs.
+    """doc_id, n_words, n_removed, kept_text (kept words joined by one blank) and, if any are `carried`, a struct `rest`
+    of those columns, for every row of docs.
 
     A word goes if a window over it has the same words as one that starts earlier: in a smaller doc_id, or earlier in
     its own text. Null text: no words. Rows without doc_id come before all others; rows that share a doc_id are ordered
-    by a hash of their texts, and those with equal texts too are one document, with one result. An empty table gives no
-    rows. Columns other than doc_id, text and those carried are not used; carried ones may not be named like these, copy
-    or chunk.
+    by a hash of their texts, and those with equal texts too are one document, with one result. A text longer than a
+    chunk is a chunk of its own. An empty table gives no rows. Carried columns may have any names; others are not used.
     """
-    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carried).withColumn("copy", F.xxhash64("text"))
+    rest = [F.struct(*(F.col(f"`{c}`") for c in carried)).alias("rest")] if carried else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *rest).withColumn("copy", F.xxhash64("text"))
     total = total_chars(docs)
     n_buckets = ways(total, rule.bucket_chars)
     args = {"rule": rule, "n_buckets": n_buckets}
-    order = [F.col("doc_id").asc_nulls_first(), F.col("copy")]
-    chunks = chunked(docs, order, ways(total, rule.chunk_chars), f"doc_id long, text string{kinds}, copy long")
+    chunks = chunked(docs, [F.col("doc_id").asc_nulls_first(), F.col("copy")], ways(total, rule.chunk_chars))
     passed = lambda work, schema, **side: chunks.mapInArrow(partial(by_chunk, work=work, side=side, args=args), schema)
 
     probes = passed(_probe, "bucket int, chunk int, hashes binary, marks binary")
     hits = side_table(probes.groupBy("bucket").applyInArrow(lambda key, t: _hits(key, t), "chunk int, hashes binary"), "hits")
     sent = passed(_send, "bucket int, chunk int, hashes binary", hits=hits)
     firsts = side_table(sent.groupBy("bucket").applyInArrow(lambda key, t: _firsts(key, t), "chunk int, bucket int, bits binary"), "firsts")
-    return passed(_taken_out, f"doc_id long, n_words long, n_removed long, kept_text string{kinds}", hits=hits, firsts=firsts)
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_text string")
+    return passed(_taken_out, StructType(schema.fields + [f for f in docs.schema.fields if f.name == "rest"]), hits=hits, firsts=firsts)

@@ -113,25 +113,6 @@ def test_repeats(docs, none):
     assert [x[2] for x in removed if x[0] == 6] == [6000, 6000] and [x[2] for x in removed if x[0] in (1, 2, 3, 4, 8)] == [0] * 5
 
 
-def test_repeats_by_loops(spark):
-    r = np.random.Generator(np.random.PCG64(1))
-    base = [f"w{i}" for i in r.integers(0, 50, 400)]
-    rows = []
-    for i in range(25):
-        a, n = r.integers(0, 300, 2)
-        rows.append((int(i), " ".join([*(f"u{i}_{k}" for k in range(r.integers(0, 15))), *base[a : a + n // 3], *base[a : a + n // 4]])))
-    got = {x["doc_id"]: x for x in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), repeats.Repeats(chunk_chars=3000, bucket_chars=2000)).collect()}
-    seen = set()
-    for i, t in rows:
-        w, gone = t.split(), set()
-        for k in range(len(w) - 19):
-            g = tuple(w[k : k + 20])
-            if g in seen:
-                gone |= set(range(k, k + 20))
-            seen.add(g)
-        assert got[i]["n_removed"] == len(gone) and got[i]["kept_text"] == " ".join(x for k, x in enumerate(w) if k not in gone)
-
-
 def test_decontaminate(spark, docs, none):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again. And again"), (2, None), (3, ""), (4, "nothing like it is in any of these texts at all")], "item_id long, text string")
     got = decontaminate.contaminated(docs, items).collect()

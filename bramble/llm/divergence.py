@@ -53,19 +53,24 @@ def _language() -> Column:
     return F.coalesce(F.col("lang"), F.lit(""))
 
 
-def _without(pattern: str) -> Column:
-    """Code points left of the text when runs of `pattern` are taken out."""
-    return F.length(F.regexp_replace("text", f"{pattern}+", "")).cast("long")
+def _without(column: str, pattern: str) -> Column:
+    return F.regexp_replace(column, f"{pattern}+", "")
 
 
 def _words() -> Column:
-    return F.array_remove(F.split("text", f"{GAP}+"), "")
+    return F.split("text", f"{GAP}+")
 
 
-def _classes() -> dict[str, Column]:
-    """The text's characters, and of them those of each class but the last."""
-    n = F.length("text").cast("long")
-    return {"n_chars_all": n, "small": n - _without(r"\p{Ll}"), "capital": _without(r"[^\p{Lu}]"), "digit": _without(r"[^\p{Nd}]"), "gap": n - _without(GAP), "symbol": n - _without(SYMBOLS)}
+def _with_classes(d: DataFrame) -> DataFrame:
+    """d with the number of the text's characters, and of those of each class but the last.
+
+    Small letters are taken out first and gaps then, so the rarer classes are looked for in what little is left.
+    """
+    n = lambda c: F.length(c).cast("long")
+    d = d.withColumns({"n_chars_all": n("text"), "no_small": _without("text", r"\p{Ll}")})
+    d = d.withColumns({"small": F.col("n_chars_all") - n("no_small"), "no_gap": _without("no_small", GAP)})
+    others = {c: n("no_gap") - n(_without("no_gap", p)) for c, p in (("capital", r"\p{Lu}"), ("digit", r"\p{Nd}"), ("symbol", SYMBOLS))}
+    return d.withColumns({"gap": n("no_small") - n("no_gap"), **others}).drop("no_small", "no_gap")
 
 
 def _rest() -> Column:
@@ -73,20 +78,20 @@ def _rest() -> Column:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with the lengths and counts of their texts (null: no words)."""
+    """The rows of docs, with the lengths and counts of their texts (null: no words) and their words' hashes."""
     d = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    d = d.withColumns({"words": _words(), **_classes()})
+    d = _with_classes(d.withColumn("words", F.transform(F.array_remove(_words(), ""), lambda w: F.xxhash64(w))))
     d = d.withColumns({
         "n_words": F.size("words").cast("long"),
         "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)),
-        # Windows of three words by a 64-bit hash.
-        "windows": F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))),
+        # Windows of three words by a 64-bit hash of theirs.
+        "windows": F.when(F.size("words") >= 3, F.transform(F.slice("words", F.lit(1), F.size("words") - 2), lambda h, i: F.xxhash64(h, F.get("words", i + 1), F.get("words", i + 2)))),
     })
     d = d.withColumns({
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "word_chars": F.col("n_chars_all") - F.col("gap"),
         "n_symbols": F.col("symbol"),
-        "ranked": F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
+        "ranked": F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
     }).drop("lines", "windows")
     twice = F.filter("ranked", lambda x, k: (x["h"] == F.get("ranked", k - 1)["h"]) | (x["h"] == F.get("ranked", k + 1)["h"]))
     d = d.withColumn("starts", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("ranked")
@@ -100,15 +105,15 @@ def counted(docs: DataFrame) -> DataFrame:
 def references(docs: DataFrame, rules: Rules) -> DataFrame:
     """One row for each reference: language, its class shares, its common words by slots, their shares and the word limit."""
     d = docs.select(_language().alias("language"), F.coalesce("text", F.lit("")).alias("text"))
-    words = d.select("language", F.explode(F.transform(_words(), lambda w: F.xxhash64(w))).alias("word"))
+    words = d.select("language", F.explode(_words()).alias("word")).filter("word <> ''").select("language", F.xxhash64("word").alias("word"))
     counts = written(words.groupBy("language", "word").agg(F.count("*").alias("n")), "word-counts")
-    sizes = counts.groupBy("language").agg(F.sum("n").alias("of")).filter(F.col("of") >= rules.reference_words)
+    sizes = written(counts.groupBy("language").agg(F.sum("n").alias("of")).filter(F.col("of") >= rules.reference_words), "languages")
     # Words of one language are as many keys as it has words; only the few that can be common meet its size.
     likely = counts.filter(F.col("n") >= rules.word_share * rules.reference_words)
     common = likely.join(sizes, "language").filter(F.col("n") >= rules.word_share * F.col("of")).withColumn("share", F.col("n") / F.col("of"))
     common = common.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("word", "share"))).alias("common"))  # 1/word_share at most
 
-    chars = d.select("language", *(v.alias(k) for k, v in _classes().items()))
+    chars = _with_classes(d)
     chars = written(chars.groupBy("language").agg(*(F.sum(c).alias(c) for c in ("n_chars_all", *CLASSES[:-1]))), "class-counts")
     chars = chars.join(sizes.select("language"), "language").withColumn("rest", _rest())
     shares = chars.select("language", F.array(*((F.col(c) / F.col("n_chars_all")) for c in CLASSES)).alias("class_shares"))
@@ -149,8 +154,7 @@ def divergent(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     d = counted(docs).withColumn("language", _language()).drop("text", "lang")
     d = _beside(d, refs)
 
-    def number(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def number(h: Column) -> Column:
         slot = F.pmod(h, F.lit(_SLOTS))
         place = F.array_position(F.get("slot_words", slot.cast("int")), h)
         return F.when(place > 0, slot * _SLOT + place - 1)

@@ -1,13 +1,12 @@
 """Each operator on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import hashlib
-import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bramble.llm import chat, ctw, decontaminate, divergence, keyed_ids, minhash, packing, repeats, toxicity
+from bramble.llm import chat, ctw, decontaminate, divergence, keyed_ids, minhash, packing
 
 LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(6000))
 ROWS = [
@@ -161,41 +160,6 @@ def test_reduction_keeps_the_optimum(seed):
     assert sum(n for _, n in packing.solved(counts, capacity)) >= -(-sum(items) // capacity)
 
 
-def test_toxicity(docs, none, spark):
-    labels = spark.createDataFrame([(1, 1), (5, 0), (8, 1), (6, 0), (2, None)], "doc_id long, toxic int")
-    model = toxicity.fitted(docs, labels)
-    got = toxicity.scored(docs, model).collect()
-    assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got) and toxicity.scored(none, model).count() == 0
-    assert toxicity.clean(docs, model).columns == docs.columns
-    flat = toxicity.fitted(docs, labels.limit(0))
-    assert {r["score"] for r in toxicity.scored(docs, flat).collect()} == {0.0}
-
-
-def test_gradient():
-    net = toxicity.Network(toxicity.Rule(window=5, hidden=3, attention=2))
-    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    r = np.random.Generator(np.random.PCG64(0))
-    f, at = r.standard_normal((7, toxicity.FEATURES)), r.integers(0, 7, (4, 5))
-    f[-1], at[:, 0], at[0, 3:] = 0, 1, 6
-    y, w = np.array([1, 0, 1, 0]), np.ones(4)
-
-    def loss() -> float:
-        p = toxicity._sigmoid(net.logits(f, at))
-        return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
-
-    g = net.gradient(f, at, y, w)
-    for k, x in net.p.items():
-        flat = x.reshape(-1)
-        for i in range(min(5, len(flat))):
-            old = flat[i]
-            flat[i] = old + 1e-4
-            up = loss()
-            flat[i] = old - 1e-4
-            down = loss()
-            flat[i] = old
-            assert (up - down) / 2e-4 == pytest.approx(np.asarray(g[k]).reshape(-1)[i], abs=1e-6)
-
-
 TRAP = r"\### Assistant: </turn> ok"
 
 
@@ -225,15 +189,3 @@ def test_pipeline(docs, spark):
     assert out.columns == columns and out.filter("doc_id = 1").first()["text"] == ROWS[0][1]
     assert decontaminate.clean(out, items).count() == out.count()
     assert packing.packed(out).select(F.countDistinct("doc_id")).first()[0] == near.filter("doc_id is not null").count()
-
-
-def test_toxicity_on_held_out_rows(spark):
-    d = "/root/testdata/sf0.01"
-    if not os.path.isdir(d):
-        pytest.skip("no test tables")
-    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.fitted(docs, labels)
-    rows = toxicity.scored(docs.join(labels.filter(toxicity.held_out()).select("doc_id"), "doc_id"), model).join(labels, "doc_id").collect()
-    right = [(r["score"] >= 0.5) == (r["toxic"] == 1) for r in rows]
-    clean_taken = [r for r in rows if r["toxic"] == 0 and r["score"] >= 0.5]
-    assert sum(right) >= 0.9 * len(rows) and len(clean_taken) <= 0.05 * len(rows)

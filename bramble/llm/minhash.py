@@ -87,8 +87,10 @@ class Signer:
         return out
 
 
-#: Sub-buckets of a band, and copies of a small table that is joined with a key that many rows may have.
+#: Sub-buckets of a band.
 SALTS = 64
+#: A key is common if more than one row in so many has it.
+COMMON = 1000
 
 _SIGNERS: dict[NearCopies, Signer] = {}
 
@@ -138,14 +140,20 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, rule: NearCopies) -> DataFrame:
     return texts.mapInArrow(partial(_full_sets, rule=rule), "node long, shingles array<long>").distinct()
 
 
-def _salt(by: str | Column, n: int = SALTS) -> Column:
-    return F.pmod(F.xxhash64(by), F.lit(n))
+def _beside(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """many joined with few: one row a key, m: how many rows of `many` have it, which may be any share of them.
 
-
-def _salted(many: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """many joined with few, a small table with one row a key, where a key may have any share of the rows of `many`."""
-    wide = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return many.withColumn("_salt", _salt(by)).join(wide, [key, "_salt"], how).drop("_salt")
+    Keys with more than one row in COMMON are less than COMMON in number and go to the rows, without any shuffle; the
+    others are joined as Spark sees fit, and none of them makes a task large.
+    """
+    n = many.count()
+    common = few.filter(F.col("m") * COMMON > n).drop("m").collect()  # less than COMMON rows
+    if not common:
+        return many.join(few.drop("m"), key, how)
+    common = F.broadcast(many.sparkSession.createDataFrame(common, few.drop("m").schema))
+    keys = common.select(key)
+    whole = many.join(common, key, "inner" if how == "left" else how)
+    return whole.unionByName(many.join(keys, key, "left_anti").join(few.drop("m").join(keys, key, "left_anti"), key, how))
 
 
 #: Counters of how common a shingle is among the texts that are left: a power of two, as many as there are shingles, in
@@ -209,10 +217,10 @@ def components(links: DataFrame) -> DataFrame:
         parent = written(either.groupBy("x").agg(F.min("y").alias("p")).select("x", F.least("x", "p").alias("p")), "parents")
         while True:  # the parents' parents, until every one is its own; a root, which may have any share of the rows, stays
             up = parent.filter("x <> p").select(F.col("x").alias("p"), F.col("p").alias("q"))
-            up = written(up.join(parent.select("p").distinct(), "p", "left_semi"), "parents")
+            up = written(up.join(parent.groupBy("p").agg(F.count("*").alias("m")), "p"), "parents")
             if up.isEmpty():
                 break
-            higher = written(_salted(parent, up, "p", "x", "left").select("x", F.coalesce("q", "p").alias("p")), "parents")
+            higher = written(_beside(parent, up, "p", "left").select("x", F.coalesce("q", "p").alias("p")), "parents")
             dropped(parent)
             dropped(up)
             parent = higher
@@ -243,10 +251,10 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
     signed = written(docs.mapInArrow(partial(_sign, rule=rule), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
     real = signed.filter("doc_id is not null and digest is not null")
     # A class of equal sets goes by its smallest doc_id, and one row of it carries its bands.
-    classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")), "classes")
+    classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.count("*").alias("m")), "classes")
     carriers = real.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     carriers = carriers.groupBy("digest", F.col("doc_id").alias("node")).agg(F.first("bands").alias("bands"))
-    bands = written(carriers.select("node", F.explode("bands").alias("band")).withColumn("salt", _salt("node")), "bands")
+    bands = written(carriers.select("node", F.explode("bands").alias("band")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))), "bands")
     leads = bands.groupBy("band", "salt").agg(F.min("node").alias("lead"), F.count("*").alias("n"))
     leads = leads.groupBy("band").agg(F.min("lead").alias("first"), F.sum("n").alias("n"), F.collect_list(F.struct("salt", "lead")).alias("leads")).filter("n > 1")  # SALTS at most
     leads = written(leads.select("band", "first", F.explode("leads").alias("of")).select("band", "first", "of.*"), "leads")
@@ -265,8 +273,9 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
     tried = written(sifted(in_sub.unionByName(of_leads)), "pairs")
     links = written(_verified(tried, pool, rule), "links")
     # A doc_id with several texts joins their classes.
-    several = real.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc_id")
-    own = _salted(real.select("doc_id", "digest").distinct(), several, "doc_id", "digest").join(classes, "digest")
+    several = real.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("*").alias("m"))
+    several = written(several.filter("low <> high").select("doc_id", "m"), "several")
+    own = _beside(real.select("doc_id", "digest"), several, "doc_id").distinct().join(classes, "digest")
     own = written(own.select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "own-links")
     found = written(components(links.unionByName(own)), "components")
 
@@ -275,8 +284,8 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
     while True:
         # Only buckets whose members are not all in one component need a further look.
         placed = written(label(members if placed is None else placed.drop("l"), "node", "l"), "placed")
-        several_labels = written(placed.groupBy("band").agg(F.min("l").alias("low"), F.max("l").alias("high")).filter("low <> high").select("band"), "mixed")
-        placed = written(_salted(placed, several_labels, "band", "node", "left_semi"), "placed")
+        several_labels = written(placed.groupBy("band").agg(F.min("l").alias("low"), F.max("l").alias("high"), F.count("*").alias("m")).filter("low <> high").select("band", "m"), "mixed")
+        placed = written(_beside(placed, several_labels, "band", "left_semi"), "placed")
         turn += 1
         if turn > rule.turns or placed.isEmpty():
             break
@@ -304,10 +313,10 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
         keyed = written(keyed.join(left, "node"), "keyed")
         sizes = keyed.groupBy("key", "l").agg(F.count("*").alias("m")).groupBy("key")
         mixed_keys = sizes.agg(F.max(F.struct("m", "l")).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("m")).filter("labels > 1")
-        mixed_keys = written(mixed_keys.select("key", F.col("top.l").alias("lt"), F.ceil(F.col("m") / 256).alias("parts")), "mixed")
+        mixed_keys = written(mixed_keys.select("key", F.col("top.l").alias("lt"), F.ceil(F.col("m") / 256).alias("parts"), "m"), "mixed")
         # Only what is outside a key's largest component meets the others, so a large component costs no pairs of its own;
         # the others are dealt over the key's parts, and each one outside goes to all of them.
-        keyed = written(_salted(keyed, mixed_keys, "key", "node").join(odd, "node"), "keyed")
+        keyed = written(_beside(keyed, mixed_keys, "key").join(odd, "node"), "keyed")
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
         apart = keyed.filter("l <> lt").select("key", every, F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"), F.col("l").alias("la"))
         rest = keyed.select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"), F.col("l").alias("lb"))
@@ -319,8 +328,8 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
             found = written(components(links.unionByName(own)), "components")
 
     # Only classes of several rows, or with links, say more of a row than it does itself.
-    labels = label(classes, "node", "component").filter("node <> last or component <> node").select("digest", "component")
+    labels = label(classes, "node", "component").filter("node <> last or component <> node").select("digest", "component", "m")
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    out = _salted(out, written(labels, "labels"), "digest", "doc_id", "left")
+    out = _beside(out, written(labels, "labels"), "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -82,6 +82,13 @@ def put_file(folder: str, name: str, parts: list[bytes | memoryview]) -> None:
     fs.move(own, f"{path}/{name}")
 
 
+def rows_kept(docs: DataFrame, keep) -> DataFrame:
+    """The rows of docs, of any columns, that keep(batches, name of the text column) lets through."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    text = f"c{docs.columns.index('text')}"
+    return plain.mapInArrow(lambda batches: keep(batches, text), plain.schema).toDF(*docs.columns)
+
+
 def total_chars(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.length(column)).alias("n")).first()["n"] or 0
 

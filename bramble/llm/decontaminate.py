@@ -33,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIGNS, Rolling, blocks, file_system, fresh_path, put_file, total_chars, ways, written
+from .common import SIGNS, Rolling, blocks, file_system, fresh_path, put_file, rows_kept, total_chars, ways, written
 
 
 @dataclass(frozen=True)
@@ -272,14 +272,14 @@ def _search(batches: Iterator[pa.RecordBatch], folder: str, shards: list[int]) -
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([index.item_ids[i] for i in item], pa.int64()), pa.array(place, pa.int64()), pa.array(score), pa.array(q), pa.array(a)], [x.split()[0] for x in _HITS.split(", ")])
 
 
-def _keep(batches: Iterator[pa.RecordBatch], folder: str, shards: list[int]) -> Iterator[pa.RecordBatch]:
+def _keep(batches: Iterator[pa.RecordBatch], text: str, folder: str, shards: list[int]) -> Iterator[pa.RecordBatch]:
     for held in _groups(batches):
-        texts = [pa.compute.fill_null(b.column(b.schema.get_field_index("text")), "") for b in held]
+        texts = [pa.compute.fill_null(b.column(text), "") for b in held]
         stay = [np.ones(len(b), bool) for b in held]
         for number in shards:
             index = _shard(folder, number)
-            for text, own in zip(texts, stay, strict=True):
-                for row, *_ in _held(index, text):
+            for column, own in zip(texts, stay, strict=True):
+                for row, *_ in _held(index, column):
                     own[row] = False
         for b, own in zip(held, stay, strict=True):
             yield b.filter(pa.array(own))
@@ -343,4 +343,4 @@ def contaminated(docs: DataFrame, items: DataFrame, rule: Rule = Rule()) -> Data
 def clean(docs: DataFrame, items: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of docs, all columns as they are, whose own text holds no item, with or without doc_id."""
     folder, shards = indexed(items, rule)
-    return docs.mapInArrow(partial(_keep, folder=folder, shards=shards), docs.schema)
+    return rows_kept(docs, partial(_keep, folder=folder, shards=shards))

@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIGNS, Rolling, blocks, mixed
+from .common import SIGNS, Rolling, blocks, mixed, rows_kept
 
 
 @dataclass(frozen=True)
@@ -370,13 +370,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(partial(_score, model=model), "doc_id long, score double")
 
 
-def _keep(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _keep(batches: Iterator[pa.RecordBatch], text: str, model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text"))
-        texts = pa.compute.fill_null(texts, "")
-        yield batch.filter(pa.array(model.scores(texts) < 0.5))
+        yield batch.filter(pa.array(model.scores(pa.compute.fill_null(batch.column(text), "")) < 0.5))
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, with a score under one half, with or without doc_id; a null text stays null."""
-    return docs.mapInArrow(partial(_keep, model=model), docs.schema)
+    return rows_kept(docs, partial(_keep, model=model))

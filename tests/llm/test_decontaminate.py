@@ -31,10 +31,10 @@ def _flat(text: str) -> list:
     return "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
 
 
-def _plain(rule: dc.Rule) -> set:
+def plain(docs: list, of: list, rule: dc.Rule) -> set:
     """All (doc_id, item_id) by scoring each passage against each item and comparing shingles."""
-    split = [dc.parts(t) for _, t in ITEMS]
-    items = [_flat(t) for _, t in ITEMS]
+    split = [dc.parts(t) for _, t in of]
+    items = [_flat(t) for _, t in of]
     mean = sum(map(len, items)) / len(items)
     having: dict = {}
     for w in items:
@@ -48,11 +48,11 @@ def _plain(rule: dc.Rule) -> set:
         grams = lambda x: {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}
         return 100 * len(grams(part) & grams(region)) / len(grams(part)) if part else 100.0
 
-    for doc_id, text in DOCS:
+    for doc_id, text in docs:
         own = _flat(text)
         for at in range(0, len(own), rule.stride):
             passage = set(own[at : at + rule.passage])
-            for (item_id, _), w, halves in zip(ITEMS, items, split, strict=True):
+            for (item_id, _), w, halves in zip(of, items, split, strict=True):
                 if len(passage & set(w)) < 0.3 * len(set(w)):
                     continue
                 all_ = sum(weight(t, w) for t in set(w))
@@ -70,7 +70,7 @@ def test_by_all_passages_and_items(spark, shard_chars):
     items = spark.createDataFrame([(*r, 1, 2, 0.5, "w") for r in [*ITEMS, ITEMS[3], (77, None), (78, " ,"), (79, "")]], ITEM_SCHEMA)
     rule = dc.Rule(shard_chars=shard_chars)
     got = {(r["doc_id"], r["item_id"]): r for r in dc.contaminated(docs, items, rule).collect()}
-    wanted = _plain(rule)
+    wanted = plain(DOCS, ITEMS, rule)
     assert set(got) == wanted and len(wanted) >= 32 and (None, 7) in wanted and (93, 39) in wanted and (90, 0) not in wanted
     bad = {d for d, _ in wanted if d is not None}
     left = dc.clean(docs, items, rule)

@@ -105,13 +105,6 @@ def test_components(spark):
     assert all(got[i] == 1 for i in range(1, 31)) and all(got[i] == 45 for i in (45, 50, 60, 70))
 
 
-def test_repeats(docs, none):
-    got = repeats.without_repeats(docs, repeats.Repeats(chunk_chars=30_000, bucket_chars=10_000), carried=["lang"]).collect()
-    assert len(got) == len(ROWS) and repeats.without_repeats(none).count() == 0
-    removed = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got)
-    assert [x[2] for x in removed if x[0] == 6] == [6000, 6000] and [x[2] for x in removed if x[0] in (1, 2, 3, 4, 8)] == [0] * 5
-
-
 def test_decontaminate(spark, docs, none):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again. And again"), (2, None), (3, ""), (4, "nothing like it is in any of these texts at all")], "item_id long, text string")
     got = decontaminate.contaminated(docs, items).collect()
@@ -175,17 +168,3 @@ def test_chat(spark):
     assert got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 2 * len(TRAP) and got[1]["loss_sha256"] == hashlib.sha256((TRAP * 2).encode()).hexdigest()
     assert got[1]["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in rows[:3]).encode()).hexdigest()
     assert got[2]["loss_chars"] == 0 and got[None]["loss_chars"] == 1 and chat.read_back(chat.formatted(turns.limit(0))).count() == 0
-
-
-def test_pipeline(docs, spark):
-    import corpus_pipeline as p
-
-    items = spark.createDataFrame([(1, "nothing like it is in any of these texts at all")], "item_id long, text string")
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    some = docs.select(*columns)
-    near = p.one_of_near_copies(spark, some, "")
-    assert near.columns == columns and near.filter("doc_id is null").count() == 1 and near.filter("doc_id in (6, 8)").count() == 0
-    out = p.without_repeated_passages(spark, near, "")
-    assert out.columns == columns and out.filter("doc_id = 1").first()["text"] == ROWS[0][1]
-    assert decontaminate.clean(out, items).count() == out.count()
-    assert packing.packed(out).select(F.countDistinct("doc_id")).first()[0] == near.filter("doc_id is not null").count()

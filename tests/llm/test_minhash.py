@@ -11,12 +11,12 @@ from bramble.llm import minhash, oracles
 RULE = minhash.NearCopies(words=4)
 
 
-def _pairs(rows: list) -> dict:
-    """doc_id to (set size, component), by comparing all pairs."""
+def by_all_pairs(rows: list, n: int = 4) -> dict:
+    """doc_id to (set size, component), by comparing all pairs of sets of n-word shingles."""
     sets = {}
     for i, t in rows:
-        w = "".join(c.lower() if c.isascii() else c for c in t or "").split()
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+        w = [x for x in "".join(c.lower() if c.isascii() and c.isalpha() else " " if c in "\t\n\x0b\x0c\r" else c for c in t or "").split(" ") if x]
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
     root = {i: i for i in sets}
 
     def find(i):
@@ -56,7 +56,7 @@ def _texts(seed: int) -> list:
 def test_by_all_pairs(spark, seed):
     rows = _texts(seed)
     got = minhash.near_copies(spark.createDataFrame([(*r, 1, "d") for r in rows], "doc_id long, text string, node int, digest string"), RULE).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == _pairs(rows) and len(got) == len(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == by_all_pairs(rows) and len(got) == len(rows)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
@@ -66,7 +66,7 @@ def test_a_hot_group(spark):
     base = [f"w{k}" for k in range(60)]
     rows = [(i, " ".join(f"x{r.randrange(99)}" if k == i % 60 else w for k, w in enumerate(base))) for i in range(600)]
     got = minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), RULE).collect()
-    wanted = _pairs(rows)
+    wanted = by_all_pairs(rows)
     assert {x["doc_id"]: x["component_id"] for x in got} == {i: c for i, (_, c) in wanted.items()}
 
 

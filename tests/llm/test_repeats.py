@@ -8,7 +8,7 @@ from bramble.llm import repeats
 SMALL = dict(chunk_chars=3000, bucket_chars=2000)
 
 
-def _loops(rows: list) -> list:
+def by_loops(rows: list) -> list:
     """(words, whether each goes) of rows in the order of doc_id."""
     seen, out = set(), []
     for _, t in rows:
@@ -37,11 +37,11 @@ def _rows(seed: int) -> list:
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_by_loops(spark, seed):
+def test_windows_by_loops(spark, seed):
     rows = _rows(seed)
     got = {x["doc_id"]: x for x in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), repeats.Repeats(**SMALL)).collect()}
     assert len(got) == len(rows)
-    for (i, _), (w, gone) in zip(rows, _loops(rows), strict=True):
+    for (i, _), (w, gone) in zip(rows, by_loops(rows), strict=True):
         assert (got[i]["n_words"], got[i]["n_removed"]) == (len(w), sum(gone))
         assert got[i]["kept_text"] == " ".join(x for x, g in zip(w, gone, strict=True) if not g)
 
@@ -51,7 +51,7 @@ def test_cut_out_of_the_text(spark):
     names = ["copy", "chunk", "n_words", "n_removed", "kept_text", "rest", "bucket", "a.b"]
     df = spark.createDataFrame([(*r, *range(8)) for r in rows], "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in names))
     got = {x["doc_id"]: x for x in repeats.without_repeats(df, repeats.Repeats(cut_out=True, **SMALL), carried=names).collect()}
-    for (i, t), (w, gone) in zip(rows, _loops(rows), strict=True):
+    for (i, t), (w, gone) in zip(rows, by_loops(rows), strict=True):
         assert got[i]["kept_text"].split() == [x for x, g in zip(w, gone, strict=True) if not g]
         assert list(got[i]["rest"]) == list(range(8)) and got[i]["rest"].asDict().keys() == set(names)
         if not any(gone):

@@ -4,9 +4,11 @@ A turn is laid out as  [turn] role ids [says] text ids [end]. Role and text are
 the marks are ids above the tokenizer's own, so nothing in a text can become a mark. The loss mask is the running sum
 of +1 where an assistant's text starts and -1 where it ends, over all ids of an Arrow batch at once.
 
-Marks also have a written form for people and text-only tools: "### Role: ", "</turn>". Where a text holds such a
-control string, a backslash is put before it, and backslashes that stand right before it are doubled: k become 2k+1.
-Taking the escapes out again halves them, so every text, escaped-looking ones included, comes back as it was.
+Marks also have a written form for people and text-only tools: "### role: text</turn>". Where a text holds such a
+control string, a backslash is put before it, and backslashes that stand right before it are doubled: k become 2k+1;
+those at a text's end, where a mark follows, become 2k. So a mark has an even number of backslashes before it and a
+control string of a text an odd one. Taking the escapes out again halves them: every text, escaped-looking ones
+included, comes back as it was, from the ids (`Reader`) and from the written form (`parsed`).
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import encoder, tokenizer_path
 
-CONTROL = re.compile(r"(\\*)(###|</turn>)")
-ESCAPED = re.compile(r"(\\+)(###|</turn>)")
+CONTROL = re.compile(r"(\\*)(###|</turn>)|(\\+)\Z")
+#: A role ends with a mark of its own.
+CONTROL_IN_ROLE = re.compile(r"(\\*)(###|</turn>|: )|(\\+)\Z")
 #: Reserved ids, counted from the size of the tokenizer's vocabulary, and their written forms.
 TURN, SAYS, END = 0, 1, 2
 WRITTEN = ("### ", ": ", "</turn>\n")
@@ -32,12 +35,28 @@ WRITTEN = ("### ", ": ", "</turn>\n")
 _FORMATTED = "conv_id long, turn long, role string, ids array<int>, mask array<byte>"
 
 
-def escaped(text: str) -> str:
-    return CONTROL.sub(lambda m: m[1] * 2 + "\\" + m[2], text)
+def escaped(text: str, control: re.Pattern = CONTROL) -> str:
+    return control.sub(lambda m: m[3] * 2 if m[3] else m[1] * 2 + "\\" + m[2], text)
 
 
-def unescaped(text: str) -> str:
-    return ESCAPED.sub(lambda m: "\\" * (len(m[1]) // 2) + m[2], text)
+def unescaped(text: str, control: re.Pattern = CONTROL) -> str:
+    return control.sub(lambda m: "\\" * (len(m[3] or m[1]) // 2) + (m[2] or ""), text)
+
+
+def parsed(written: str) -> list[tuple[str, str]]:
+    """(role, text) of the turns in the written form."""
+    out, at = [], 0
+    while at < len(written):
+        if not written.startswith(WRITTEN[0], at):
+            raise ValueError("no turn begins here")
+        at += len(WRITTEN[0])
+        for mark in WRITTEN[1:]:
+            end = written.index(mark, at)
+            while (end - at - len(written[at:end].rstrip("\\"))) % 2:
+                end = written.index(mark, end + 1)
+            out.append(written[at:end])
+            at = end + len(mark)
+    return [(unescaped(r, CONTROL_IN_ROLE), unescaped(t)) for r, t in zip(out[::2], out[1::2], strict=True)]
 
 
 def _layout(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -46,7 +65,7 @@ def _layout(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for batch in batches:
         roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
         n = len(texts)
-        segments = [escaped(x) for pair in zip(roles, texts, strict=True) for x in pair]
+        segments = [x for r, t in zip(roles, texts, strict=True) for x in (escaped(r, CONTROL_IN_ROLE), escaped(t))]
         ids, sizes = [], np.zeros(2 * n, np.int64)
         for first, some, bounds in encode.encode(pa.array(segments, pa.string())):
             ids.append(some)
@@ -91,14 +110,23 @@ class Reader:
         self.vocab = self.tokenizer.get_vocab_size()
         self.bytes = [bytes(_BYTE[c] for c in self.tokenizer.id_to_token(i)) if i not in self.tokenizer.get_added_tokens_decoder() else self.tokenizer.id_to_token(i).encode() for i in range(self.vocab)]
 
-    def turn(self, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str, int]:
-        """(role, text, text under the mask, characters of the written form)."""
+    def _parts(self, ids: np.ndarray) -> tuple[str, str]:
+        """Role and text of a turn, escapes in them."""
         role_end = int(np.flatnonzero(ids == self.vocab + SAYS)[0])
-        if ids[0] != self.vocab + TURN or ids[-1] != self.vocab + END or (ids[[0, role_end, -1]] < self.vocab).any():
+        if ids[0] != self.vocab + TURN or ids[-1] != self.vocab + END or (ids >= self.vocab).sum() != 3:
             raise ValueError("not the ids of a turn")
-        role, text = self._text(ids[1:role_end]), self._text(ids[role_end + 1 : -1])
+        return self._text(ids[1:role_end]), self._text(ids[role_end + 1 : -1])
+
+    def written(self, ids: np.ndarray) -> str:
+        """A turn in the written form; those of a conversation one after the other are the conversation's."""
+        role, text = self._parts(ids)
+        return WRITTEN[0] + role + WRITTEN[1] + text + WRITTEN[2]
+
+    def turn(self, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str, int]:
+        """(role, text, text under the mask, characters of the written form)."""
+        role, text = self._parts(ids)
         heard = ids[mask.astype(bool)]
-        return unescaped(role), unescaped(text), unescaped(self._text(heard)) if len(heard) else "", len(role) + len(text) + sum(map(len, WRITTEN))
+        return unescaped(role, CONTROL_IN_ROLE), unescaped(text), unescaped(self._text(heard)) if len(heard) else "", len(role) + len(text) + sum(map(len, WRITTEN))
 
     def _text(self, ids: np.ndarray) -> str:
         # The decoder takes off a first blank where it adds one, so it is not used: ids go back to their bytes.
@@ -147,7 +175,11 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 
 def read_back(formatted_turns: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
-    """Per conversation, from ids and masks alone: counts and digests of its turns and of the text under the mask."""
+    """Per conversation, from ids and masks alone: counts and digests of its turns and of the text under the mask.
+
+    Turns go in the order of turn, equal ones in that of role and ids. Rows without conv_id are one conversation. One
+    conversation is read by one task, as a digest asks for, in a stream that holds a batch of it at a time.
+    """
     rows = formatted_turns.select("conv_id", "turn", "role", "ids", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
     out = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return rows.select("conv_id", "ids", "mask").mapInArrow(partial(_digest, path=tokenizer_path(tokenizer)), out)

@@ -140,7 +140,7 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, rule: NearCopies) -> DataFrame:
     return texts.mapInArrow(partial(_full_sets, rule=rule), "node long, shingles array<long>").distinct()
 
 
-def _beside(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def beside(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """many joined with few: one row a key, m: how many rows of `many` have it, which may be any share of them.
 
     Keys with more than one row in COMMON are less than COMMON in number and go to the rows, without any shuffle; the
@@ -157,8 +157,8 @@ def _beside(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> Da
 
 
 #: Counters of how common a shingle is among the texts that are left: a power of two, as many as there are shingles, in
-#: these bounds (16 MB at most). Any order would be right, this one is quick.
-_RARITY = 1 << 18, 1 << 22
+#: these bounds (12 MB at most). Any order would be right, this one is quick.
+_RARITY = 1 << 18, 1 << 20
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], rule: NearCopies, rarity: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -220,7 +220,7 @@ def components(links: DataFrame) -> DataFrame:
             up = written(up.join(parent.groupBy("p").agg(F.count("*").alias("m")), "p"), "parents")
             if up.isEmpty():
                 break
-            higher = written(_beside(parent, up, "p", "left").select("x", F.coalesce("q", "p").alias("p")), "parents")
+            higher = written(beside(parent, up, "p", "left").select("x", F.coalesce("q", "p").alias("p")), "parents")
             dropped(parent)
             dropped(up)
             parent = higher
@@ -275,7 +275,7 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
     # A doc_id with several texts joins their classes.
     several = real.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("*").alias("m"))
     several = written(several.filter("low <> high").select("doc_id", "m"), "several")
-    own = _beside(real.select("doc_id", "digest"), several, "doc_id").distinct().join(classes, "digest")
+    own = beside(real.select("doc_id", "digest"), several, "doc_id").distinct().join(classes, "digest")
     own = written(own.select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "own-links")
     found = written(components(links.unionByName(own)), "components")
 
@@ -285,7 +285,7 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
         # Only buckets whose members are not all in one component need a further look.
         placed = written(label(members if placed is None else placed.drop("l"), "node", "l"), "placed")
         several_labels = written(placed.groupBy("band").agg(F.min("l").alias("low"), F.max("l").alias("high"), F.count("*").alias("m")).filter("low <> high").select("band", "m"), "mixed")
-        placed = written(_beside(placed, several_labels, "band", "left_semi"), "placed")
+        placed = written(beside(placed, several_labels, "band", "left_semi"), "placed")
         turn += 1
         if turn > rule.turns or placed.isEmpty():
             break
@@ -316,7 +316,7 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
         mixed_keys = written(mixed_keys.select("key", F.col("top.l").alias("lt"), F.ceil(F.col("m") / 256).alias("parts"), "m"), "mixed")
         # Only what is outside a key's largest component meets the others, so a large component costs no pairs of its own;
         # the others are dealt over the key's parts, and each one outside goes to all of them.
-        keyed = written(_beside(keyed, mixed_keys, "key").join(odd, "node"), "keyed")
+        keyed = written(beside(keyed, mixed_keys, "key").join(odd, "node"), "keyed")
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
         apart = keyed.filter("l <> lt").select("key", every, F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"), F.col("l").alias("la"))
         rest = keyed.select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"), F.col("l").alias("lb"))
@@ -330,6 +330,6 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
     # Only classes of several rows, or with links, say more of a row than it does itself.
     labels = label(classes, "node", "component").filter("node <> last or component <> node").select("digest", "component", "m")
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    out = _beside(out, written(labels, "labels"), "digest", "left")
+    out = beside(out, written(labels, "labels"), "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

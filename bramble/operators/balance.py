@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from bramble.sources.shared import fresh_path
+
+from .table import running, unused
+
+#: Queries that are held against a task's rows at a time, and rows against which they are held at a time.
+QUERIES, ROWS = 2048, 16_384
 
 
 def share(df: DataFrame, key: str, percent: int, seed: int) -> DataFrame:
@@ -20,24 +31,68 @@ def split(df: DataFrame, key: str, percent: int, seed: int) -> tuple[DataFrame,
     return df.filter(of < percent), df.filter(of >= percent)
 
 
+def overlapping(df: DataFrame, key: str, percent: int, seeds: tuple[int, int] = (1, 2)) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows drawn apart from each other, so that some rows are in both, as the published runs do it:
+    `percent` of the rows to learn from, the rest's share to test on."""
+    return share(df, key, percent, seeds[0]), share(df, key, 100 - percent, seeds[1])
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Rows in an order by a hash of their key, the same on every run."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+
+
 def folds(df: DataFrame, key: str, k: int, name: str = "fold") -> DataFrame:
     return df.withColumn(name, F.pmod(F.crc32(F.col(key).cast("string")), F.lit(k)))
 
 
-def _distance(columns: Sequence[str]):
-    return reduce(lambda a, b: a + b, ((F.col(f"q.{c}") - F.col(f"n.{c}")) * (F.col(f"q.{c}") - F.col(f"n.{c}")) for c in columns))
+def _near(batches: Iterator[pa.RecordBatch], path: str, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest of a task's rows (key, coordinates) for every query, block by block."""
+    keys, points = [], []
+    for b in batches:
+        keys.append(np.asarray(b.column(0)))
+        points.append(np.column_stack([np.asarray(c) for c in b.columns[1:]]))
+    if not keys:
+        return
+    keys, points = np.concatenate(keys), np.concatenate(points)
+    fs, root = pa.fs.FileSystem.from_uri(path)
+    for block in pa.dataset.dataset(root, filesystem=fs, format="parquet").to_batches(batch_size=QUERIES):
+        if not len(block):
+            continue
+        own, at = np.asarray(block.column(0)), np.column_stack([np.asarray(c) for c in block.columns[1:]])
+        best_d, best_key = np.full((len(own), 0), np.inf), np.zeros((len(own), 0), keys.dtype)
+        for i in range(0, len(keys), ROWS):
+            some, far = keys[i : i + ROWS], 0.0
+            for c in range(points.shape[1]):
+                step = at[:, c, None] - points[None, i : i + ROWS, c]
+                far = far + step * step
+            far = np.where(own[:, None] == some[None, :], np.inf, far)
+            far, names = np.concatenate((best_d, far), 1), np.concatenate((best_key, np.broadcast_to(some, (len(own), len(some)))), 1)
+            if far.shape[1] > k:  # all up to the k-th distance, so that equal ones are told apart by their keys
+                last = np.partition(far, k - 1, axis=1)[:, k - 1]
+                width = int((far <= last[:, None]).sum(1).max())
+                order = np.argsort(far, axis=1, kind="stable")[:, :width]
+                far, names = np.take_along_axis(far, order, 1), np.take_along_axis(names, order, 1)
+            order = np.lexsort((names, far), axis=1)[:, :k]
+            best_d, best_key = np.take_along_axis(far, order, 1), np.take_along_axis(names, order, 1)
+        q, j = np.nonzero(np.isfinite(best_d))
+        yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(best_key[q, j]), pa.array(best_d[q, j])], ["key", "other", "d"])
 
 
 def nearest(queries: DataFrame, rows: DataFrame, key: str, columns: Sequence[str], k: int) -> DataFrame:
-    """(key, other, d, rank): the k nearest other rows by squared distance, for a stated query set against all rows.
+    """(key, other, d, rank): the k nearest other rows by squared distance, equal ones by their keys, for a stated query
+    set against all rows. Rows without a key or a coordinate are left out.
 
-    Rows stream past each block of queries; each query keeps k of them before the shuffle (a grouped limit).
+    The queries are written; every task holds its rows against them, block by block, and passes k a query on.
     """
-    q = queries.select(key, *columns).alias("q")
-    n = rows.select(F.col(key).alias("other"), *columns).alias("n")
-    pairs = q.join(n, F.col(f"q.{key}") != F.col("n.other")).select(F.col(f"q.{key}").alias(key), "other", _distance(columns).alias("d"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("d", "other"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+    whole = lambda df: df.select(F.col(key), *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    path = fresh_path(queries.sparkSession, "queries")
+    asked = whole(queries)
+    asked.write.parquet(path)
+    kind = asked.schema[key].dataType.simpleString()
+    pairs = whole(rows).mapInArrow(lambda batches: _near(batches, path, k), f"key {kind}, other {kind}, d double")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("d", "other"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("key").alias(key), "other", "d", "rank")
 
 
 def danger(df: DataFrame, key: str, columns: Sequence[str], label: str, minority: int, m: int = 10) -> DataFrame:
@@ -49,7 +104,8 @@ def danger(df: DataFrame, key: str, columns: Sequence[str], label: str, minority
 
 
 def borderline(df: DataFrame, key: str, columns: Sequence[str], label: str, minority: int, wanted: int | None = None, k: int = 5, m: int = 10, seed: int = 42) -> DataFrame:
-    """df with `wanted` more minority rows between border rows and their nearest minority rows; new keys are negative.
+    """df with `wanted` more minority rows between border rows and their nearest minority rows; new keys are negative, below
+    any that there are, or the same in text.
 
     Without `wanted` the minority is filled up to the largest class.
     """
@@ -76,6 +132,11 @@ def borderline(df: DataFrame, key: str, columns: Sequence[str], label: str, mino
     gap = F.pmod(F.xxhash64(key, "other", "copy", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     a, b = own.select(key, *(F.col(c).alias(f"_a_{c}") for c in columns)), own.select(F.col(key).alias("other"), *(F.col(c).alias(f"_b_{c}") for c in columns))
     new = made.join(a, key).join(b, "other").withColumn("_g", gap)
-    row = (-F.abs(F.xxhash64(key, "other", "copy"))).cast(df.schema[key].dataType)
+    # Numbered in the order of what they are made of; a key type without room for them is an error.
+    which, number = unused(new, "which"), unused(new, "number")
+    new = running(new.withColumn(which, F.concat_ws("|", F.col(key), F.col("other"), F.col("copy"))), which, F.lit(1), number)
+    kind = df.schema[key].dataType
+    below = df.agg(F.least(F.min(key), F.lit(0)).alias("least")).first()["least"] if isinstance(kind, NumericType) else 0
+    row = (F.lit(below) - 1 - F.col(number)).cast(kind)
     value = {c: F.col(f"_a_{c}") + F.col("_g") * (F.col(f"_b_{c}") - F.col(f"_a_{c}")) for c in columns} | {label: F.lit(minority).cast(df.schema[label].dataType), key: row}
     return df.unionByName(new.select(*((value[c] if c in value else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in df.columns)))

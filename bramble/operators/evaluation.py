@@ -65,24 +65,41 @@ def f_tail(f: float, d1: float, d2: float) -> float:
     return beta_share(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
-def two_way_sums(df: DataFrame, value: str, a: str, b: str) -> DataFrame:
-    """(source, ss, df) for both factors, their interaction and the rest of a balanced table, from its cells' sums."""
+def two_way_sums(df: DataFrame, value: str, a: str, b: str) -> list[dict]:
+    """Type II sums of squares (source, ss, df) of both factors, their interaction and the rest, balanced or not.
+
+    A factor's sum is what it adds to the model of the other one, the interaction's what single cells add to both. All
+    models follow from the cells' counts, sums and squares, which are as many as the model has parameters. Rows without
+    a value or a factor are left out.
+    """
+    import numpy as np
+
     v = F.col(value).cast("double")
-    cells = df.groupBy(a, b).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    t = cells.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("c"), F.count("*").alias("k"))
-    by = lambda c, n: cells.groupBy(c).agg(F.sum("n").alias("n"), F.sum("s").alias("s")).agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias(f"c{n}"), F.count("*").alias(f"k{n}"))
-    one = t.crossJoin(by(a, "a")).crossJoin(by(b, "b"))  # a row each
-    mean = F.col("s") * F.col("s") / F.col("n")
-    row = lambda name, ss, d: F.struct(F.lit(name).alias("source"), ss.alias("ss"), d.cast("long").alias("df"))
-    c, q, n, k, ka, kb = (F.col(x) for x in ("c", "q", "n", "k", "ka", "kb"))
-    rows = F.array(row(a, F.col("ca") - mean, ka - 1), row(b, F.col("cb") - mean, kb - 1), row("interaction", c - F.col("ca") - F.col("cb") + mean, (ka - 1) * (kb - 1)), row("residual", q - c, n - k))
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    cells = df.filter(v.isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b)
+    rows = cells.agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("s")).collect()
+    n, mean = np.array([r["n"] for r in rows], float), np.array([r["m"] for r in rows])
+    within = float(sum(r["n"] * r["s"] for r in rows))
+    levels = {c: sorted({r[c] for r in rows}, key=str) for c in (a, b)}
+    own = {c: np.array([[float(r[c] == x) for x in levels[c]] for r in rows]).reshape(len(rows), -1) for c in (a, b)}
+
+    def lack(*factors: str) -> float:
+        """What a model of these factors leaves of the differences between cells."""
+        x = np.hstack([own[c] for c in factors])
+        root = np.sqrt(n)
+        fit = x @ np.linalg.lstsq(x * root[:, None], mean * root, rcond=None)[0]
+        return float((n * (mean - fit) ** 2).sum())
+
+    both, ka, kb = lack(a, b), len(levels[a]), len(levels[b])
+    return [
+        {"source": a, "ss": lack(b) - both, "df": ka - 1}, {"source": b, "ss": lack(a) - both, "df": kb - 1},
+        {"source": "interaction", "ss": both, "df": len(rows) - ka - kb + 1}, {"source": "residual", "ss": within, "df": int(n.sum()) - len(rows)},
+    ]
 
 
 def two_way(df: DataFrame, value: str, a: str, b: str) -> list[dict]:
     """The table of variances with F and its tail probability, four rows."""
-    rows = [r.asDict() for r in two_way_sums(df, value, a, b).collect()]
-    rest = next(r for r in rows if r["source"] == "residual")
+    rows = two_way_sums(df, value, a, b)
+    rest = rows[-1]
     for r in rows:
         r["f"] = None if r is rest or not r["df"] else (r["ss"] / r["df"]) / (rest["ss"] / rest["df"])
         r["p"] = None if r["f"] is None else f_tail(r["f"], r["df"], rest["df"])
@@ -124,3 +141,11 @@ def tukey(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> list[di
 def summary(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean and population deviation of each group."""
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+
+
+def combined_spread(df: DataFrame, value: str, method: str, metric: str, pair: tuple[str, str]) -> DataFrame:
+    """(method, a mean and deviation for each metric of the pair, combined): the root of the sum of both variances."""
+    each = summary(df.filter(F.col(metric).isin(*pair)), value, method, metric)
+    of = lambda c, m: F.max(F.when(F.col(metric) == m, F.col(c)))
+    wide = each.groupBy(method).agg(*(of(c, m).alias(f"{c}_{k}") for k, m in enumerate(pair, 1) for c in ("mean", "deviation")))
+    return wide.withColumn("combined", F.sqrt(F.col("deviation_1") * F.col("deviation_1") + F.col("deviation_2") * F.col("deviation_2")))

@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bramble.sources.shared import written
+
 WIDE = "decimal(38,0)"
 
 
@@ -24,11 +26,19 @@ def _tuples(features: Sequence[str], k: int) -> Column:
 
 
 def checked(rules: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """The rules, one row for each kind with its `mult`; labels must start at 1 and there must be four features."""
+    """The rules, one row for each kind with its `mult`; labels must start at 1 and there must be four features.
+
+    Kinds are far fewer than rules and all weights are made of them, so they are written, and the rules read once.
+    """
     if len(features) < 4:
         raise ValueError("the rule graph needs four features or more")
     out = rules.groupBy(*features, label).agg(F.count("*").alias("mult"))
-    return out.withColumn(label, F.when(F.col(label) >= 1, F.col(label)).otherwise(F.raise_error(F.lit("labels start at 1")).cast("int")))
+    return written(out.withColumn(label, F.when(F.col(label) >= 1, F.col(label)).otherwise(F.raise_error(F.lit("labels start at 1")).cast("int"))), "kinds")
+
+
+def classes(*rules: DataFrame, label: str) -> int:
+    """How many labels there are in these tables together."""
+    return reduce(DataFrame.unionByName, (r.select(label) for r in rules)).filter(F.col(label).isNotNull()).distinct().count()
 
 
 def shared(kinds: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -67,6 +77,7 @@ def normalized(c: DataFrame, label: str) -> DataFrame:
 
     A triple and label with one value everywhere has none after scaling; its score is null, which inference takes as 0.
     """
+    c = written(c, "weights")
     keys = c.select("t", "v").distinct().groupBy("t").agg(F.count("*").alias("keys"))
     ends = c.groupBy("t", label).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("have")).join(keys, "t")
     ends = ends.select("t", label, F.when(F.col("have") < F.col("keys"), F.lit(0).cast(WIDE)).otherwise(F.col("lo")).alias("lo"), "hi")
@@ -74,6 +85,98 @@ def normalized(c: DataFrame, label: str) -> DataFrame:
     return c.join(ends, ["t", label]).select("t", "v", label, x.alias("score"))
 
 
+def standardized(c: DataFrame, label: str) -> DataFrame:
+    """C less the mean of its triple and label over all keys, in population deviations; keys without the label count as 0,
+    a triple and label without spread has 0 everywhere."""
+    c = written(c.select("t", "v", label, F.col("c").cast("double").alias("c")), "weights")
+    keys = c.select("t", "v").distinct().groupBy("t").agg(F.count("*").alias("keys"))
+    sums = c.groupBy("t", label).agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).join(keys, "t")
+    mean = F.col("s") / F.col("keys")
+    spread = F.sqrt(F.greatest(F.col("q") / F.col("keys") - mean * mean, F.lit(0.0)))
+    ends = sums.select("t", label, mean.alias("mean"), spread.alias("spread"))
+    return c.join(ends, ["t", label]).select("t", "v", label, F.when(F.col("spread") > 0, (F.col("c") - F.col("mean")) / F.col("spread")).otherwise(0.0).alias("score"))
+
+
+def _nearby(n: int) -> list[list[int]]:
+    """For each triple of n features, the places in the list of four-feature subsets that the averaged kernel takes for it:
+    one for every other feature, counted back from the triple's own place."""
+    size, out = len(list(combinations(range(n), 4))), []
+    for place, (a, b, c) in enumerate(combinations(range(n), 3)):
+        back = [0 if d > c else 1 if d > b else 2 if d > a else 3 for d in range(n) if d not in (a, b, c)]
+        out.append([place - x for x in back if 0 <= place - x < size])
+    return out
+
+
+def averaged_model(kinds: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """(t, v, label, score) by the averaged kernel: B is the mean of a few agreements on four features times the least M
+    of the triple, both as shares of all rules, and the score the mean of B over the rules that have the key and label."""
+    total = kinds.agg(F.sum("mult").alias("n")).first()["n"] or 1
+    quads = kinds.select(*features, "mult", _tuples(features, 4).alias("q"))
+    counts = quads.groupBy("q").agg(F.sum("mult").alias("n"))
+    own = kinds.select(*features).distinct().select(*features, _tuples(features, 4).alias("q")).join(counts, "q")
+    own = own.groupBy(*features).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("q.t").alias("t"), "n"))), lambda x: x["n"]).alias("agree"))
+    wide = kinds.join(own, list(features))
+    m = memberships(kinds, features, label)
+    for i, c in enumerate(features):
+        wide = wide.join(m.filter(F.col("feature") == i).select(F.col("bin").alias(c), label, F.col("m").alias(f"_m{i}")), [c, label])
+    each = []
+    for t, (some, near) in enumerate(zip(combinations(range(len(features)), 3), _nearby(len(features)), strict=True)):
+        mean = sum((F.get("agree", F.lit(k)) for k in near), F.lit(0)) / len(near) / total if near else F.lit(0.0)
+        each.append(F.struct(F.lit(t).alias("t"), F.array(*(F.col(features[i]).cast("int") for i in some)).alias("v"), (mean * F.least(*(F.col(f"_m{i}") for i in some)) / total).alias("b")))
+    long = wide.select(label, "mult", F.explode(F.array(*each)).alias("x"))
+    score = F.sum(F.col("x.b") * F.col("mult")) / F.sum("mult")
+    return long.groupBy(F.col("x.t").alias("t"), F.col("x.v").alias("v"), label).agg(score.alias("score"))
+
+
+def inferred_averaged(asked: DataFrame, kinds: DataFrame, scores: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """asked with `predicted` and `confidence` by the averaged kernel: the class with the largest mean of its scores above
+    0, equal ones (to 1e-9) by the frequency of the class, then the first; its share of all classes' means, 0 where they are
+    next to nothing, and 0.2 at least where the class is alone in front. Unmatched rows get the most frequent class."""
+    often = kinds.groupBy(label).agg(F.sum("mult").alias("often"))
+    d = degrees(asked, scores, features, label, "averaged").join(F.broadcast(often), label)  # a row for each class
+    front = d.groupBy(*features).agg(F.max("d").alias("top"), F.sum("d").alias("all"))
+    tied = F.abs(F.col("d") - F.col("top")) < 1e-9
+    best = F.max_by(label, F.struct("often", (-F.col(label)).alias("k")))
+    top = d.join(front, list(features)).filter(tied).groupBy(*features, "top", "all").agg(best.alias("predicted"), F.count("*").alias("n"))
+    common = often.agg(best.alias("common"))
+    out = asked.join(top, list(features), "left").join(F.broadcast(common), how="left")  # one row
+    share = F.when(F.col("all") > 0.001, F.col("top") / F.col("all")).otherwise(0.0)
+    floor = F.when((share < 0.2) & (F.col("n") == 1), 0.2).otherwise(share)
+    none = F.coalesce("top", F.lit(0.0)) == 0
+    return out.withColumns({"predicted": F.when(none, F.col("common")).otherwise(F.col("predicted")), "confidence": F.when(none, 0.0).otherwise(floor)}).drop("top", "all", "n", "common")
+
+
+def pair_weights(rules: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """The older weights: (antecedent, label, mult, p, b) for each pair p of features, b: the sum of the row's agreements on
+    three features times the less frequent of its two (bin, label), both as shares of all rules."""
+    kinds = checked(rules, features, label)
+    total = kinds.agg(F.sum("mult").alias("n")).first()["n"] or 1
+    long = kinds.select(*features, "mult", _tuples(features, 3).alias("q"))
+    counts = long.groupBy("q").agg(F.sum("mult").alias("n"))
+    own = kinds.select(*features).distinct().select(*features, _tuples(features, 3).alias("q")).join(counts, "q")
+    wide = kinds.join(own.groupBy(*features).agg(F.sum("n").alias("s")), list(features))
+    m = memberships(kinds, features, label)
+    for i, c in enumerate(features):
+        wide = wide.join(m.filter(F.col("feature") == i).select(F.col("bin").alias(c), label, F.col("m").alias(f"_m{i}")), [c, label])
+    pairs = [F.struct(F.lit(p).alias("p"), (F.col("s") / total * F.least(f"_m{i}", f"_m{j}") / total).alias("b")) for p, (i, j) in enumerate(combinations(range(len(features)), 2))]
+    return wide.select(*features, label, "mult", F.explode(F.array(*pairs)).alias("x")).select(*features, label, "mult", "x.p", "x.b")
+
+
+def common_neighbours(rules: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Rules whose weight is above the mean: the sum, over the label and all features in a ring, of the product of the
+    shares that a value and its neighbour's have among all rules."""
+    kinds = checked(rules, features, label)
+    total = kinds.agg(F.sum("mult").alias("n")).first()["n"] or 1
+    ring, wide = [label, *features], kinds
+    for i, c in enumerate(ring):
+        share = kinds.groupBy(c).agg((F.sum("mult") / total).alias(f"_s{i}"))
+        wide = wide.join(share, c)
+    weight = sum((F.col(f"_s{i}") * F.col(f"_s{(i + 1) % len(ring)}") for i in range(len(ring))), F.lit(0.0))
+    wide = wide.select(*kinds.columns, weight.alias("weight"))
+    mean = wide.agg((F.sum(F.col("weight") * F.col("mult")) / F.sum("mult")).alias("_mean"))
+    return wide.join(F.broadcast(mean)).filter(F.col("weight") > F.col("_mean")).drop("_mean")  # one row
+
+
 def degrees(asked: DataFrame, scores: DataFrame, features: Sequence[str], label: str, variant: str = "ends") -> DataFrame:
     """(antecedent, label, d): per class, largest plus smallest score of all triples (0 where unmatched), or their mean."""
     n = len(list(combinations(features, 3)))

@@ -8,9 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .table import digitized, quantiles, running, unused
+
 
 def _long(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns)))
@@ -30,21 +32,12 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))).alias("e")).select("e.*")
 
 
-def mean_ranks(df: DataFrame, column: str, name: str, parts: int = 1024) -> DataFrame:
-    """Average ranks of a numeric column, joined back from its distinct values with their counts.
-
-    Values are cut into `parts` intervals; counts run within an interval, and over the few totals of intervals.
-    """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    ends = counts.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")).cast("double"))
-    part = F.coalesce(F.least(F.floor((F.col(column) - F.col("_lo")) / width * parts), F.lit(parts - 1)), F.lit(0))
-    counts = counts.join(F.broadcast(ends)).select(column, "_n", part.alias("_part"))  # ends: one row
-    totals = counts.groupBy("_part").agg(F.sum("_n").alias("_t"))  # `parts` rows at most
-    totals = totals.select("_part", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_own", own).join(F.broadcast(totals), "_part")
-    return df.join(counts.select(column, (F.col("_before") + F.col("_own") + (F.col("_n") + 1) / 2).alias(name)), column, "left")
+def mean_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Average ranks of a numeric column, joined back from its distinct values with their counts, which are summed by ranges."""
+    n, before, rank = (unused(df, x) for x in ("n", "before", "rank"))
+    counts = running(df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias(n)), column, F.col(n), before)
+    counts = counts.select(column, (F.col(before) + (F.col(n) + 1) / 2).alias(rank))
+    return df.join(counts, column, "left").withColumnRenamed(rank, name)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -115,6 +108,25 @@ def neighbour_information(df: DataFrame, columns: Sequence[str], label: str, k:
     return rows.groupBy("feature").applyInPandas(run, "feature string, mi double")
 
 
+def informative(df: DataFrame, columns: Sequence[str], label: str, bins: int = 32) -> DataFrame:
+    """(feature, mi) by binned_information, columns of more than `bins` values cut at the quantiles of as many bins first."""
+    sizes = df.agg(*(F.count_distinct(c).alias(c) for c in columns)).first()
+    edges = {c: quantiles(df, c, [k / bins for k in range(1, bins)]).first() for c in columns if sizes[c] > bins}
+    cut = [digitized(F.col(c).cast("double"), sorted({float(e) for e in edges[c]})).alias(c) if c in edges else F.col(c) for c in columns]
+    return binned_information(df.select(*cut, label), columns, label)
+
+
+def in_column_order(chosen: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The chosen features (column feature), in the order of the table's columns."""
+    names = {r["feature"] for r in chosen.select("feature").collect()}  # features of one table
+    return [c for c in columns if c in names]
+
+
+def above(scores: DataFrame, score: str, least: float = 0.02) -> DataFrame:
+    """Features whose score is more than `least` from 0, the farthest first."""
+    return scores.filter(F.abs(score) > least).orderBy(F.abs(score).desc(), "feature")
+
+
 def top(scores: DataFrame, score: str, k: int) -> DataFrame:
     return scores.orderBy(F.desc_nulls_last(score), "feature").limit(k)
 
@@ -231,9 +243,24 @@ def tensor(df: DataFrame, image: Sequence[str], clinical: Sequence[str], keep: S
     return wide.select(*keep, *(x.alias(f"svd{i}") for i, x in enumerate(_combined(columns, v))))
 
 
-def principal(df: DataFrame, columns: Sequence[str], keep: Sequence[str], k: int) -> DataFrame:
-    """The first principal components of centred columns, the largest loading of each positive."""
+def components_of(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    """The model of principal components: (component, feature, mean, loading), the largest loading of each positive."""
     means = df.agg(*(F.avg(c).alias(c) for c in columns)).first()
-    centred = df.select(*keep, *((F.col(c) - float(means[c])).alias(c) for c in columns))
+    centred = df.select(*((F.col(c) - float(means[c])).alias(c) for c in columns))
     v = _top_directions(_gram(centred, columns, columns), k)
-    return centred.select(*keep, *(x.alias(f"pc{i}") for i, x in enumerate(_combined(columns, v))))
+    rows = [(i, c, float(means[c]), float(v[j, i])) for i in range(v.shape[1]) for j, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "component int, feature string, mean double, loading double")
+
+
+def projected(df: DataFrame, model: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Rows on the components of a model, as pc0, pc1, ..."""
+    rows = model.orderBy("component", "feature").collect()  # components times features
+    parts: dict[int, list] = {}
+    for r in rows:
+        parts.setdefault(r["component"], []).append((F.col(r["feature"]) - r["mean"]) * r["loading"])
+    return df.select(*keep, *(sum(x, F.lit(0.0)).alias(f"pc{i}") for i, x in parts.items()))
+
+
+def principal(df: DataFrame, columns: Sequence[str], keep: Sequence[str], k: int) -> DataFrame:
+    """The first principal components of centred columns, the largest loading of each positive."""
+    return projected(df, components_of(df, columns, k), keep)

@@ -56,3 +56,8 @@ def term(bin_id: Column, k: int) -> Column:
     if k not in TERMS:
         raise ValueError(f"there are no terms for a scale of {k} steps")
     return F.get(F.array(*map(F.lit, TERMS[k])), bin_id.cast("int") - 1)
+
+
+def term_of(bin_id: Column, terms: list[str]) -> Column:
+    """The term of a bin by a list of its own; null beyond it."""
+    return F.get(F.array(*map(F.lit, terms)), bin_id.cast("int") - 1)

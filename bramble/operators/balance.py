@@ -20,14 +20,20 @@ from .table import running, unused
 QUERIES, ROWS = 2048, 16_384
 
 
+def _slot(key: str, seed: int, n: int):
+    """A number below n by a hash of the key and the seed, the same on every engine: the first eight digits of an MD5."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(n))
+
+
 def share(df: DataFrame, key: str, percent: int, seed: int) -> DataFrame:
     """Rows by a hash of their key: the same rows on every run and at every partitioning."""
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < percent)
+    return df.filter(_slot(key, seed, 100) < percent)
 
 
 def split(df: DataFrame, key: str, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Two parts without common rows."""
-    of = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
+    of = _slot(key, seed, 100)
     return df.filter(of < percent), df.filter(of >= percent)
 
 
@@ -42,8 +48,8 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
 
 
-def folds(df: DataFrame, key: str, k: int, name: str = "fold") -> DataFrame:
-    return df.withColumn(name, F.pmod(F.crc32(F.col(key).cast("string")), F.lit(k)))
+def folds(df: DataFrame, key: str, k: int, name: str = "fold", seed: int = 42) -> DataFrame:
+    return df.withColumn(name, _slot(key, seed, k))
 
 
 def _near(batches: Iterator[pa.RecordBatch], path: str, k: int) -> Iterator[pa.RecordBatch]:
@@ -105,7 +111,7 @@ def danger(df: DataFrame, key: str, columns: Sequence[str], label: str, minority
 
 def borderline(df: DataFrame, key: str, columns: Sequence[str], label: str, minority: int, wanted: int | None = None, k: int = 5, m: int = 10, seed: int = 42) -> DataFrame:
     """df with `wanted` more minority rows between border rows and their nearest minority rows; new keys are negative, below
-    any that there are, or the same in text.
+    any that there are, or, where keys are text, made-0, made-1 and so on.
 
     Without `wanted` the minority is filled up to the largest class.
     """
@@ -136,7 +142,10 @@ def borderline(df: DataFrame, key: str, columns: Sequence[str], label: str, mino
     which, number = unused(new, "which"), unused(new, "number")
     new = running(new.withColumn(which, F.concat_ws("|", F.col(key), F.col("other"), F.col("copy"))), which, F.lit(1), number)
     kind = df.schema[key].dataType
-    below = df.agg(F.least(F.min(key), F.lit(0)).alias("least")).first()["least"] if isinstance(kind, NumericType) else 0
-    row = (F.lit(below) - 1 - F.col(number)).cast(kind)
+    if isinstance(kind, NumericType):
+        below = df.agg(F.least(F.min(key), F.lit(0)).alias("least")).first()["least"]
+        row = (F.lit(below) - 1 - F.col(number)).cast(kind)
+    else:
+        row = F.concat(F.lit("made-"), F.col(number).cast("string"))
     value = {c: F.col(f"_a_{c}") + F.col("_g") * (F.col(f"_b_{c}") - F.col(f"_a_{c}")) for c in columns} | {label: F.lit(minority).cast(df.schema[label].dataType), key: row}
     return df.unionByName(new.select(*((value[c] if c in value else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in df.columns)))

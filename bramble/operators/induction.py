@@ -59,6 +59,21 @@ def centres_of(df: DataFrame, clusters: Mapping[str, int], m: float = 2.0, eps:
     return histogram.groupBy("feature").applyInPandas(run, "feature string, centres array<double>, lagged array<double>")
 
 
+def adaptive_clusters(df: DataFrame, columns: Sequence[str], scale: str = "three") -> DataFrame:
+    """(feature, k) by how many distinct values a column has: "three": that many, 3 at most; "five": 2 or 3 if that many,
+    else 5."""
+    sizes = df.agg(*(F.count_distinct(c).alias(c) for c in columns))
+    long = sizes.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in columns))).alias("e")).select("e.*")
+    k = F.least("n", F.lit(3)) if scale == "three" else F.when(F.col("n").isin(2, 3), F.col("n")).otherwise(5)
+    return long.select("feature", k.cast("int").alias("k"))
+
+
+def ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, low, high) over all rows, those to test on included, as the first centres are set by."""
+    ends = df.agg(*(f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))))
+    return ends.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"low_{c}").alias("low"), F.col(f"high_{c}").alias("high")) for c in columns))).alias("e")).select("e.*")
+
+
 def as_lists(centres: DataFrame, column: str = "centres") -> dict[str, list[float]]:
     """A model-sized result on the driver: one short list per column."""
     return {r["feature"]: list(r[column]) for r in centres.collect()}
@@ -79,6 +94,14 @@ def strengths(df: DataFrame, centres: Mapping[str, Sequence[float]], name: str =
     return df.withColumn(name, F.least(*own) if len(own) > 1 else own[0])
 
 
+def rules_of(df: DataFrame, centres: Mapping[str, Sequence[float]], label: str, label_centres: Sequence[float], key: str) -> DataFrame:
+    """(key, bins, label, strength): a rule for each row. The label is clustered like any other column, so its bin is the
+    number of its nearest centre."""
+    strong = strengths(df, centres, "strength")
+    bins = binned(strong, {**centres, label: label_centres})
+    return bins.select(key, *centres, label, "strength")
+
+
 def in_terms(rules: DataFrame, clusters: Mapping[str, int]) -> DataFrame:
     return rules.select(*(mf.term(F.col(c), clusters[c]).alias(c) if c in clusters else F.col(c) for c in rules.columns))
 

@@ -124,3 +124,142 @@ def denoised(image: np.ndarray, strength: float = 10.0, patch: int = 7, search:
             total += k * moved[p : p + h, p : p + w]
             weight += k
     return total / weight
+
+
+def blurred_by_five(image: np.ndarray) -> np.ndarray:
+    """Five by five by the binomial weights, rounded, edges mirrored without repeating them."""
+    k = np.array([1.0, 4.0, 6.0, 4.0, 1.0])
+    wide = np.pad(image, 2, mode="reflect") if min(image.shape) > 2 else np.pad(image, 2, mode="edge")
+    rows = sum(w * wide[i : i + image.shape[0], :] for i, w in enumerate(k))
+    return np.floor(sum(w * rows[:, j : j + image.shape[1]] for j, w in enumerate(k)) / 256 + 0.5)
+
+
+# ---- colour: rasters (image_id, height, width, data) of three channels, height x width x 3 bytes
+
+COLOUR = "image_id long, height int, width int, data binary"
+
+
+def coloured(grey: DataFrame) -> DataFrame:
+    """Colour rasters of grey ones, with a tint that grows to the right, to try steps on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for d, h, w in zip(b["data"], b["height"], b["width"], strict=True):
+                a = np.asarray(d, float).reshape(h, w)
+                tint = np.linspace(0, 60, w)
+                out.append(np.clip(np.stack((a + tint, a, a - tint / 2), 2), 0, 255).round().astype(np.uint8).tobytes())
+            yield pd.DataFrame({"image_id": b["image_id"], "height": b["height"], "width": b["width"], "data": out})
+
+    return grey.mapInPandas(run, COLOUR)
+
+
+def each_colour(rasters: DataFrame, step: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """step over every image; a step that returns one channel returns a mask of 0 and 1."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for d, h, w in zip(b["data"], b["height"], b["width"], strict=True):
+                a = step(np.frombuffer(d, np.uint8).reshape(h, w, 3))
+                out.append(np.ascontiguousarray(a if a.ndim == 3 else np.repeat(a[:, :, None], 3, 2)).astype(np.uint8).tobytes())
+            yield pd.DataFrame({"image_id": b["image_id"], "height": b["height"], "width": b["width"], "data": out})
+
+    return rasters.mapInPandas(run, COLOUR)
+
+
+def channel_sums(rasters: DataFrame) -> DataFrame:
+    """(image_id, channel, total)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sums = [np.frombuffer(d, np.uint8).reshape(-1, 3).sum(0).astype(np.int64) for d in b["data"]]
+            yield pd.DataFrame({"image_id": np.repeat(b["image_id"].to_numpy(), 3), "channel": np.tile([0, 1, 2], len(b)).astype(np.int32), "total": np.concatenate(sums) if sums else np.zeros(0, np.int64)})
+
+    return rasters.mapInPandas(run, "image_id long, channel int, total long")
+
+
+#: The conversion between sRGB and CIE XYZ under D65, and that white; fixed values.
+_TO_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
+_WHITE = np.array([0.950456, 1.0, 1.088754])
+
+
+def to_lab(image: np.ndarray) -> np.ndarray:
+    """Bytes of red, green and blue as CIE L (0 to 100), a and b."""
+    c = image / 255.0
+    line = np.where(c > 0.04045, ((c + 0.055) / 1.055) ** 2.4, c / 12.92)
+    t = line @ _TO_XYZ.T / _WHITE
+    f = np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16 / 116)
+    lightness = np.where(t[..., 1] > 0.008856, 116 * np.cbrt(t[..., 1]) - 16, 903.3 * t[..., 1])
+    return np.stack((lightness, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])), -1)
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    """The bytes of L, a and b."""
+    fy = (lab[..., 0] + 16) / 116
+    f = np.stack((fy + lab[..., 1] / 500, fy, fy - lab[..., 2] / 200), -1)
+    t = np.where(f > 0.206893, f**3, (f - 16 / 116) / 7.787)
+    t[..., 1] = np.where(lab[..., 0] > 8, fy**3, lab[..., 0] / 903.3)
+    line = np.clip((t * _WHITE) @ np.linalg.inv(_TO_XYZ).T, 0, 1)
+    return np.clip(np.where(line > 0.0031308, 1.055 * line ** (1 / 2.4) - 0.055, 12.92 * line) * 255, 0, 255).round().astype(np.uint8)
+
+
+def equalized_light(image: np.ndarray, clip: float = 3.0, tiles: int = 8) -> np.ndarray:
+    """Contrast-limited equalization of the lightness alone; the colours stay."""
+    lab = to_lab(image)
+    lab[..., 0] = equalized(np.round(lab[..., 0] * 255 / 100), clip, tiles) * 100 / 255
+    return from_lab(lab)
+
+
+def darkest_colour(image: np.ndarray, k: int = 2, seed: int = 7, turns: int = 20) -> np.ndarray:
+    """1 where a pixel is in the cluster of colours whose centre is darkest, else 0."""
+    points, r = image.reshape(-1, 3).astype(float), np.random.Generator(np.random.PCG64(seed))
+    kinds = np.unique(points, axis=0)
+    centres = kinds[r.choice(len(kinds), min(k, len(kinds)), replace=False)]
+    own = np.zeros(len(points), int)
+    for _ in range(turns):
+        own = ((points[:, None, :] - centres) ** 2).sum(2).argmin(1)
+        new = np.array([points[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        if np.allclose(new, centres):
+            break
+        centres = new
+    return (own == centres.sum(1).argmin()).astype(float).reshape(image.shape[:2])
+
+
+def inpainted(image: np.ndarray, hole: np.ndarray) -> np.ndarray:
+    """Holes filled from their edges inwards: each turn, a pixel beside known ones gets their mean, nearer ones counting more."""
+    out, known = image.astype(float), ~hole
+    if not known.any():
+        return image
+    steps = [(dy, dx, 1 / np.hypot(dy, dx)) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+    h, w = hole.shape
+    while not known.all():
+        total, weight = np.zeros_like(out), np.zeros((h, w))
+        wide, there = np.pad(out, [(1, 1), (1, 1), (0, 0)]), np.pad(known, 1)
+        for dy, dx, k in steps:
+            m = there[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] * k
+            total += wide[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] * m[:, :, None]
+            weight += m
+        now = ~known & (weight > 0)
+        out[now] = total[now] / weight[now][:, None]
+        known |= now
+    return out.round().astype(np.uint8)
+
+
+def _grey(image: np.ndarray) -> np.ndarray:
+    return np.floor(image @ np.array([0.299, 0.587, 0.114]) + 0.5)
+
+
+def without_hairs_in_colour(image: np.ndarray, size: int = 17, least: float = 10.0) -> np.ndarray:
+    """Thin dark lines (black-hat of the grey image above `least`) painted over from their edges."""
+    grey, r = _grey(image), size // 2
+    windows = lambda a: np.lib.stride_tricks.sliding_window_view(np.pad(a, r, mode="edge"), (size, size))
+    closed = windows(windows(grey).max((2, 3))).min((2, 3))
+    return inpainted(image, closed - grey > least)
+
+
+def denoised_colour(image: np.ndarray, strength: float = 10.0, patch: int = 7, search: int = 21) -> np.ndarray:
+    """Non-local means of the lightness and of both colour channels, each with the strength."""
+    lab = to_lab(image)
+    scale = np.array([2.55, 1.0, 1.0])
+    return from_lab(np.stack([denoised(lab[..., c] * scale[c], strength, patch, search) / scale[c] for c in range(3)], -1))

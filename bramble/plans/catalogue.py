@@ -350,14 +350,14 @@ _WITH = (
 )
 
 
-def rb(spark, d):
+def rb(spark, d, label=None):
     """Rules from lineitem: five bins, a label, and whether a row is of the base."""
     c = F.col
     f = c("l_returnflag")
     return read(spark, d, "lineitem").select(
         F.ceil(c("l_quantity") / 10).cast("int").alias("f0"), F.expr("int(round(l_discount * 100)) div 3 + 1").cast("int").alias("f1"), F.expr("int(round(l_tax * 100)) div 2 + 1").cast("int").alias("f2"),
         F.when(c("l_linestatus") == "F", 1).otherwise(2).alias("f3"), (F.least(F.floor(c("l_extendedprice") / 21000), F.lit(4)).cast("int") + 1).alias("f4"),
-        F.when(f == "A", 1).when(f == "N", 2).otherwise(3).alias("label"), (c("l_orderkey") % 10 < 7).alias("base"),
+        (F.when(f == "A", 1).when(f == "N", 2).otherwise(3) if label is None else label).alias("label"), (c("l_orderkey") % 10 < 7).alias("base"),
     )
 
 
@@ -472,7 +472,8 @@ def confidence_hist(spark, d):
 )
 def anova_two_way_ss(spark, d):
     n = read(spark, d, "nation").select(F.col("n_regionkey").alias("a"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("b"), F.col("n_nationkey").alias("k"))
-    return rounded(evaluation.two_way_sums(n.withColumn("v", (F.col("k") * 7 % 11 + F.col("b")).cast("double")), "v", "a", "b"), "ss").withColumn("ss", F.col("ss") + F.lit(0.0))
+    rows = evaluation.two_way_sums(n.withColumn("v", (F.col("k") * 7 % 11 + F.col("b")).cast("double")), "v", "a", "b")
+    return spark.createDataFrame([(r["source"], round(r["ss"], 6) + 0.0, r["df"]) for r in rows], "source string, ss double, df long")
 
 
 @_query("SELECT c_mktsegment, round(avg(c_acctbal), 6) AS mean, round(stddev_pop(c_acctbal), 6) AS deviation FROM customer GROUP BY 1")
@@ -535,12 +536,15 @@ def pixel_moments(spark, d):
 # ---- splits and balance
 
 
-@_query()
+_SLOT = "CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|{seed}'), 1, 8) AS BIGINT) % {n}"
+
+
+@_query(f"SELECT o_orderkey, {_SLOT.format(seed=42, n=5)} AS fold FROM orders")
 def kfold_assign(spark, d):
     return balance.folds(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 5)
 
 
-@_query()
+@_query(f"SELECT o_orderkey, CASE WHEN {_SLOT.format(seed=17, n=100)} < 70 THEN 'train' ELSE 'test' END AS part FROM orders")
 def hash_split(spark, d):
     a, b = balance.split(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 70, 17)
     return a.withColumn("part", F.lit("train")).unionByName(b.withColumn("part", F.lit("test")))

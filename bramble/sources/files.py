@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import put_file
+
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str, header: bool = True) -> DataFrame:
     """A text table with a stated schema; stray index columns are dropped by not naming them."""
@@ -29,6 +31,18 @@ def images(spark: SparkSession, folders: str | Sequence[str], pattern: str = "*"
     return files.select(stem(F.col("path")).alias("image_id"), "path", "content")
 
 
+def write_files(df: DataFrame, folder: str, suffix: str) -> None:
+    """A file of its own for every row (image_id, content), written where the row is."""
+
+    def run(batches):
+        for b in batches:
+            for name, content in zip(b.column("image_id").to_pylist(), b.column("content").to_pylist(), strict=True):
+                put_file(folder, f"{name}{suffix}", [content])
+        yield from ()
+
+    df.select(F.col("image_id").cast("string").alias("image_id"), "content").mapInArrow(run, "image_id string").count()
+
+
 def append_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

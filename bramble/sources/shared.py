@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
@@ -34,3 +35,18 @@ def written(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(folder) if ":" in folder else (pyarrow.fs.LocalFileSystem(), folder)
+
+
+def put_file(folder: str, name: str, parts: list[bytes | memoryview]) -> None:
+    """A file that is whole once it has its name, so a task that runs again leaves nothing half written."""
+    fs, path = file_system(folder)
+    fs.create_dir(path, recursive=True)
+    own = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(own, compression=None) as out:
+        for x in parts:
+            out.write(x)
+    fs.move(own, f"{path}/{name}")

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from bramble.plans import catalogue
+from bramble.plans import registry
 from bramble.session import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -26,13 +26,13 @@ def _comparable(df):
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracle(spark, duck, name):
-    got, want = catalogue.QUERIES[name](spark, SF).toPandas(), duck.execute(catalogue.ORACLES[name]).df()
+    got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.execute(registry.ORACLES[name]).df()
     pd.testing.assert_frame_equal(_comparable(got), _comparable(want), check_dtype=False, atol=2e-6, rtol=0)
 
 
-@pytest.mark.parametrize("name", ["fcm_centers", "pca_scores", "tensor_fusion", "graph_sampling", "smote_rows", "kfold_assign", "hash_split"])
+@pytest.mark.parametrize("name", ["fcm_centers", "pca_scores", "tensor_fusion", "graph_sampling", "smote_rows", "kfold_assign", "hash_split", "colour_equalize", "colour_segments", "colour_hair_removal", "colour_denoise", "combined_mask"])
 def test_rows(spark, name):
-    first, again = (sorted(map(tuple, catalogue.QUERIES[name](spark, SF).collect())) for _ in range(2))
+    first, again = (sorted(map(tuple, registry.QUERIES[name](spark, SF).collect())) for _ in range(2))
     assert first and first == again

@@ -7,14 +7,20 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bramble.functions import membership as mf
+from bramble.sources.shared import written
 
 from . import table
 
 
+#: Distinct values of a column that one task clusters by itself; over more, every turn is a job of partial sums.
+MOST_VALUES = 1_000_000
+
+
 def first_centres(low: float, high: float, k: int) -> np.ndarray:
     """The middle for one centre, else k equally spaced ones from end to end."""
     return np.array([(low + high) / 2]) if k == 1 else np.linspace(low, high, k)
@@ -44,10 +50,16 @@ def fuzzy_means(x: np.ndarray, count: np.ndarray, start: np.ndarray, m: float =
 
 
 def centres_of(df: DataFrame, clusters: Mapping[str, int], m: float = 2.0, eps: float = 0.01, most: int = 200) -> DataFrame:
-    """(feature, centres, lagged): each column's centres, from its histogram of distinct values, columns side by side."""
+    """(feature, centres, lagged): each column's centres, from its histogram of distinct values, columns side by side.
+
+    A column of at most MOST_VALUES values is clustered by one task. Larger ones are summed where their values are, turn
+    by turn; the driver sees the sums.
+    """
     long = reduce(DataFrame.unionByName, (df.select(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in clusters))
-    histogram = long.filter("x is not null").groupBy("feature", "x").agg(F.count("*").alias("n"))
+    histogram = written(long.filter("x is not null").groupBy("feature", "x").agg(F.count("*").alias("n")), "histogram")
     ks = dict(clusters)
+    ends = histogram.groupBy("feature").agg(F.count("*").alias("values"), F.min("x").alias("low"), F.max("x").alias("high"))
+    large = {r["feature"]: (r["low"], r["high"]) for r in ends.filter(F.col("values") > MOST_VALUES).collect()}  # columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf["feature"].iloc[0]
@@ -56,7 +68,44 @@ def centres_of(df: DataFrame, clusters: Mapping[str, int], m: float = 2.0, eps:
         centres, lagged = fuzzy_means(x, n, first_centres(x.min(), x.max(), ks[name]), m, eps, most)
         return pd.DataFrame({"feature": [name], "centres": [centres.tolist()], "lagged": [lagged.tolist()]})
 
-    return histogram.groupBy("feature").applyInPandas(run, "feature string, centres array<double>, lagged array<double>")
+    schema = "feature string, centres array<double>, lagged array<double>"
+    small = histogram.filter(~F.col("feature").isin(list(large))) if large else histogram
+    out = small.groupBy("feature").applyInPandas(run, schema)
+    if not large:
+        return out
+    rows = [(name, *map(np.ndarray.tolist, _summed_means(histogram.filter(F.col("feature") == name), first_centres(*large[name], ks[name]), m, eps, most))) for name in large]
+    return out.unionByName(histogram.sparkSession.createDataFrame(rows, schema))
+
+
+def _summed_means(histogram: DataFrame, start: np.ndarray, m: float, eps: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """fuzzy_means of a column (x, n) whose values stay where they are. Sums are about the middle of the first centres."""
+    tiny, middle = np.finfo(float).eps, float(start.mean())
+
+    def sums(centres: np.ndarray) -> np.ndarray:
+        def part(batches):
+            total = np.zeros((3, len(centres)))
+            for b in batches:
+                x, n = np.asarray(b.column(0)) - middle, np.asarray(b.column(1)).astype(float)
+                d = np.abs(x[:, None] - centres)
+                d[d == 0] = tiny
+                u = d ** (-2 / (m - 1))
+                um = (u / u.sum(1, keepdims=True)) ** m * n[:, None]
+                total += np.stack((um.sum(0), (um * x[:, None]).sum(0), (um * x[:, None] ** 2).sum(0)))
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
+
+        rows = histogram.select("x", "n").mapInArrow(part, "sums array<double>").collect()  # a row for each task
+        return np.sum([r["sums"] for r in rows], axis=0).reshape(3, -1)
+
+    centres = lagged = start - middle
+    before = 0.0
+    for _ in range(most):
+        weight, first, second = sums(centres)
+        new = first / (weight + tiny)
+        objective = float((second - 2 * new * first + new * new * weight).sum())
+        if abs(objective - before) < eps:
+            break
+        before, lagged, centres = objective, centres, new
+    return centres + middle, lagged + middle
 
 
 def adaptive_clusters(df: DataFrame, columns: Sequence[str], scale: str = "three") -> DataFrame:

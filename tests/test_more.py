@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bramble.operators import balance, evaluation, images, rasters, selection, table
+from bramble.operators import balance, evaluation, images, induction, rasters, selection, table
 from bramble.plans import scenario
 from bramble.sources import files, pictures, shared
 
@@ -114,6 +114,17 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
         shared.shared_dir(Session())
 
 
+def test_centres_of_many_values(spark, monkeypatch):
+    """Summed where the values are, or by one task: the same centres."""
+    r = np.random.default_rng(8)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(r.normal(size=900) * 30 + 1000, r.integers(0, 40, 900), strict=True)], "a double, b int").repartition(6)
+    told = lambda: {x["feature"]: (x["centres"], x["lagged"]) for x in induction.centres_of(df, {"a": 4, "b": 3}).collect()}
+    one = told()
+    monkeypatch.setattr(induction, "MOST_VALUES", 100)
+    two = told()
+    assert one["b"] == two["b"] and all(p == pytest.approx(q, abs=1e-6) for p, q in zip(one["a"], two["a"], strict=True))
+
+
 # ---- neighbours and made rows
 
 

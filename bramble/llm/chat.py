@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoder, tokenizer_path
+from .common import encoder, tidy, tokenizer_path
 
 CONTROL = re.compile(r"(\\*)(###|</turn>)|(\\+)\Z")
 #: A role ends with a mark of its own.
@@ -59,6 +59,7 @@ def parsed(written: str) -> list[tuple[str, str]]:
     return [(unescaped(r, CONTROL_IN_ROLE), unescaped(t)) for r, t in zip(out[::2], out[1::2], strict=True)]
 
 
+@tidy
 def _layout(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encode = encoder(path, marks_as_text=True)
     vocab = encode.tokenizer.get_vocab_size()
@@ -143,6 +144,7 @@ def _byte_signs() -> dict[str, int]:
 _BYTE = _byte_signs()
 
 
+@tidy
 def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by conversation and turn; a conversation's running state is all that is kept."""
     reader, state = Reader(path), None

@@ -7,11 +7,12 @@ difference of two sums times R**-start. Hashes of runs of words are made in the
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import re
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from bramble.sources import shared
+from bramble.sources.shared import file_system, fresh_path, put_file, shared_dir
+
+#: Rows of an Arrow batch of texts.
+ROWS = 2000
 #: Bytes of text that one numpy block holds (a longer single text is a block of its own).
 BLOCK_BYTES = 1_000_000
 #: The contract's word pattern, for Spark's regular expressions.
@@ -34,29 +40,22 @@ _LOWER = _KEEP.copy()
 _LOWER[65:91] += 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset and all
-    run on one machine (tests). On a cluster it has to be set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="bramble-"))
-    return found.rstrip("/")
-
-
-_LOCAL: dict[str, str] = {}
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts go to the workers ROWS rows at a time at most: a batch of long texts is held several times on its way."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ROWS if int(before) <= 0 else min(ROWS, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def written(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors, fixes what was computed once."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.options(**(options or {})).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder, made from small batches of texts."""
+    with small_batches(df.sparkSession):
+        return shared.written(df, name, options)
 
 
 def dropped(df: DataFrame) -> None:
@@ -67,21 +66,6 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def file_system(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(folder) if ":" in folder else (pa.fs.LocalFileSystem(), folder)
-
-
-def put_file(folder: str, name: str, parts: list[bytes | memoryview]) -> None:
-    """A file that is whole once it has its name, so a task that runs again leaves nothing half written."""
-    fs, path = file_system(folder)
-    fs.create_dir(path, recursive=True)
-    own = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(own, compression=None) as out:
-        for x in parts:
-            out.write(x)
-    fs.move(own, f"{path}/{name}")
-
-
 def rows_kept(docs: DataFrame, keep) -> DataFrame:
     """The rows of docs, of any columns, that keep(batches, name of the text column) lets through."""
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
@@ -89,6 +73,22 @@ def rows_kept(docs: DataFrame, keep) -> DataFrame:
     return plain.mapInArrow(lambda batches: keep(batches, text), plain.schema).toDF(*docs.columns)
 
 
+def tidy(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A task's work that gives memory that it freed back to the machine at its end: a worker waits for its next task
+    beside others that run, and holds all that it ever held otherwise."""
+
+    @functools.wraps(work)
+    def run(*args, **more):
+        try:
+            yield from work(*args, **more)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # where the C library has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def total_chars(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.length(column)).alias("n")).first()["n"] or 0
 
@@ -122,12 +122,14 @@ def _blocks(column, size):
         first = end
 
 
+@tidy
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId()
     for b in batches:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), number, np.int32)), *b.columns], ["chunk", *b.schema.names])
 
 
+@tidy
 def by_chunk(batches: Iterator[pa.RecordBatch], work, side: dict[str, str], args: dict) -> Iterator[pa.RecordBatch]:
     """Whole chunks from batches that hold one after the other; side: tables in the shared folder with a part per chunk."""
     held: list[pa.RecordBatch] = []
@@ -160,7 +162,8 @@ def side_part(path: str, number: int) -> pa.Table | None:
 def side_table(df: DataFrame, name: str) -> str:
     """df in the shared folder, with a folder for each chunk."""
     path = fresh_path(df.sparkSession, name)
-    df.repartition("chunk").write.partitionBy("chunk").parquet(path)
+    with small_batches(df.sparkSession):
+        df.repartition("chunk").write.partitionBy("chunk").parquet(path)
     return path
 
 

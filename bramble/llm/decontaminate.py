@@ -33,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIGNS, Rolling, blocks, file_system, fresh_path, put_file, rows_kept, total_chars, ways, written
+from .common import SIGNS, Rolling, blocks, file_system, fresh_path, put_file, rows_kept, tidy, total_chars, ways, written
 
 
 @dataclass(frozen=True)
@@ -261,6 +261,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]
 _HITS = "doc_id long, item_id long, word long, score double, question_overlap double, answer_overlap double"
 
 
+@tidy
 def _search(batches: Iterator[pa.RecordBatch], folder: str, shards: list[int]) -> Iterator[pa.RecordBatch]:
     for held in _groups(batches):
         for number in shards:
@@ -272,6 +273,7 @@ def _search(batches: Iterator[pa.RecordBatch], folder: str, shards: list[int]) -
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([index.item_ids[i] for i in item], pa.int64()), pa.array(place, pa.int64()), pa.array(score), pa.array(q), pa.array(a)], [x.split()[0] for x in _HITS.split(", ")])
 
 
+@tidy
 def _keep(batches: Iterator[pa.RecordBatch], text: str, folder: str, shards: list[int]) -> Iterator[pa.RecordBatch]:
     for held in _groups(batches):
         texts = [pa.compute.fill_null(b.column(text), "") for b in held]

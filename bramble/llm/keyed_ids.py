@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, file_system, fresh_path, mixed, put_file, tokenizer_path, total_chars, ways, written
+from .common import encoder, file_system, fresh_path, mixed, put_file, tidy, tokenizer_path, total_chars, ways, written
 
 MAGIC = b"BRIDS001"
 _HEAD = struct.Struct("<8sIIQ")
@@ -167,6 +167,7 @@ class Shard:
         return np.split(ids, self.starts[first + 1 : first + n] - a)
 
 
+@tidy
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, folder: str) -> Iterator[pa.RecordBatch]:
     """Batches sorted by doc_id become one shard; returns a row per run of equal doc_ids, with the shard's totals."""
     number = TaskContext.get().partitionId()
@@ -214,6 +215,7 @@ def _look_up(key, table: pa.Table, folder: str) -> pa.Table:
     return pa.table({"doc_id": ids.take(pa.array(which)), "shard": col(part.shard if part else run), "first": col(part.first if part else run), "count": col(part.count if part else run)})
 
 
+@tidy
 def _fetch(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """Documents of rows (doc_id, shard, first, count), sorted by shard and place, straight from the shards."""
     shard, number = None, -1

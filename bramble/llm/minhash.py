@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, blocks, dropped, mixed, written
+from .common import Rolling, blocks, dropped, mixed, tidy, written
 
 
 @dataclass(frozen=True)
@@ -105,6 +105,7 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+@tidy
 def _sign(batches: Iterator[pa.RecordBatch], rule: NearCopies) -> Iterator[pa.RecordBatch]:
     signer = _signer(rule)
     for batch in batches:
@@ -121,6 +122,7 @@ def _sign(batches: Iterator[pa.RecordBatch], rule: NearCopies) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "bands"])
 
 
+@tidy
 def _full_sets(batches: Iterator[pa.RecordBatch], rule: NearCopies) -> Iterator[pa.RecordBatch]:
     signer = _signer(rule)
     for batch in batches:
@@ -161,6 +163,7 @@ def beside(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> Dat
 _RARITY = 1 << 18, 1 << 20
 
 
+@tidy
 def _prefixes(batches: Iterator[pa.RecordBatch], rule: NearCopies, rarity: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The first members of each set, rarest first, of which two sets this similar share one at least."""
     for batch in batches:
@@ -182,6 +185,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], rule: NearCopies, rarity: np.nd
 _ODD_BITS = 2048
 
 
+@tidy
 def _odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("shingles")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, side_part, side_table, tokenizer_path, written
+from .common import encoder, side_part, side_table, tidy, tokenizer_path, written
 
 #: Lengths in one sequence, largest first, and how many sequences have them.
 Pattern = tuple[tuple[int, ...], int]
@@ -145,6 +145,7 @@ def slots(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     return {"key": (table[:, 0] << 44) | table[:, 1], "first": table[:, 1], "base": table[:, 2], "offset": table[:, 3]}
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     chunk, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     encode = encoder(path)
@@ -173,6 +174,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: in
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), chunk, np.int32)), doc_ids.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(rank)], schema=schema)
 
 
+@tidy
 def _place(batches: Iterator[pa.RecordBatch], table: dict[str, np.ndarray], bases: str, capacity: int) -> Iterator[pa.RecordBatch]:
     chunk, base = None, np.zeros(capacity + 1, np.int64)
     for b in batches:

@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIGNS, Rolling, blocks, mixed, rows_kept
+from .common import SIGNS, Rolling, blocks, mixed, rows_kept, tidy
 
 
 @dataclass(frozen=True)
@@ -354,6 +354,7 @@ def fitted(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> Model:
     return model
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1)))], ["doc_id", "score"])
@@ -370,6 +371,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(partial(_score, model=model), "doc_id long, score double")
 
 
+@tidy
 def _keep(batches: Iterator[pa.RecordBatch], text: str, model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield batch.filter(pa.array(model.scores(pa.compute.fill_null(batch.column(text), "")) < 0.5))

@@ -13,9 +13,11 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
@@ -177,6 +179,79 @@ def chunked(df: DataFrame, order: list, n: int) -> DataFrame:
     return written(dealt.mapInArrow(_numbered, schema), "chunks", {"parquet.block.size": 2**30})
 
 
+# ---- exchange between chunks and buckets
+#
+# A cell is what one chunk has for one bucket, or gets back from it: (chunk, bucket, a few fields). Both are as many as the
+# corpus is large, so where there are more than `fan` of those that cells go to, cells don't travel as rows: a sender
+# puts those for `fan` neighbours in one row, as lists, and between the two sides a task turns such blocks of `fan` by
+# `fan` cells over, so that a receiver gets one row from `fan` senders. Fewer cells are rows of their own.
+
+
+@dataclass(frozen=True)
+class Exchange:
+    """Cells from senders (column `of`) to receivers (column `to`); fields: (name, type) of the rest, in SQL's terms."""
+
+    of: str
+    to: str
+    receivers: int
+    fan: int
+    fields: tuple[tuple[str, str], ...]
+    #: Columns that tell apart what goes one way only, such as kinds.
+    apart: tuple[str, ...] = ()
+
+    @property
+    def wide(self) -> bool:
+        return self.receivers > self.fan
+
+    def sent(self, cells: pa.Table) -> pa.Table:
+        """Cells of one sender, as they travel."""
+        if not self.wide:
+            return cells.select([*self.apart, self.to, self.of, *(n for n, _ in self.fields)])
+        cells = cells.sort_by([(c, "ascending") for c in (*self.apart, self.to)])
+        keys = [np.asarray(cells.column(c)).astype(np.int64) for c in self.apart] + [np.asarray(cells.column(c)).astype(np.int64) // self.fan for c in (self.to, self.of)]
+        return self._lists(cells, keys, [*self.apart, "wide", "other"], [self.to, self.of])
+
+    def _lists(self, cells: pa.Table, keys: list[np.ndarray], names: list[str], listed: list[str]) -> pa.Table:
+        """A row for each run of equal keys, the rest as lists."""
+        new = np.ones(len(cells), bool)
+        if len(cells):
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        starts = np.flatnonzero(new)
+        offsets = pa.array(np.append(starts, len(cells)), pa.int32())
+        lists = {c: pa.ListArray.from_arrays(offsets, cells.column(c).combine_chunks()) for c in [*listed, *(n for n, _ in self.fields)]}
+        return pa.table({n: pa.array(k[starts], pa.int32()) for n, k in zip(names, keys, strict=True)} | lists)
+
+    def schema(self) -> str:
+        """Of the rows that senders' tasks return."""
+        if not self.wide:
+            return ", ".join([*(f"{c} int" for c in (*self.apart, self.to, self.of)), *(f"{n} {t}" for n, t in self.fields)])
+        return ", ".join([*(f"{c} int" for c in (*self.apart, "wide", "other")), *(f"{c} array<int>" for c in (self.to, self.of)), *(f"{n} array<{t}>" for n, t in self.fields)])
+
+    def received(self, rows: DataFrame) -> DataFrame:
+        """Rows of which each has one receiver, in the column `to`."""
+        if not self.wide:
+            return rows
+        schema = ", ".join([*(f"{c} int" for c in (*self.apart, self.to)), f"{self.of} array<int>", *(f"{n} array<{t}>" for n, t in self.fields)])
+        return rows.groupBy(*self.apart, "wide", "other").applyInArrow(lambda key, t: self._turned(t), schema)
+
+    def _turned(self, table: pa.Table) -> pa.Table:
+        each = {c: pa.compute.list_flatten(table.column(c)) for c in (self.to, self.of, *(n for n, _ in self.fields))}
+        n = pa.compute.list_value_length(table.column(self.to))
+        for c in self.apart:
+            each[c] = pa.array(np.repeat(np.asarray(table.column(c)), np.asarray(n)), pa.int32())
+        cells = pa.table(each).sort_by([(self.to, "ascending"), (self.of, "ascending")])
+        keys = [np.asarray(cells.column(c)).astype(np.int64) for c in (*self.apart, self.to)]
+        return self._lists(cells, keys, [*self.apart, self.to], [self.of])
+
+    def cells(self, table: pa.Table) -> pa.Table:
+        """The cells of what a receiver got; a side table's rows don't say whose they are."""
+        if not self.wide:
+            return table
+        n = np.asarray(pa.compute.list_value_length(table.column(self.of)))
+        own = {c: pa.array(np.repeat(np.asarray(table.column(c)), n), pa.int32()) for c in (*self.apart, self.to) if c in table.column_names}
+        return pa.table(own | {c: pa.compute.list_flatten(table.column(c)) for c in (self.of, *(n for n, _ in self.fields))})
+
+
 class Rolling:
     """Hashes of byte runs and of runs of words, a function of the seed and the content alone.
 

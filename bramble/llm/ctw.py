@@ -23,6 +23,7 @@ next byte; the distinct grams of all texts with their training counts are the mo
    every node.
 4. In the parts, the mixture runs top down to a code length for every distinct gram, seen in training or not. A context
    without a training count has no say: its share goes to the longest one that has.
+   Chunks and buckets exchange cells by blocks where they are many (`common.Exchange`), so rows don't grow as their product.
 5. The lengths go back to the buckets, each chunk gets those of its grams in the order it sent them, and sums them per text.
 
 Word counts, for comparison with a unigram model of words, go the same way.
@@ -39,7 +40,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, blocks, by_chunk, chunked, mixed, side_table, ways, written
+from .common import Exchange, Rolling, blocks, by_chunk, chunked, mixed, side_table, ways, written
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,8 @@ class Rule:
     depth: int = 5
     chunk_chars: int = 16_000_000
     bucket_chars: int = 8_000_000
+    #: Buckets or chunks up to which their exchange is one row a pair.
+    fan: int = 4096
 
 
 #: Bytes of context whose nodes are weighted together above the parts.
@@ -210,14 +213,14 @@ def _keys(data: np.ndarray, offsets: np.ndarray, kind: int, depth: int) -> tuple
     return words, np.diff(row)
 
 
-def _send(number: int, texts: pa.Table, side: dict, depth: int, n_buckets: int) -> pa.Table:
-    out = []
+def _send(number: int, texts: pa.Table, side: dict, depth: int, n_buckets: int, out: Exchange) -> pa.Table:
+    sent = []
     for kind in (GRAMS, WORDS):
         c = _Counts(texts, kind, depth, n_buckets)
         part = lambda x: [x[a:b].tobytes() for a, b in zip(c.bounds[:-1], c.bounds[1:], strict=True)]  # noqa: B023,E731
         m = len(c.bucket)
-        out.append(pa.table({"kind": pa.array(np.full(m, kind, np.int32)), "bucket": pa.array(c.bucket, pa.int32()), "chunk": pa.array(np.full(m, number, np.int32)), "keys": pa.array(part(c.keys), pa.binary()), "n": pa.array(part(c.n), pa.binary())}))
-    return pa.concat_tables(out)
+        sent.append(pa.table({"kind": pa.array(np.full(m, kind, np.int32)), "bucket": pa.array(c.bucket, pa.int32()), "chunk": pa.array(np.full(m, number, np.int32)), "keys": pa.array(part(c.keys), pa.binary()), "n": pa.array(part(c.n), pa.binary())}))
+    return out.sent(pa.concat_tables(sent))
 
 
 def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -228,10 +231,10 @@ def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[i
     return keys, np.bincount(which, weights=n, minlength=len(keys)).astype(np.int64), which, [len(x) for x in parts]
 
 
-def _answers(table: pa.Table, kind: int, values: np.ndarray, which: np.ndarray, sizes: list[int], known: int, total: int) -> pa.Table:
+def _answers(table: pa.Table, kind: int, values: np.ndarray, which: np.ndarray, sizes: list[int], known: int, total: int, out: Exchange) -> pa.Table:
     raw = [x.tobytes() for x in np.split(values[which], np.cumsum(sizes)[:-1])]
     once = lambda x: pa.array([x] + [0] * (len(raw) - 1), pa.int64())
-    return pa.table({"chunk": table.column("chunk"), "kind": pa.array([kind] * len(raw), pa.int32()), "bucket": table.column("bucket"), "answer": pa.array(raw, pa.binary()), "known": once(known), "total": once(total)})
+    return out.sent(pa.table({"chunk": table.column("chunk"), "kind": pa.array([kind] * len(raw), pa.int32()), "bucket": table.column("bucket"), "answer": pa.array(raw, pa.binary()), "known": once(known), "total": once(total)}))
 
 
 def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -244,9 +247,9 @@ def _totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts], np.add.reduceat(n[order].astype(np.int64), starts)
 
 
-def _distinct(key, table: pa.Table, depth: int, n_parts: int) -> pa.Table:
+def _distinct(key, table: pa.Table, depth: int, n_parts: int, into: Exchange) -> pa.Table:
     """A bucket's distinct grams with their counts, packed for the parts of their contexts."""
-    keys, n = _totals(table)
+    keys, n = _totals(into.cells(table))
     part = _bucket(keys >> np.uint64(8 * (depth + 1 - JOINT)), n_parts)
     order = np.argsort(part, kind="stable")
     own, begin = np.unique(part[order], return_index=True)
@@ -278,20 +281,22 @@ def _lengths(key, table: pa.Table, above: pa.Table, depth: int) -> pa.Table:
     return pa.table({"bucket": table.column("bucket"), "keys": table.column("keys"), "lengths": pa.array(raw, pa.binary())})
 
 
-def _told(key, sent: pa.Table, lengths: pa.Table) -> pa.Table:
+def _told(key, sent: pa.Table, lengths: pa.Table, into: Exchange, out: Exchange) -> pa.Table:
     """The code lengths of the grams that each chunk sent to a bucket, in its order."""
+    sent = into.cells(sent)
     keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in lengths.column("keys")])
     values = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in lengths.column("lengths")])
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     asked = [np.frombuffer(x.as_buffer(), np.uint64) for x in sent.column("keys")]
     which = np.searchsorted(keys, np.concatenate(asked))
-    return _answers(sent, GRAMS, values, which, [len(x) for x in asked], 0, 0)
+    return _answers(sent, GRAMS, values, which, [len(x) for x in asked], 0, 0, out)
 
 
-def _word_counts(key, table: pa.Table) -> pa.Table:
+def _word_counts(key, table: pa.Table, into: Exchange, out: Exchange) -> pa.Table:
+    table = into.cells(table)
     _, n, which, sizes = _summed(table)
-    return _answers(table, WORDS, n, which, sizes, int((n > 0).sum()), int(n.sum()))
+    return _answers(table, WORDS, n, which, sizes, int((n > 0).sum()), int(n.sum()), out)
 
 
 #: Groups in which the levels above JOINT are worked out.
@@ -347,9 +352,9 @@ def _upper(nodes: DataFrame) -> DataFrame:
     return of_two.applyInArrow(lambda key, t: _from_two(key, t, above), "part int, node long, a double, b double, c double")
 
 
-def _sums(number: int, texts: pa.Table, side: dict, depth: int, n_buckets: int, known: int, total: int) -> pa.Table:
+def _sums(number: int, texts: pa.Table, side: dict, depth: int, n_buckets: int, known: int, total: int, into: Exchange) -> pa.Table:
     """Per text: the sum of its bytes' code lengths, and its words by the unigram model (an end after each text)."""
-    answers, n_rows = side["answers"], len(texts)
+    answers, n_rows = None if side["answers"] is None else into.cells(side["answers"]), len(texts)
     out = {"score": np.zeros(n_rows), "base_score": np.zeros(n_rows), "n_tokens": np.ones(n_rows, np.int64), "n_known": np.full(n_rows, int(side["ends"] > 0), np.int64), "n_bytes": np.zeros(n_rows, np.int64)}
     log = lambda c: np.log10((c + 0.1) / (total + 0.1 * (known + 1)))
     for kind, form in ((GRAMS, np.float32), (WORDS, np.int64)):
@@ -395,24 +400,29 @@ def scored(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rows = rows.withColumn("trains", (~held_out()).cast("int"))
     seen = rows.agg(F.sum(F.length("text")).alias("chars"), F.sum("trains").alias("ends")).first()
     chars, ends = seen["chars"] or 0, seen["ends"] or 0
-    args = {"depth": rule.depth, "n_buckets": ways(chars, rule.bucket_chars)}
+    n_chunks, n_buckets = ways(chars, rule.chunk_chars), ways(chars, rule.bucket_chars)
+    args = {"depth": rule.depth, "n_buckets": n_buckets}
     n_parts = ways(min(chars, PART_BOUND), rule.bucket_chars)
-    chunks = chunked(rows, [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")], ways(chars, rule.chunk_chars))
+    chunks = chunked(rows, [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")], n_chunks)
     depth = rule.depth
-    sent = written(chunks.mapInArrow(partial(by_chunk, work=_send, side={}, args=args), "kind int, bucket int, chunk int, keys binary, n binary"), "counts")
+    counts = Exchange("chunk", "bucket", n_buckets, rule.fan, (("keys", "binary"), ("n", "binary")), ("kind",))
+    told = Exchange("bucket", "chunk", n_chunks, rule.fan, (("answer", "binary"), ("known", "long"), ("total", "long")), ("kind",))
+    sent = chunks.mapInArrow(partial(by_chunk, work=_send, side={}, args=args | {"out": counts}), counts.schema())
+    sent = written(counts.received(sent), "counts")
     of_grams, of_words = sent.filter(f"kind = {GRAMS}"), sent.filter(f"kind = {WORDS}")
-    distinct = of_grams.groupBy("bucket").applyInArrow(lambda key, t: _distinct(key, t, depth, n_parts), "part int, bucket int, keys binary, n binary")
+    distinct = of_grams.groupBy("bucket").applyInArrow(lambda key, t: _distinct(key, t, depth, n_parts, counts), "part int, bucket int, keys binary, n binary")
     distinct = written(distinct, "grams")
     nodes = written(distinct.groupBy("part").applyInArrow(lambda key, t: _lift(key, t, depth), f"part int, {_NODES}"), "nodes")
-    kinds = "chunk int, kind int, bucket int, answer binary, known long, total long"
     lengths = distinct.groupBy("part").cogroup(_upper(nodes).groupBy("part")).applyInArrow(lambda key, t, u: _lengths(key, t, u, depth), "bucket int, keys binary, lengths binary")
-    lengths = of_grams.groupBy("bucket").cogroup(lengths.groupBy("bucket")).applyInArrow(lambda key, t, u: _told(key, t, u), kinds)
-    words = of_words.groupBy("bucket").applyInArrow(lambda key, t: _word_counts(key, t), kinds)
-    answers = side_table(lengths.unionByName(words), "answers")
-    sums = docs.sparkSession.read.schema(kinds).parquet(answers).agg(F.sum("known").alias("known"), F.sum("total").alias("total")).first()
+    lengths = of_grams.groupBy("bucket").cogroup(lengths.groupBy("bucket")).applyInArrow(lambda key, t, u: _told(key, t, u, counts, told), told.schema())
+    words = of_words.groupBy("bucket").applyInArrow(lambda key, t: _word_counts(key, t, counts, told), told.schema())
+    answers = told.received(lengths.unionByName(words))
+    path = side_table(answers, "answers")
+    all_ = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) if told.wide else c).alias(c)
+    sums = docs.sparkSession.read.schema(answers.schema).parquet(path).agg(all_("known"), all_("total")).first()
     known, total = (sums["known"] or 0) + (ends > 0), (sums["total"] or 0) + ends
-    work = partial(_finished, known=known, total=total, ends=ends)
-    out = chunks.mapInArrow(partial(by_chunk, work=work, side={"answers": answers}, args=args), "doc_id long, score double, base_score double, n_tokens long, n_known long, n_bytes long")
+    work = partial(_finished, known=known, total=total, ends=ends, into=told)
+    out = chunks.mapInArrow(partial(by_chunk, work=work, side={"answers": path}, args=args), "doc_id long, score double, base_score double, n_tokens long, n_known long, n_bytes long")
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")
 
 

@@ -14,6 +14,7 @@ among the rolling block-long windows of the other.
    earlier occurrence make up the maximal exact repeats. The windows' 128-bit hashes go to buckets, each once per chunk;
    as chunks are in the order of doc_id, the smallest chunk with a hash has its first place, and each chunk gets back
    one bit a window that says whether it is that one.
+   Chunks and buckets exchange cells by blocks where they are many (`common.Exchange`), so rows don't grow as their product.
 4. A chunk marks the words under windows that start earlier, and takes them out.
 
 A passage in a third of all documents comes once per chunk, not once per occurrence, so no key is hot; copies are
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Rolling, blocks, by_chunk, chunked, side_table, total_chars, ways
+from .common import Exchange, Rolling, blocks, by_chunk, chunked, side_table, total_chars, ways
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,8 @@ class Repeats:
     #: Characters of text in one chunk, and rolling windows in one bucket, about.
     chunk_chars: int = 16_000_000
     bucket_chars: int = 8_000_000
+    #: Buckets or chunks up to which their exchange is one row a pair.
+    fan: int = 4096
     #: Whether kept_text is the text with the removed words cut out, all else as it is, and not the kept words joined.
     cut_out: bool = False
 
@@ -66,7 +69,7 @@ def _keys(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
     return (bucket << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
 
 
-def _probe(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int) -> pa.Table:
+def _probe(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int, out: Exchange) -> pa.Table:
     """(bucket, chunk, hashes, marks): mark 1: an aligned block is among the occurrences, 2: it occurs more than once."""
     found, on_block = [], []
     for first, end, data, offsets in blocks(texts.column("text")):
@@ -91,11 +94,12 @@ def _probe(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: i
     low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     part = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
     chunk = pa.array(np.full(len(bucket), number, np.int32))
-    return pa.table({"bucket": pa.array(bucket.astype(np.int32)), "chunk": chunk, "hashes": part(low), "marks": part(marks)})
+    return out.sent(pa.table({"bucket": pa.array(bucket.astype(np.int32)), "chunk": chunk, "hashes": part(low), "marks": part(marks)}))
 
 
-def _hits(key, table: pa.Table) -> pa.Table:
+def _hits(key, table: pa.Table, into: Exchange, out: Exchange) -> pa.Table:
     """A bucket's hashes with an aligned block that occur more than once, for each chunk that has them."""
+    table = into.cells(table)
     parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("hashes")]
     hashes = np.concatenate(parts)
     marks = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("marks")])
@@ -113,12 +117,12 @@ def _hits(key, table: pa.Table) -> pa.Table:
     bounds = np.append(starts, len(hit))
     bucket = np.uint64(key[0].as_py() << 32)
     keys = [(hashes[hit[a:b]].astype(np.uint64) | bucket).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return pa.table({"chunk": pa.array(own, pa.int32()), "hashes": pa.array(keys, pa.binary())})
+    return out.sent(pa.table({"chunk": pa.array(own, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(own), pa.int32()), "hashes": pa.array(keys, pa.binary())}))
 
 
-def _firsts(key, table: pa.Table) -> pa.Table:
+def _firsts(key, table: pa.Table, into: Exchange, out: Exchange) -> pa.Table:
     """For each chunk that sent hashes to a bucket, a bit for each: whether no chunk before it has that hash."""
-    table = table.sort_by("chunk")
+    table = into.cells(table).sort_by("chunk")
     pairs = [np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1) for x in table.column("hashes")]
     h1, h2 = np.concatenate(pairs, axis=1)
     sizes = [x.shape[1] for x in pairs]
@@ -126,10 +130,10 @@ def _firsts(key, table: pa.Table) -> pa.Table:
     order = np.lexsort((chunks, h2, h1))
     first = np.ones(len(order), bool)
     first[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-    out = np.empty(len(order), bool)
-    out[order] = first
-    bits = [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+    told = np.empty(len(order), bool)
+    told[order] = first
+    bits = [np.packbits(x).tobytes() for x in np.split(told, np.cumsum(sizes)[:-1])]
+    return out.sent(pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())}))
 
 
 def _candidates(texts: pa.Table, hits: pa.Table | None, rule: Repeats, n_buckets: int) -> Iterator[tuple]:
@@ -187,18 +191,22 @@ class _Windows:
         self.bounds = np.append(begin, len(starts))
 
 
-def _send(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int) -> pa.Table:
-    w = _Windows(texts, list(_candidates(texts, side["hits"], rule, n_buckets)), n_buckets)
+def _got(side: dict, name: str, into: Exchange) -> pa.Table | None:
+    return None if side[name] is None else into.cells(side[name])
+
+
+def _send(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int, hits: Exchange, out: Exchange) -> pa.Table:
+    w = _Windows(texts, list(_candidates(texts, _got(side, "hits", hits), rule, n_buckets)), n_buckets)
     parts = [np.concatenate((w.h1[a:b], w.h2[a:b])).tobytes() for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
-    return pa.table({"bucket": pa.array(w.bucket, pa.int32()), "chunk": pa.array(np.full(len(parts), number, np.int32)), "hashes": pa.array(parts, pa.binary())})
+    return out.sent(pa.table({"bucket": pa.array(w.bucket, pa.int32()), "chunk": pa.array(np.full(len(parts), number, np.int32)), "hashes": pa.array(parts, pa.binary())}))
 
 
-def _taken_out(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int) -> pa.Table:
+def _taken_out(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int, hits: Exchange, firsts: Exchange) -> pa.Table:
     """Every text without the words under windows that start earlier elsewhere."""
-    found = list(_candidates(texts, side["hits"], rule, n_buckets))
+    found = list(_candidates(texts, _got(side, "hits", hits), rule, n_buckets))
     w = _Windows(texts, found, n_buckets)
     own = np.ones(len(w.first), bool)
-    bits = side["firsts"]
+    bits = _got(side, "firsts", firsts)
     if bits is not None:
         for bucket, raw in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True):
             k = int(np.searchsorted(w.bucket, bucket))
@@ -251,14 +259,20 @@ def without_repeats(docs: DataFrame, rule: Repeats = Repeats(), carried: Sequenc
     rest = [F.struct(*(F.col(f"`{c}`") for c in carried)).alias("rest")] if carried else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *rest).withColumn("copy", F.xxhash64("text"))
     total = total_chars(docs)
-    n_buckets = ways(total, rule.bucket_chars)
-    args = {"rule": rule, "n_buckets": n_buckets}
-    chunks = chunked(docs, [F.col("doc_id").asc_nulls_first(), F.col("copy")], ways(total, rule.chunk_chars))
-    passed = lambda work, schema, **side: chunks.mapInArrow(partial(by_chunk, work=work, side=side, args=args), schema)
-
-    probes = passed(_probe, "bucket int, chunk int, hashes binary, marks binary")
-    hits = side_table(probes.groupBy("bucket").applyInArrow(lambda key, t: _hits(key, t), "chunk int, hashes binary"), "hits")
-    sent = passed(_send, "bucket int, chunk int, hashes binary", hits=hits)
-    firsts = side_table(sent.groupBy("bucket").applyInArrow(lambda key, t: _firsts(key, t), "chunk int, bucket int, bits binary"), "firsts")
+    n_chunks, n_buckets = ways(total, rule.chunk_chars), ways(total, rule.bucket_chars)
+    chunks = chunked(docs, [F.col("doc_id").asc_nulls_first(), F.col("copy")], n_chunks)
+
+    def passed(work, schema, side=None, **args):  # noqa: ANN001, ANN202
+        return chunks.mapInArrow(partial(by_chunk, work=work, side=side or {}, args={"rule": rule, "n_buckets": n_buckets, **args}), schema)
+
+    to_bucket = lambda *fields: Exchange("chunk", "bucket", n_buckets, rule.fan, fields)
+    to_chunk = lambda *fields: Exchange("bucket", "chunk", n_chunks, rule.fan, fields)
+    probes, hits = to_bucket(("hashes", "binary"), ("marks", "binary")), to_chunk(("hashes", "binary"))
+    windows, firsts = to_bucket(("hashes", "binary")), to_chunk(("bits", "binary"))
+    sent = probes.received(passed(_probe, probes.schema(), out=probes))
+    hit = side_table(hits.received(sent.groupBy("bucket").applyInArrow(lambda key, t: _hits(key, t, probes, hits), hits.schema())), "hits")
+    sent = windows.received(passed(_send, windows.schema(), {"hits": hit}, hits=hits, out=windows))
+    first = side_table(firsts.received(sent.groupBy("bucket").applyInArrow(lambda key, t: _firsts(key, t, windows, firsts), firsts.schema())), "firsts")
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_text string")
-    return passed(_taken_out, StructType(schema.fields + [f for f in docs.schema.fields if f.name == "rest"]), hits=hits, firsts=firsts)
+    schema = StructType(schema.fields + [f for f in docs.schema.fields if f.name == "rest"])
+    return passed(_taken_out, schema, {"hits": hit, "firsts": first}, hits=hits, firsts=firsts)

@@ -70,10 +70,10 @@ def _events(text: str | None, depth: int) -> list[tuple[bytes, int]]:
     return [(wide[k : k + depth], raw[k]) for k in range(len(raw))]
 
 
-@pytest.mark.parametrize("depth", [3, 4])
-def test_scores_by_recursion(spark, depth):
+@pytest.mark.parametrize(("depth", "fan"), [(3, 4096), (4, 2)])
+def test_scores_by_recursion(spark, depth, fan):
     rows = [(i, t) for i, t in enumerate(TEXTS * 3)] + [(None, "abab")]
-    got = ctw.scored(spark.createDataFrame(rows, "doc_id long, text string"), ctw.Rule(depth=depth, chunk_chars=100, bucket_chars=60)).collect()
+    got = ctw.scored(spark.createDataFrame(rows, "doc_id long, text string"), ctw.Rule(depth=depth, fan=fan, chunk_chars=100, bucket_chars=60)).collect()
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
     plain = Plain([e for i, t in rows if not held(i) for e in _events(t, depth)], depth)
     assert len(got) == len(rows)
@@ -104,7 +104,7 @@ def test_all_continuations_sum_to_one():
 
 def test_unigrams_by_loops(spark):
     rows = [(i, f"The cat {'sat ' * (i % 4)}on\tmat{i % 3}\x0b x{i}") for i in range(60)] + [(60, None), (61, "")]
-    got = {r["doc_id"]: r for r in ctw.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in ctw.scored(spark.createDataFrame(rows, "doc_id long, text string"), ctw.Rule(fan=3, chunk_chars=200, bucket_chars=300)).collect()}
     words = lambda t: [w for w in (t or "").lower().replace("\x0b", " ").split(" ") for w in w.split("\t") if w]
     counts, total = {}, 0
     for i, t in rows:

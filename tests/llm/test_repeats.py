@@ -36,10 +36,11 @@ def _rows(seed: int) -> list:
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_windows_by_loops(spark, seed):
+@pytest.mark.parametrize(("seed", "fan"), [(1, 4096), (2, 4096), (1, 3), (2, 1)])
+def test_windows_by_loops(spark, seed, fan):
+    """By rows of single cells and by blocks of them."""
     rows = _rows(seed)
-    got = {x["doc_id"]: x for x in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), repeats.Repeats(**SMALL)).collect()}
+    got = {x["doc_id"]: x for x in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), repeats.Repeats(fan=fan, **SMALL)).collect()}
     assert len(got) == len(rows)
     for (i, _), (w, gone) in zip(rows, by_loops(rows), strict=True):
         assert (got[i]["n_words"], got[i]["n_removed"]) == (len(w), sum(gone))

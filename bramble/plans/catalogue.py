@@ -576,7 +576,7 @@ def _rastered(spark, d, step):
 
 
 for _name, _step in (
-    ("image_resize", lambda a: rasters.resized(a, 16, 16)), ("image_sharpen", rasters.sharpened), ("image_equalize", rasters.equalized),
+    ("image_resize", lambda a: rasters.resized(a, 16, 16)), ("image_sharpen", rasters.sharpened), ("image_equalize", lambda a: rasters.equalized(rasters.resized(a, 64, 64))),
     ("image_darkest", rasters.darkest), ("image_hair_removal", lambda a: rasters.without_hairs(a, 3)), ("image_denoise", lambda a: rasters.denoised(a, 10.0, 3, 5)),
 ):
     QUERIES[_name] = lambda spark, d, step=_step: _rastered(spark, d, step)

@@ -17,7 +17,7 @@ from bramble.plans.catalogue import _CLASS, _DISCRETE, _NUMBERS, _OB, _PX, _TRIP
 from bramble.session import table as read
 from bramble.sources import files, pictures
 from bramble.sources.shared import fresh_path
-from bramble.streaming.scorer import scored_stream
+from bramble.streaming.scorer import appended, scored_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,7 +115,7 @@ def stream_scored(spark, d):
     base.filter("rid % 10 >= 7").drop("label").write.parquet(rows)
     rules = base.filter("rid % 10 < 7")
     stream = scored_stream(spark.readStream.schema(base.drop("label").schema).parquet(rows), rules, centres, "label", "rid")
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    appended(stream, out, fresh_path(spark, "offsets"))
     return spark.read.parquet(out).select(F.col("rid").alias("o_orderkey"), "label")
 
 

@@ -169,6 +169,18 @@ def test_turns_are_summed_up(spark):
     assert all(t["sampling_seconds"] >= 0 and t["graph_seconds"] > 0 for t in got) and got[2]["accuracy_deviation"] >= 0
 
 
+def test_a_stream_goes_on(spark, tmp_path):
+    from bramble.streaming.scorer import appended, scored_stream
+
+    rules = spark.createDataFrame([(1, 1, 3)], "rid int, x int, label int")
+    rows, out, offsets = (str(tmp_path / n) for n in ("rows", "out", "offsets"))
+    for turn, x in enumerate((1.2, 9.0, 0.7)):
+        spark.createDataFrame([(turn, x)], "i int, x double").write.mode("append").parquet(rows)
+        appended(scored_stream(spark.readStream.schema("i int, x double").parquet(rows), rules, {"x": [1.0, 10.0]}, "label", "rid"), out, offsets)
+        assert spark.read.parquet(out).count() == turn + 1
+    assert {r["i"]: r["label"] for r in spark.read.parquet(out).collect()} == {0: 3, 1: 0, 2: 3}
+
+
 # ---- images
 
 

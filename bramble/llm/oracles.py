@@ -19,9 +19,9 @@ WITH named AS (
     'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html AS block
   FROM named
 ), records AS (SELECT page_id, id, kind, {_PAGE} AS record FROM blocks)
-SELECT id AS record_id, page_id, CAST(strlen(record) AS BIGINT) AS octets, sha256(record) AS record_sha256, CASE WHEN kind IN (0, 2) THEN 'damaged' WHEN kind = 1 THEN 'missing' ELSE 'intact' END AS fate FROM records
+SELECT id AS record_id, coalesce(page_id, -1) AS page_id, CAST(strlen(record) AS BIGINT) AS octets, sha256(record) AS record_sha256, CASE WHEN kind IN (0, 2) THEN 'damaged' WHEN kind = 1 THEN 'missing' ELSE 'intact' END AS fate FROM records
 UNION ALL
-SELECT {_uuid("sha256('extra|' || id)")}, NULL, NULL, NULL, 'extra' FROM records WHERE kind = 3
+SELECT {_uuid("sha256('extra|' || id)")}, -1, 0, '', 'extra' FROM records WHERE kind = 3
 """
 
 

@@ -37,13 +37,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit of a replica of all pages against one in which some records are hurt by a rule."""
+    """The audit of a replica of all pages against one in which some records are hurt by a rule. Records that only the
+    hurt one has are no page's: page -1, 0 octets, no hash."""
     folder, held = fixity.replica(_table(spark, sf_dir, "pages"))
     other, files = fixity.damaged(folder, held)
     told = fixity.audited(fixity.trees(folder, held), fixity.trees(other, files)).select("file", "record_id", "fate")
     fate = F.when(F.col("fate") == "moved", "intact").otherwise(F.col("fate"))  # where files end is not for SQL to know
     out = told.join(held, ["file", "record_id"], "left")
-    return out.select("record_id", "page_id", "octets", "record_sha256", fate.alias("fate"))
+    known = (F.coalesce(c, F.lit(v)).alias(c) for c, v in (("page_id", -1), ("octets", 0), ("record_sha256", "")))
+    return out.select("record_id", *known, fate.alias("fate"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

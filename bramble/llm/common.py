@@ -20,18 +20,16 @@ import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs
 import pyarrow.parquet as pq
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from bramble.sources import shared
 from bramble.sources.shared import file_system, fresh_path, put_file, shared_dir
 
 #: Rows of an Arrow batch of texts.
-ROWS = 2000
+ROWS = 1000
 #: Bytes of text that one numpy block holds (a longer single text is a block of its own).
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 #: The contract's word pattern, for Spark's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,6 +82,7 @@ def tidy(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
         try:
             yield from work(*args, **more)
         finally:
+            Rolling._powers.clear()  # made again in milliseconds
             pa.default_memory_pool().release_unused()
             with suppress(OSError, AttributeError):  # where the C library has it
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -124,13 +123,6 @@ def _blocks(column, size):
         first = end
 
 
-@tidy
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId()
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), number, np.int32)), *b.columns], ["chunk", *b.schema.names])
-
-
 @tidy
 def by_chunk(batches: Iterator[pa.RecordBatch], work, side: dict[str, str], args: dict) -> Iterator[pa.RecordBatch]:
     """Whole chunks from batches that hold one after the other; side: tables in the shared folder with a part per chunk."""
@@ -161,11 +153,11 @@ def side_part(path: str, number: int) -> pa.Table | None:
     return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read() for f in sorted(files)]) if files else None
 
 
-def side_table(df: DataFrame, name: str) -> str:
-    """df in the shared folder, with a folder for each chunk."""
+def side_table(df: DataFrame, name: str, n_chunks: int) -> str:
+    """df in the shared folder, with a folder for each of n_chunks chunks, a few of them written by a task."""
     path = fresh_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
-        df.repartition("chunk").write.partitionBy("chunk").parquet(path)
+        df.repartition(ways(n_chunks, 4), "chunk").write.partitionBy("chunk").parquet(path)
     return path
 
 
@@ -175,8 +167,7 @@ def chunked(df: DataFrame, order: list, n: int) -> DataFrame:
     A file of one row group is never divided among tasks, so every scan has each chunk whole and in order.
     """
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    schema = StructType([StructField("chunk", IntegerType()), *df.schema.fields])
-    return written(dealt.mapInArrow(_numbered, schema), "chunks", {"parquet.block.size": 2**30})
+    return written(dealt.select(F.spark_partition_id().alias("chunk"), *df.columns), "chunks", {"parquet.block.size": 2**30})
 
 
 # ---- exchange between chunks and buckets

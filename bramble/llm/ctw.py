@@ -409,15 +409,17 @@ def scored(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     told = Exchange("bucket", "chunk", n_chunks, rule.fan, (("answer", "binary"), ("known", "long"), ("total", "long")), ("kind",))
     sent = chunks.mapInArrow(partial(by_chunk, work=_send, side={}, args=args | {"out": counts}), counts.schema())
     sent = written(counts.received(sent), "counts")
-    of_grams, of_words = sent.filter(f"kind = {GRAMS}"), sent.filter(f"kind = {WORDS}")
-    distinct = of_grams.groupBy("bucket").applyInArrow(lambda key, t: _distinct(key, t, depth, n_parts, counts), "part int, bucket int, keys binary, n binary")
+    # Tasks are as many as the buckets ask for, two each, whatever the session's number of partitions.
+    by_bucket = lambda df: df.repartition(ways(n_buckets, 2), "bucket").groupBy("bucket")
+    of_grams, of_words = (by_bucket(sent.filter(f"kind = {k}")) for k in (GRAMS, WORDS))
+    distinct = of_grams.applyInArrow(lambda key, t: _distinct(key, t, depth, n_parts, counts), "part int, bucket int, keys binary, n binary")
     distinct = written(distinct, "grams")
     nodes = written(distinct.groupBy("part").applyInArrow(lambda key, t: _lift(key, t, depth), f"part int, {_NODES}"), "nodes")
     lengths = distinct.groupBy("part").cogroup(_upper(nodes).groupBy("part")).applyInArrow(lambda key, t, u: _lengths(key, t, u, depth), "bucket int, keys binary, lengths binary")
-    lengths = of_grams.groupBy("bucket").cogroup(lengths.groupBy("bucket")).applyInArrow(lambda key, t, u: _told(key, t, u, counts, told), told.schema())
-    words = of_words.groupBy("bucket").applyInArrow(lambda key, t: _word_counts(key, t, counts, told), told.schema())
+    lengths = of_grams.cogroup(by_bucket(lengths)).applyInArrow(lambda key, t, u: _told(key, t, u, counts, told), told.schema())
+    words = of_words.applyInArrow(lambda key, t: _word_counts(key, t, counts, told), told.schema())
     answers = told.received(lengths.unionByName(words))
-    path = side_table(answers, "answers")
+    path = side_table(answers, "answers", n_chunks)
     all_ = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) if told.wide else c).alias(c)
     sums = docs.sparkSession.read.schema(answers.schema).parquet(path).agg(all_("known"), all_("total")).first()
     known, total = (sums["known"] or 0) + (ends > 0), (sums["total"] or 0) + ends

@@ -273,7 +273,7 @@ class Store:
         return places.mapInArrow(partial(_fetch, folder=folder), "doc_id long, shard int, start long, ids binary")
 
 
-def stored(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, shard_chars: int = 32_000_000, part_keys: int = 200_000) -> Store:
+def stored(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, shard_chars: int = 16_000_000, part_keys: int = 200_000) -> Store:
     """Encode all texts (null: empty), each with end_id after it, into shards in ascending doc_id order, and index them.
 
     Null doc_ids come first and are one key. Rows with the same doc_id follow each other, ordered by text, under one

@@ -204,7 +204,7 @@ def packed(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int
     by_chunk = pieces.groupBy("chunk", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     by_chunk = written(by_chunk, "piece-counts")
-    bases = side_table(by_chunk.select("chunk", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "piece-ranks")
+    bases = side_table(by_chunk.select("chunk", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "piece-ranks", by_chunk.select("chunk").distinct().count())
     counts = np.zeros(capacity + 1, np.int64)
     for r in by_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
         counts[r["length"]] = r["n"]

@@ -40,8 +40,8 @@ from .common import Exchange, Rolling, blocks, by_chunk, chunked, side_table, to
 class Repeats:
     window: int = 20
     #: Characters of text in one chunk, and rolling windows in one bucket, about.
-    chunk_chars: int = 8_000_000
-    bucket_chars: int = 8_000_000
+    chunk_chars: int = 16_000_000
+    bucket_chars: int = 16_000_000
     #: Buckets or chunks up to which their exchange is one row a pair.
     fan: int = 4096
     #: Whether kept_text is the text with the removed words cut out, all else as it is, and not the kept words joined.
@@ -269,11 +269,9 @@ def without_repeats(docs: DataFrame, rule: Repeats = Repeats(), carried: Sequenc
     to_chunk = lambda *fields: Exchange("bucket", "chunk", n_chunks, rule.fan, fields)
     probes, hits = to_bucket(("hashes", "binary"), ("marks", "binary")), to_chunk(("hashes", "binary"))
     windows, firsts = to_bucket(("hashes", "binary")), to_chunk(("bits", "binary"))
-    # Tasks are as many as the buckets ask for, two each, whatever the session's number of partitions.
-    by_bucket = lambda df: df.repartition(ways(n_buckets, 2), "bucket").groupBy("bucket")
-    sent = by_bucket(probes.received(passed(_probe, probes.schema(), out=probes)))
+    sent = probes.received(passed(_probe, probes.schema(), out=probes)).groupBy("bucket")
     hit = side_table(hits.received(sent.applyInArrow(lambda key, t: _hits(key, t, probes, hits), hits.schema())), "hits", n_chunks)
-    sent = by_bucket(windows.received(passed(_send, windows.schema(), {"hits": hit}, hits=hits, out=windows)))
+    sent = windows.received(passed(_send, windows.schema(), {"hits": hit}, hits=hits, out=windows)).groupBy("bucket")
     first = side_table(firsts.received(sent.applyInArrow(lambda key, t: _firsts(key, t, windows, firsts), firsts.schema())), "firsts", n_chunks)
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_text string")
     schema = StructType(schema.fields + [f for f in docs.schema.fields if f.name == "rest"])

@@ -9,11 +9,12 @@ Exact copies first become one class, known by a 128-bit digest of the shingle se
 candidates. A band bucket is dealt over SALTS sub-buckets by a hash of the member: members are held against the first
 one of their sub-bucket, these against the first one of the bucket, and then, in a few turns, members against one by
 chance of their sub-bucket that is in another component. Members of one component need no further look. What is left
-in buckets with several components is held against each other where two sets share one of their rarest shingles (the
-prefix filter, which loses no pair) and their parity sketches allow it, again only across components; the rows of a
-common shingle are dealt over as many keys as their number asks for. So a bucket of n near copies costs a few n pairs,
-no row meets more than its share of a bucket in one task, and no link between members of different components of a
-bucket is left out. With 24 bands of 4 coordinates a pair at similarity 0.8 is missed with a chance of 3 in a million.
+in buckets with several components is held against each other, again only across components: in buckets of up to PAIRED
+members all of them, in larger ones where two sets share one of their rarest shingles early enough (the prefix and the
+position filter, which lose no pair); sizes and parity sketches have to allow it, too. The rows of a common shingle are
+dealt over as many keys as their number asks for. So a bucket of n near copies costs a few n pairs, no row meets more
+than its share of a bucket in one task, and no link between members of different components of a bucket is left out.
+With 24 bands of 4 coordinates a pair at similarity 0.8 is missed with a chance of 3 in a million.
 
 A set with nearly as many shingles as the universe has places looks like any other such set to the signature: it costs
 candidates, never links.
@@ -91,6 +92,8 @@ class Signer:
 SALTS = 64
 #: A key is common if more than one row in so many has it.
 COMMON = 1000
+#: Buckets with up to so many members have few pairs, which are tried without a look at their shingles.
+PAIRED = 64
 
 _SIGNERS: dict[NearCopies, Signer] = {}
 
@@ -165,7 +168,8 @@ _RARITY = 1 << 18, 1 << 20
 
 @tidy
 def _prefixes(batches: Iterator[pa.RecordBatch], rule: NearCopies, rarity: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The first members of each set, rarest first, of which two sets this similar share one at least."""
+    """The first members of each set, rarest first, of which two sets this similar share one at least, the size of the set
+    and how many of its members come before."""
     for batch in batches:
         lists = batch.column("shingles")
         values, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
@@ -176,8 +180,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], rule: NearCopies, rarity: np.nd
             order = np.lexsort((own, rarity[own & (len(rarity) - 1)]))
             keys.append(own[order[: n - -(-n * rule.percent // 100) + 1]])
             sizes.append(len(keys[-1]))
-        nodes = np.repeat(np.asarray(batch.column("node")), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["node", "key"])
+        nodes, totals = np.repeat(np.asarray(batch.column("node")), sizes), np.repeat(np.diff(offsets), sizes).astype(np.int64)
+        before = np.concatenate([np.arange(n, dtype=np.int64) for n in sizes] or [np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(totals), pa.array(before)], ["node", "key", "n", "before"])
 
 
 #: Bits of a parity sketch: every member turns one bit over, so two sketches differ in no more bits than their sets
@@ -198,6 +203,16 @@ def _odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(offsets).astype(np.int64)), odd], ["node", "n", "odd"])
 
 
+@tidy
+def _alike(batches: Iterator[pa.RecordBatch], rule: NearCopies) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sketches don't tell their sets apart."""
+    for batch in batches:
+        bits = lambda c: np.asarray(batch.column(c).flatten()).view(np.uint64).reshape(len(batch), _ODD_BITS // 64)
+        differ = np.bitwise_count(bits("oa") ^ bits("ob")).sum(1, dtype=np.int64)
+        total = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
+        yield batch.select(["a", "b"]).filter(pa.array((100 + rule.percent) * differ <= (100 - rule.percent) * total))
+
+
 def _verified(pairs: DataFrame, pool: DataFrame, rule: NearCopies) -> DataFrame:
     """The pairs (a, b) of documents that are similar enough, by their full sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -242,6 +257,31 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("label"), F.col("y").alias("root")) if moved is None else moved
 
 
+def _by_prefix(left: DataFrame, pool: DataFrame, rule: NearCopies) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes (node, l) with different l, with all whose sets are similar enough among them."""
+    sets = written(pool.join(left.select("node"), "node", "left_semi"), "left-sets")
+    total = sets.agg(F.sum(F.size("shingles")).alias("n")).first()["n"]
+    counters = 1 << int(np.clip(int(total - 1).bit_length(), *(x.bit_length() - 1 for x in _RARITY)))
+    seen = sets.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(counters - 1)).alias("slot")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).alias("n"))
+    seen, rarity = seen.filter("n > 1").toArrow(), np.zeros(counters, np.int32)
+    rarity[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
+    keyed = sets.mapInArrow(partial(_prefixes, rule=rule, rarity=rarity), "node long, key long, n long, before long").distinct()
+    keyed = written(keyed.join(left, "node"), "keyed")
+    sizes = keyed.groupBy("key", "l").agg(F.count("*").alias("m")).groupBy("key")
+    mixed_keys = sizes.agg(F.max(F.struct("m", "l")).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("m")).filter("labels > 1")
+    mixed_keys = written(mixed_keys.select("key", F.col("top.l").alias("lt"), F.ceil(F.col("m") / 256).alias("parts"), "m"), "mixed")
+    # Only what is outside a key's largest component meets the others, so a large component costs no pairs of its own;
+    # the others are dealt over the key's parts, and each one outside goes to all of them.
+    keyed = written(beside(keyed, mixed_keys, "key"), "keyed")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    side = lambda c: (F.col("node").alias(c), *(F.col(x).alias(f"{x}{c}") for x in ("n", "before", "l")))
+    apart = keyed.filter("l <> lt").select("key", every, *side("a"))
+    rest = keyed.select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), *side("b"))
+    # Sets share no more than what is left of either from the first member on that they have in common.
+    fits = f"100 * least(na, nb) >= {rule.percent} * greatest(na, nb) and {100 + rule.percent} * least(na - beforea, nb - beforeb) >= {rule.percent} * (na + nb)"
+    return apart.join(rest, ["key", "part"]).filter(f"la <> lb and {fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -268,10 +308,10 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
     nodes = written(members.select("node").distinct(), "candidates")
     pool = written(_sets_of(nodes, docs, rule), "sets")
     odd = written(pool.mapInArrow(_odd, "node long, n long, odd array<long>"), "sketches")
-    differ = " + ".join(f"bit_count(oa[{i}] ^ ob[{i}])" for i in range(_ODD_BITS // 64))
-    near = f"100 * least(na, nb) >= {rule.percent} * greatest(na, nb) and {100 + rule.percent} * ({differ}) <= {100 - rule.percent} * (na + nb)"
+    sized = f"100 * least(na, nb) >= {rule.percent} * greatest(na, nb)"
     marks = lambda c: odd.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
-    sifted = lambda pairs: pairs.distinct().join(marks("a"), "a").join(marks("b"), "b").filter(near).select("a", "b").distinct()
+    marked = lambda pairs: pairs.distinct().join(marks("a"), "a").join(marks("b"), "b").filter(sized).select("a", "na", "oa", "b", "nb", "ob")
+    sifted = lambda pairs: marked(pairs).mapInArrow(partial(_alike, rule=rule), "a long, b long").distinct()
     in_sub = members.filter("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     of_leads = members.filter("lead = node and first <> lead").select(F.col("first").alias("a"), F.col("lead").alias("b"))
     tried = written(sifted(in_sub.unionByName(of_leads)), "pairs")
@@ -303,30 +343,18 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies()) -> DataFrame:
         links = written(links.unionByName(_verified(more, pool, rule)), "links")
         found = written(components(links.unionByName(own)), "components")
 
-    # What is left: unlinked texts that share a band all the same, for a passage they have in common, say. Two sets this
-    # similar share a member among the first few in any one order; with rare shingles first, common passages drop out.
+    # What is left: unlinked texts that share a band all the same, for a passage they have in common, say. Small buckets
+    # have few pairs. In large ones, two sets this similar share a member among the first few in any one order; with rare
+    # shingles first, common passages drop out.
     if not placed.isEmpty():
-        left = placed.select("node", "l").distinct()
-        sets = written(pool.join(left.select("node").distinct(), "node", "left_semi"), "left-sets")
-        total = sets.agg(F.sum(F.size("shingles")).alias("n")).first()["n"]
-        counters = 1 << int(np.clip(int(total - 1).bit_length(), *(x.bit_length() - 1 for x in _RARITY)))
-        seen = sets.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(counters - 1)).alias("slot")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).alias("n"))
-        seen, rarity = seen.filter("n > 1").toArrow(), np.zeros(counters, np.int32)
-        rarity[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
-        keyed = sets.mapInArrow(partial(_prefixes, rule=rule, rarity=rarity), "node long, key long").distinct()
-        keyed = written(keyed.join(left, "node"), "keyed")
-        sizes = keyed.groupBy("key", "l").agg(F.count("*").alias("m")).groupBy("key")
-        mixed_keys = sizes.agg(F.max(F.struct("m", "l")).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("m")).filter("labels > 1")
-        mixed_keys = written(mixed_keys.select("key", F.col("top.l").alias("lt"), F.ceil(F.col("m") / 256).alias("parts"), "m"), "mixed")
-        # Only what is outside a key's largest component meets the others, so a large component costs no pairs of its own;
-        # the others are dealt over the key's parts, and each one outside goes to all of them.
-        keyed = written(beside(keyed, mixed_keys, "key").join(odd, "node"), "keyed")
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
-        apart = keyed.filter("l <> lt").select("key", every, F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"), F.col("l").alias("la"))
-        rest = keyed.select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"), F.col("l").alias("lb"))
-        apart = apart.join(rest, ["key", "part"]).filter(f"la <> lb and {near}")
-        more = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        sizes = written(placed.groupBy("band").agg(F.count("*").alias("m")), "sizes")
+        few = beside(placed, sizes.filter(F.col("m") <= PAIRED), "band").select("band", F.col("node").alias("a"), F.col("l").alias("la"))
+        pairs = few.join(few.select("band", F.col("a").alias("b"), F.col("la").alias("lb")), "band").filter("a < b and la <> lb").select("a", "b")
+        left = written(beside(placed, sizes.filter(F.col("m") > PAIRED), "band").select("node", "l").distinct(), "left")
+        if not left.isEmpty():
+            pairs = pairs.unionByName(_by_prefix(left, pool, rule))
+        pairs = written(pairs.distinct(), "pairs")
+        more = written(sifted(pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
         if not more.isEmpty():
             links = written(links.unionByName(_verified(more, pool, rule)), "links")
             found = written(components(links.unionByName(own)), "components")

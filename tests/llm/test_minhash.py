@@ -92,3 +92,22 @@ def test_test_table_by_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
     assert got == sorted(con.execute(oracles.NEAR_COPIES).fetchall())
+
+
+@pytest.mark.parametrize("paired", [1, 64])
+def test_buckets_of_any_size_by_all_pairs(spark, monkeypatch, paired):
+    monkeypatch.setattr(minhash, "PAIRED", paired)
+    rows = _texts(3)
+    got = minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), RULE).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == by_all_pairs(rows)
+
+
+def test_prefixes_leave_few_pairs(spark):
+    """Sets of 100 with 60 in common are no pairs where those come late in the order; all similar ones are."""
+    r = random.Random(5)
+    common = [r.getrandbits(62) for _ in range(60)]
+    sets = [(i, [*common, *(r.getrandbits(62) for _ in range(40))]) for i in range(80)]
+    sets += [(100 + i, [*s[:95], *(r.getrandbits(62) for _ in range(5))]) for i, s in sets[:20]]
+    pool = spark.createDataFrame(sets, "node long, shingles array<long>")
+    got = {(x["a"], x["b"]) for x in minhash._by_prefix(pool.selectExpr("node", "node as l"), pool, RULE).collect()}
+    assert {(i, 100 + i) for i in range(20)} <= got and len(got) < 60

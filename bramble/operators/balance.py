@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset
-import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from bramble.sources.shared import fresh_path
+from bramble.sources.shared import file_system, fresh_path, written
 
 from .table import running, unused
 
-#: Queries that are held against a task's rows at a time, and rows against which they are held at a time.
-QUERIES, ROWS = 2048, 16_384
+#: Queries that are held against rows at a time, and rows of a cell, against which they are held at a time.
+QUERIES, ROWS = 512, 2048
+#: Cells, and tasks of queries, at most; larger tables have larger ones. Rows of cells that a task keeps at hand.
+CELLS, TASKS, HELD = 4096, 1024, 500_000
 
 
 def _slot(key: str, seed: int, n: int):
@@ -52,51 +54,130 @@ def folds(df: DataFrame, key: str, k: int, name: str = "fold", seed: int = 42) -
     return df.withColumn(name, _slot(key, seed, k))
 
 
-def _near(batches: Iterator[pa.RecordBatch], path: str, k: int) -> Iterator[pa.RecordBatch]:
-    """The k nearest of a task's rows (key, coordinates) for every query, block by block."""
-    keys, points = [], []
-    for b in batches:
-        keys.append(np.asarray(b.column(0)))
-        points.append(np.column_stack([np.asarray(c) for c in b.columns[1:]]))
-    if not keys:
-        return
-    keys, points = np.concatenate(keys), np.concatenate(points)
-    fs, root = pa.fs.FileSystem.from_uri(path)
-    for block in pa.dataset.dataset(root, filesystem=fs, format="parquet").to_batches(batch_size=QUERIES):
-        if not len(block):
+def _borders(points: np.ndarray, cells: int) -> list[tuple[int, float, int, int]]:
+    """A tree that splits space at medians of points: (column, value, node below value, node from it on); leaves have column -1."""
+    tree = [(-1, 0.0, 0, 0)]
+    todo = [(0, points, cells)]
+    while todo:
+        node, own, n = todo.pop()
+        wide = np.ptp(own, axis=0) if len(own) else np.zeros(1)
+        if n < 2 or not wide.max() > 0:
             continue
-        own, at = np.asarray(block.column(0)), np.column_stack([np.asarray(c) for c in block.columns[1:]])
-        best_d, best_key = np.full((len(own), 0), np.inf), np.zeros((len(own), 0), keys.dtype)
-        for i in range(0, len(keys), ROWS):
-            some, far = keys[i : i + ROWS], 0.0
-            for c in range(points.shape[1]):
-                step = at[:, c, None] - points[None, i : i + ROWS, c]
-                far = far + step * step
-            far = np.where(own[:, None] == some[None, :], np.inf, far)
-            far, names = np.concatenate((best_d, far), 1), np.concatenate((best_key, np.broadcast_to(some, (len(own), len(some)))), 1)
-            if far.shape[1] > k:  # all up to the k-th distance, so that equal ones are told apart by their keys
+        c = int(wide.argmax())
+        x = np.sort(own[:, c])
+        at = x[len(x) // 2] if x[len(x) // 2] > x[0] else x[np.searchsorted(x, x[0], "right")]
+        tree[node] = (c, float(at), len(tree), len(tree) + 1)
+        todo += [(len(tree), own[own[:, c] < at], n // 2), (len(tree) + 1, own[own[:, c] >= at], n - n // 2)]
+        tree += [(-1, 0.0, 0, 0)] * 2
+    return tree
+
+
+def _points(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    return np.column_stack([np.asarray(c) for c in batch.columns[first:]])
+
+
+def _in_cells(batches: Iterator[pa.RecordBatch], tree: list) -> Iterator[pa.RecordBatch]:
+    """Rows (key, coordinates) with their cells before them."""
+    column, value, low, high = (np.array(x) for x in zip(*tree, strict=True))
+    for b in batches:
+        at, node = _points(b, 1), np.zeros(len(b), np.int64)
+        while (inner := np.flatnonzero(column[node] >= 0)).size:
+            own = node[inner]
+            node[inner] = np.where(at[inner, column[own]] < value[own], low[own], high[own])
+        yield pa.RecordBatch.from_arrays([pa.array(node), *b.columns], ["cell", *b.schema.names])
+
+
+def _near(batches: Iterator[pa.RecordBatch], path: str, cells: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest rows of every query (cell, key, coordinates): of the nearest cell, then of all cells whose box isn't
+    farther than what was found."""
+    fs, root = file_system(path)
+    held: dict[int, tuple] = {}
+
+    def rows_of(c: int) -> tuple[np.ndarray, np.ndarray]:
+        if c not in held:
+            while held and sum(len(x) for x, _ in held.values()) > HELD:
+                held.pop(next(iter(held)))
+            t = pa.dataset.dataset(f"{root}/cell={cells[c]}", filesystem=fs, format="parquet").to_table()
+            held[c] = t.column(0).combine_chunks().to_numpy(zero_copy_only=False), _points(t, 1)
+        return held[c]
+
+    def of_block(own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bound = 0.0
+        for j in range(at.shape[1]):  # rounded as the distances are, so no box is farther than its rows
+            step = at[:, j, None] - np.clip(at[:, j, None], low[:, j], high[:, j])
+            bound = bound + step * step
+        d, names = np.full((len(own), k), np.inf), None
+
+        def hold(q: np.ndarray, c: int) -> None:
+            nonlocal names
+            keys, points = rows_of(c)
+            if names is None:
+                names = np.full((len(own), k), keys[0], keys.dtype)
+            for i in range(0, len(keys), ROWS):
+                some, far = keys[i : i + ROWS], 0.0
+                for j in range(points.shape[1]):
+                    step = at[q, j, None] - points[None, i : i + ROWS, j]
+                    far = far + step * step
+                far = np.where(own[q, None] == some[None, :], np.inf, far)
+                far, others = np.concatenate((d[q], far), 1), np.concatenate((names[q], np.broadcast_to(some, (len(q), len(some)))), 1)
+                # All up to the k-th distance, so that equal ones are told apart by their keys.
                 last = np.partition(far, k - 1, axis=1)[:, k - 1]
                 width = int((far <= last[:, None]).sum(1).max())
-                order = np.argsort(far, axis=1, kind="stable")[:, :width]
-                far, names = np.take_along_axis(far, order, 1), np.take_along_axis(names, order, 1)
-            order = np.lexsort((names, far), axis=1)[:, :k]
-            best_d, best_key = np.take_along_axis(far, order, 1), np.take_along_axis(names, order, 1)
-        q, j = np.nonzero(np.isfinite(best_d))
-        yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(best_key[q, j]), pa.array(best_d[q, j])], ["key", "other", "d"])
+                if width < far.shape[1]:
+                    order = np.argpartition(far, width - 1, axis=1)[:, :width]
+                    far, others = np.take_along_axis(far, order, 1), np.take_along_axis(others, order, 1)
+                order = np.lexsort((others, far), axis=1)[:, :k]
+                d[q], names[q] = np.take_along_axis(far, order, 1), np.take_along_axis(others, order, 1)
+
+        first = bound.argmin(1)
+        for c in np.unique(first):
+            hold(np.flatnonzero(first == c), c)
+        closest = bound.min(0)
+        for c in np.argsort(closest, kind="stable"):
+            if closest[c] > d[:, -1].max():
+                break
+            q = np.flatnonzero((bound[:, c] <= d[:, -1]) & (first != c))
+            if q.size:
+                hold(q, c)
+        return d, names
+
+    for b in batches:
+        keys, points = b.column(1).to_numpy(zero_copy_only=False), _points(b, 2)
+        for i in range(0, len(keys), QUERIES):
+            own = keys[i : i + QUERIES]
+            d, names = of_block(own, points[i : i + QUERIES])
+            q, j = np.nonzero(np.isfinite(d))
+            kind = b.column(1).type
+            yield pa.RecordBatch.from_arrays([pa.array(own[q], kind), pa.array(names[q, j], kind), pa.array(d[q, j])], ["key", "other", "d"])
 
 
 def nearest(queries: DataFrame, rows: DataFrame, key: str, columns: Sequence[str], k: int) -> DataFrame:
     """(key, other, d, rank): the k nearest other rows by squared distance, equal ones by their keys, for a stated query
-    set against all rows. Rows without a key or a coordinate are left out.
+    set against all rows. Rows without a key or a finite coordinate are left out.
 
-    The queries are written; every task holds its rows against them, block by block, and passes k a query on.
+    Of the rows in one place only those of the k + 1 first keys can be among the nearest, and only they are kept. They are
+    written by cells of space; every task reads those cells that can hold nearest rows of its queries. A few rows set the
+    cells' borders, all rows are in cells.
     """
-    whole = lambda df: df.select(F.col(key), *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
-    path = fresh_path(queries.sparkSession, "queries")
-    asked = whole(queries)
-    asked.write.parquet(path)
-    kind = asked.schema[key].dataType.simpleString()
-    pairs = whole(rows).mapInArrow(lambda batches: _near(batches, path, k), f"key {kind}, other {kind}, d double")
+    spark, names = queries.sparkSession, [f"x{i}" for i in range(len(columns))]
+    finite = " and ".join(f"abs({x}) < double('infinity')" for x in names)
+    whole = lambda df: df.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(x) for c, x in zip(columns, names, strict=True))).dropna().filter(finite)
+    place = F.dense_rank().over(Window.partitionBy(*names).orderBy("key"))
+    index, asked = written(whole(rows).withColumn("place", place).filter(F.col("place") <= k + 1).drop("place"), "rows"), written(whole(queries), "queries")
+    kind = asked.schema["key"].dataType.simpleString()
+    n, tasks = index.count(), min(TASKS, asked.count() // (4 * QUERIES) + 1)
+    if not n:
+        return spark.createDataFrame([], f"`{key}` {kind}, other {kind}, d double, rank int")
+    cells = min(CELLS, n // ROWS + 1)
+    some = index.filter(F.pmod(F.xxhash64("key"), F.lit(n)) < 16 * cells).select(*names).limit(64 * cells).toArrow()  # 16 a cell
+    run, schema = partial(_in_cells, tree=_borders(_points(some, 0), cells)), f"cell long, key {kind}, {', '.join(f'{x} double' for x in names)}"
+    path = fresh_path(spark, "cells")
+    index.mapInArrow(run, schema).repartition("cell").write.partitionBy("cell").parquet(path)
+    boxes = spark.read.parquet(path).groupBy(F.col("cell").cast("long").alias("cell")).agg(*(F.min(x).alias(f"low_{x}") for x in names), *(F.max(x).alias(f"high_{x}") for x in names))
+    boxes = _points(boxes.toArrow(), 0)  # CELLS rows at most
+    low, high = boxes[:, 1 : 1 + len(names)], boxes[:, 1 + len(names) :]
+    asked = asked.mapInArrow(run, schema).repartitionByRange(tasks, "cell", "key").sortWithinPartitions("cell")
+    pairs = asked.mapInArrow(partial(_near, path=path, cells=boxes[:, 0].astype(np.int64), low=low, high=high, k=k), f"key {kind}, other {kind}, d double")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("d", "other"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("key").alias(key), "other", "d", "rank")
 

@@ -145,6 +145,26 @@ def test_nearest_rows_by_loops(spark, monkeypatch, kind):
         assert [(x[2], x[1]) for x in sorted(got[name(i)])] == wanted
 
 
+def test_nearest_rows_look_at_few_cells(spark, monkeypatch):
+    """Twenty thousand rows, a tenth of them in one place, held against few rows a query; the same rows as by loops."""
+    monkeypatch.setattr(balance, "ROWS", 100)
+    r = np.random.default_rng(5)
+    points = np.concatenate((r.normal(size=(18_000, 3)), np.zeros((2000, 3))))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "k long, x double, y double, z double").repartition(4, "k")
+    some = [*range(0, 18_000, 300), 18_001, 18_500]
+    got = {}
+    for x in balance.nearest(df.filter(F.col("k").isin(some)), df, "k", ["x", "y", "z"], 4).collect():
+        got.setdefault(x["k"], []).append((x["d"], x["other"]))
+    for i in some:
+        d = sum((points[:, c] - points[i, c]) ** 2 for c in range(3))
+        assert sorted(got[i]) == [(d[j], j) for j in np.lexsort((np.arange(len(d)), d)) if j != i][:4]
+    tree = balance._borders(points, 200)
+    assert sum(c < 0 for c, *_ in tree) > 100
+    batch = balance.pa.RecordBatch.from_arrays([balance.pa.array(np.arange(len(points))), *(balance.pa.array(c) for c in points.T)], ["key", "x", "y", "z"])
+    cells = np.asarray(next(balance._in_cells([batch], tree)).column(0))
+    assert np.bincount(cells[:18_000]).max() < 400
+
+
 @pytest.mark.parametrize("kind", ["int", "long", "string"])
 def test_new_keys_are_of_the_keys_type(spark, kind):
     name = str if kind == "string" else int

@@ -165,6 +165,17 @@ def test_nearest_rows_look_at_few_cells(spark, monkeypatch):
     assert np.bincount(cells[:18_000]).max() < 400
 
 
+def test_made_rows_hold_few_rows_of_a_place(spark, monkeypatch):
+    """Both searches of the oversampling keep k + 1 rows of a place, and make as many rows as there are to make."""
+    kept, write = [], balance.written
+    monkeypatch.setattr(balance, "written", lambda df, name: (t := write(df, name), kept.append((name, t.count())))[0])
+    rows = [(i, float(i % 4), 0.0, 2 if i % 4 == 1 and i % 200 < 20 else 1) for i in range(4000)]
+    df = spark.createDataFrame(rows, "i long, a double, b double, label int")
+    got = balance.borderline(df, "i", ["a", "b"], "label", 2, 30, m=400).collect()
+    assert [n for name, n in kept if name == "rows"] == [4 * 401, 6]
+    assert len([r for r in got if r["i"] < 0]) == 30 and kept
+
+
 @pytest.mark.parametrize("kind", ["int", "long", "string"])
 def test_new_keys_are_of_the_keys_type(spark, kind):
     name = str if kind == "string" else int

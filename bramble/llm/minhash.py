@@ -166,23 +166,64 @@ def beside(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> Dat
 _RARITY = 1 << 18, 1 << 20
 
 
+#: Bits of the small parity sketch that goes with the first members of a set, so that most pairs end where they meet; its
+#: words' columns.
+_FEW_BITS = 512
+_FEW = [f"o{k}" for k in range(_FEW_BITS // 64)]
+#: Counters that travel together.
+_SLICE = 1 << 12
+
+
+@tidy
+def _counted(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
+    """How often a task's members fall to each counter: a row for each slice of counters, those that are 0 left out."""
+    seen = np.zeros(counters, np.int64)
+    for batch in batches:
+        lists = batch.column("shingles")
+        np.add.at(seen, np.asarray(lists.flatten()) & (counters - 1), 1)
+    at = np.flatnonzero(seen)
+    slices, begin = np.unique(at // _SLICE, return_index=True)
+    parts = np.split(at, begin[1:]) if len(at) else []
+    slots = [(x % _SLICE).astype(np.uint16).tobytes() for x in parts]
+    counts = [np.minimum(seen[x], 2**31 - 1).astype(np.int32).tobytes() for x in parts]
+    yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(slots, pa.binary()), pa.array(counts, pa.binary())], ["slice", "slots", "counts"])
+
+
+def _summed(key: tuple, table: pa.Table) -> pa.Table:
+    total = np.zeros(_SLICE, np.int64)
+    for slots, counts in zip(table.column("slots"), table.column("counts"), strict=True):
+        total[np.frombuffer(slots.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.int32)
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+
+
+def _rarities(sets: DataFrame, counters: int) -> np.ndarray:
+    """How many of all sets' members fall to each counter. Tasks count their own, so what travels are their counters."""
+    sent = sets.select("shingles").mapInArrow(partial(_counted, counters=counters), "slice int, slots binary, counts binary")
+    rarity = np.zeros(counters, np.int32)
+    for row in sent.groupBy("slice").applyInArrow(_summed, "slice int, counts binary").toArrow().to_pylist():
+        rarity[row["slice"] * _SLICE : (row["slice"] + 1) * _SLICE] = np.frombuffer(row["counts"], np.int32)
+    return rarity
+
+
 @tidy
 def _prefixes(batches: Iterator[pa.RecordBatch], rule: NearCopies, rarity: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The first members of each set, rarest first, of which two sets this similar share one at least, the size of the set
-    and how many of its members come before."""
+    """The first members of each set, rarest first, of which two sets this similar share one at least, the size of the set,
+    how many of its members come before, and the words of a parity sketch of it."""
     for batch in batches:
         lists = batch.column("shingles")
         values, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
-        keys, sizes = [], []
-        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        keys, sizes, bits = [], [], np.zeros((len(batch), _FEW_BITS), np.uint8)
+        for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
             own = values[a:b]
             n = len(own)
+            bits[k] = np.bincount((mixed(own.view(np.uint64)) % np.uint64(_FEW_BITS)).astype(np.int64), minlength=_FEW_BITS) & 1
             order = np.lexsort((own, rarity[own & (len(rarity) - 1)]))
             keys.append(own[order[: n - -(-n * rule.percent // 100) + 1]])
             sizes.append(len(keys[-1]))
         nodes, totals = np.repeat(np.asarray(batch.column("node")), sizes), np.repeat(np.diff(offsets), sizes).astype(np.int64)
         before = np.concatenate([np.arange(n, dtype=np.int64) for n in sizes] or [np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(totals), pa.array(before)], ["node", "key", "n", "before"])
+        odd = [pa.array(np.repeat(x, sizes)) for x in np.ascontiguousarray(np.packbits(bits, axis=1).view(np.int64).T)]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(totals), pa.array(before), *odd], ["node", "key", "n", "before", *_FEW])
 
 
 #: Bits of a parity sketch: every member turns one bit over, so two sketches differ in no more bits than their sets
@@ -262,10 +303,8 @@ def _by_prefix(left: DataFrame, pool: DataFrame, rule: NearCopies) -> DataFrame:
     sets = written(pool.join(left.select("node"), "node", "left_semi"), "left-sets")
     total = sets.agg(F.sum(F.size("shingles")).alias("n")).first()["n"]
     counters = 1 << int(np.clip(int(total - 1).bit_length(), *(x.bit_length() - 1 for x in _RARITY)))
-    seen = sets.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(counters - 1)).alias("slot")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).alias("n"))
-    seen, rarity = seen.filter("n > 1").toArrow(), np.zeros(counters, np.int32)
-    rarity[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
-    keyed = sets.mapInArrow(partial(_prefixes, rule=rule, rarity=rarity), "node long, key long, n long, before long").distinct()
+    rarity = _rarities(sets, counters)
+    keyed = sets.mapInArrow(partial(_prefixes, rule=rule, rarity=rarity), "node long, key long, n long, before long, " + ", ".join(f"{x} long" for x in _FEW)).distinct()
     keyed = written(keyed.join(left, "node"), "keyed")
     sizes = keyed.groupBy("key", "l").agg(F.count("*").alias("m")).groupBy("key")
     mixed_keys = sizes.agg(F.max(F.struct("m", "l")).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("m")).filter("labels > 1")
@@ -274,11 +313,13 @@ def _by_prefix(left: DataFrame, pool: DataFrame, rule: NearCopies) -> DataFrame:
     # the others are dealt over the key's parts, and each one outside goes to all of them.
     keyed = written(beside(keyed, mixed_keys, "key"), "keyed")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
-    side = lambda c: (F.col("node").alias(c), *(F.col(x).alias(f"{x}{c}") for x in ("n", "before", "l")))
+    side = lambda c: (F.col("node").alias(c), *(F.col(x).alias(f"{x}{c}") for x in ("n", "before", "l", *_FEW)))
     apart = keyed.filter("l <> lt").select("key", every, *side("a"))
     rest = keyed.select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), *side("b"))
     # Sets share no more than what is left of either from the first member on that they have in common.
     fits = f"100 * least(na, nb) >= {rule.percent} * greatest(na, nb) and {100 + rule.percent} * least(na - beforea, nb - beforeb) >= {rule.percent} * (na + nb)"
+    # And their sketches differ in no more bits than the sets may in members.
+    fits += f" and {100 + rule.percent} * ({' + '.join(f'bit_count({x}a ^ {x}b)' for x in _FEW)}) <= {100 - rule.percent} * (na + nb)"
     return apart.join(rest, ["key", "part"]).filter(f"la <> lb and {fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

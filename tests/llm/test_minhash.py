@@ -111,3 +111,25 @@ def test_prefixes_leave_few_pairs(spark):
     pool = spark.createDataFrame(sets, "node long, shingles array<long>")
     got = {(x["a"], x["b"]) for x in minhash._by_prefix(pool.selectExpr("node", "node as l"), pool, RULE).collect()}
     assert {(i, 100 + i) for i in range(20)} <= got and len(got) < 60
+
+
+def test_shingles_of_what_is_left_are_counted_without_a_row_each(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PAIRED", 4)  # so that the last join goes by shingles
+    ran = lambda: (x := spark._jsparkSession.sharedState().statusStore().executionsList()) and {x.apply(k).executionId(): x.apply(k).physicalPlanDescription() for k in range(x.size())}
+    before, rows = max(ran(), default=-1), _texts(3)
+    got = minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), RULE).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == by_all_pairs(rows)
+    plans = [p for k, p in ran().items() if k > before]
+    assert any("before#" in p for p in plans) and not any("explode(shingles" in p for p in plans)
+
+
+def test_counters_by_slices_are_those_of_all_members(spark):
+    r = random.Random(5)
+    sets = [[r.randrange(-(2**63), 2**63) for _ in range(r.randint(0, 300))] for _ in range(200)] + [[7, 1 << 13, 7 - (1 << 20)]] * 50
+    want = [0] * (1 << 14)
+    for s in sets:
+        for x in s:
+            want[x % (1 << 14)] += 1
+    df = spark.createDataFrame([(s,) for s in sets], "shingles array<long>")
+    assert minhash._rarities(df.repartition(7), 1 << 14).tolist() == want
+    assert not minhash._rarities(df.limit(0), 1 << 14).any()

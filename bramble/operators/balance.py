@@ -8,7 +8,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -89,45 +89,46 @@ def _in_cells(batches: Iterator[pa.RecordBatch], tree: list) -> Iterator[pa.Reco
 
 def _near(batches: Iterator[pa.RecordBatch], path: str, cells: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     """The k nearest rows of every query (cell, key, coordinates): of the nearest cell, then of all cells whose box isn't
-    farther than what was found."""
+    farther than what was found. Queries in one place are one search, for one row more, as each leaves out itself."""
     fs, root = file_system(path)
     held: dict[int, tuple] = {}
 
-    def rows_of(c: int) -> tuple[np.ndarray, np.ndarray]:
+    def rows_of(c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if c not in held:
-            while held and sum(len(x) for x, _ in held.values()) > HELD:
+            while held and sum(len(x[0]) for x in held.values()) > HELD:
                 held.pop(next(iter(held)))
             t = pa.dataset.dataset(f"{root}/cell={cells[c]}", filesystem=fs, format="parquet").to_table()
-            held[c] = t.column(0).combine_chunks().to_numpy(zero_copy_only=False), _points(t, 1)
+            own = _points(t, 1)
+            held[c] = t.column(0).combine_chunks().to_numpy(zero_copy_only=False), own, own[:, low.shape[1]] if own.shape[1] > low.shape[1] else np.zeros(len(own))
         return held[c]
 
-    def of_block(own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of_block(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bound = 0.0
         for j in range(at.shape[1]):  # rounded as the distances are, so no box is farther than its rows
             step = at[:, j, None] - np.clip(at[:, j, None], low[:, j], high[:, j])
             bound = bound + step * step
-        d, names = np.full((len(own), k), np.inf), None
+        d, names, marks = np.full((len(at), width), np.inf), None, np.zeros((len(at), width))
 
         def hold(q: np.ndarray, c: int) -> None:
             nonlocal names
-            keys, points = rows_of(c)
+            keys, points, marked = rows_of(c)
             if names is None:
-                names = np.full((len(own), k), keys[0], keys.dtype)
+                names = np.full((len(at), width), keys[0], keys.dtype)
             for i in range(0, len(keys), ROWS):
                 some, far = keys[i : i + ROWS], 0.0
-                for j in range(points.shape[1]):
+                for j in range(at.shape[1]):
                     step = at[q, j, None] - points[None, i : i + ROWS, j]
                     far = far + step * step
-                far = np.where(own[q, None] == some[None, :], np.inf, far)
                 far, others = np.concatenate((d[q], far), 1), np.concatenate((names[q], np.broadcast_to(some, (len(q), len(some)))), 1)
-                # All up to the k-th distance, so that equal ones are told apart by their keys.
-                last = np.partition(far, k - 1, axis=1)[:, k - 1]
-                width = int((far <= last[:, None]).sum(1).max())
-                if width < far.shape[1]:
-                    order = np.argpartition(far, width - 1, axis=1)[:, :width]
-                    far, others = np.take_along_axis(far, order, 1), np.take_along_axis(others, order, 1)
-                order = np.lexsort((others, far), axis=1)[:, :k]
-                d[q], names[q] = np.take_along_axis(far, order, 1), np.take_along_axis(others, order, 1)
+                theirs = np.concatenate((marks[q], np.broadcast_to(marked[i : i + ROWS], (len(q), len(some)))), 1)
+                # All up to the last distance, so that equal ones are told apart by their keys.
+                last = np.partition(far, width - 1, axis=1)[:, width - 1]
+                upto = int((far <= last[:, None]).sum(1).max())
+                if upto < far.shape[1]:
+                    order = np.argpartition(far, upto - 1, axis=1)[:, :upto]
+                    far, others, theirs = (np.take_along_axis(x, order, 1) for x in (far, others, theirs))
+                order = np.lexsort((others, far), axis=1)[:, :width]
+                d[q], names[q], marks[q] = (np.take_along_axis(x, order, 1) for x in (far, others, theirs))
 
         first = bound.argmin(1)
         for c in np.unique(first):
@@ -139,21 +140,32 @@ def _near(batches: Iterator[pa.RecordBatch], path: str, cells: np.ndarray, low:
             q = np.flatnonzero((bound[:, c] <= d[:, -1]) & (first != c))
             if q.size:
                 hold(q, c)
-        return d, names
+        return d, names, marks
 
     for b in batches:
         keys, points = b.column(1).to_numpy(zero_copy_only=False), _points(b, 2)
+        _, at, which = np.unique(points, axis=0, return_index=True, return_inverse=True)
+        order = np.argsort(at)  # places as they come, those of a cell side by side
+        which = np.argsort(order)[which.ravel()]
+        found = [of_block(points[at[order[i : i + QUERIES]]], k + 1) for i in range(0, len(order), QUERIES)]
+        d, names, marks = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (None, None, None)
         for i in range(0, len(keys), QUERIES):
-            own = keys[i : i + QUERIES]
-            d, names = of_block(own, points[i : i + QUERIES])
-            q, j = np.nonzero(np.isfinite(d))
+            own, at = keys[i : i + QUERIES], which[i : i + QUERIES]
+            near, others, theirs, width = d[at], names[at], marks[at], k + 1
+            while True:
+                other = np.isfinite(near) & (others != own[:, None])
+                if not (np.isfinite(near).all(1) & (other.sum(1) < k)).any():
+                    break
+                width *= 2  # a key that rows share takes more of the places than one
+                near, others, theirs = of_block(points[i : i + QUERIES], width)
+            q, j = np.nonzero(other & (np.cumsum(other, axis=1) <= k))
             kind = b.column(1).type
-            yield pa.RecordBatch.from_arrays([pa.array(own[q], kind), pa.array(names[q, j], kind), pa.array(d[q, j])], ["key", "other", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[q], kind), pa.array(others[q, j], kind), pa.array(near[q, j]), pa.array(theirs[q, j])], ["key", "other", "d", "mark"])
 
 
-def nearest(queries: DataFrame, rows: DataFrame, key: str, columns: Sequence[str], k: int) -> DataFrame:
-    """(key, other, d, rank): the k nearest other rows by squared distance, equal ones by their keys, for a stated query
-    set against all rows. Rows without a key or a finite coordinate are left out.
+def nearest(queries: DataFrame, rows: DataFrame, key: str, columns: Sequence[str], k: int, mark: Column | None = None) -> DataFrame:
+    """(key, other, d, rank, mark): the k nearest other rows by squared distance, equal ones by their keys, for a stated query
+    set against all rows; mark: a number of each of these, 0 if none is asked for. Rows without a key or a finite coordinate are left out.
 
     Of the rows in one place only those of the k + 1 first keys can be among the nearest, and only they are kept. They are
     written by cells of space; every task reads those cells that can hold nearest rows of its queries. A few rows set the
@@ -161,32 +173,33 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, columns: Sequence[str
     """
     spark, names = queries.sparkSession, [f"x{i}" for i in range(len(columns))]
     finite = " and ".join(f"abs({x}) < double('infinity')" for x in names)
-    whole = lambda df: df.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(x) for c, x in zip(columns, names, strict=True))).dropna().filter(finite)
+    whole = lambda df, *more: df.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(x) for c, x in zip(columns, names, strict=True)), *more).dropna().filter(finite)
     place = F.dense_rank().over(Window.partitionBy(*names).orderBy("key"))
-    index, asked = written(whole(rows).withColumn("place", place).filter(F.col("place") <= k + 1).drop("place"), "rows"), written(whole(queries), "queries")
-    kind = asked.schema["key"].dataType.simpleString()
-    n, tasks = index.count(), min(TASKS, asked.count() // (4 * QUERIES) + 1)
+    asked = written(whole(queries), "queries")
+    kind, m = asked.schema["key"].dataType.simpleString(), asked.count()
+    index = written(whole(rows, (F.lit(0.0) if mark is None else mark.cast("double")).alias("mark")).withColumn("place", place).filter(F.col("place") <= k + 1).drop("place"), "rows") if m else asked
+    n, tasks = index.count(), min(TASKS, m // (4 * QUERIES) + 1)
     if not n:
-        return spark.createDataFrame([], f"`{key}` {kind}, other {kind}, d double, rank int")
+        return spark.createDataFrame([], f"`{key}` {kind}, other {kind}, d double, rank int, mark double")
     cells = min(CELLS, n // ROWS + 1)
     some = index.filter(F.pmod(F.xxhash64("key"), F.lit(n)) < 16 * cells).select(*names).limit(64 * cells).toArrow()  # 16 a cell
     run, schema = partial(_in_cells, tree=_borders(_points(some, 0), cells)), f"cell long, key {kind}, {', '.join(f'{x} double' for x in names)}"
     path = fresh_path(spark, "cells")
-    index.mapInArrow(run, schema).repartition("cell").write.partitionBy("cell").parquet(path)
+    index.mapInArrow(run, f"{schema}, mark double").repartition("cell").write.partitionBy("cell").parquet(path)
     boxes = spark.read.parquet(path).groupBy(F.col("cell").cast("long").alias("cell")).agg(*(F.min(x).alias(f"low_{x}") for x in names), *(F.max(x).alias(f"high_{x}") for x in names))
     boxes = _points(boxes.toArrow(), 0)  # CELLS rows at most
     low, high = boxes[:, 1 : 1 + len(names)], boxes[:, 1 + len(names) :]
-    asked = asked.mapInArrow(run, schema).repartitionByRange(tasks, "cell", "key").sortWithinPartitions("cell")
-    pairs = asked.mapInArrow(partial(_near, path=path, cells=boxes[:, 0].astype(np.int64), low=low, high=high, k=k), f"key {kind}, other {kind}, d double")
+    asked = asked.mapInArrow(run, schema).repartitionByRange(tasks, "cell", *names, "key").sortWithinPartitions("cell", *names)
+    pairs = asked.mapInArrow(partial(_near, path=path, cells=boxes[:, 0].astype(np.int64), low=low, high=high, k=k), f"key {kind}, other {kind}, d double, mark double")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("d", "other"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("key").alias(key), "other", "d", "rank")
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("key").alias(key), "other", "d", "rank", "mark")
 
 
 def danger(df: DataFrame, key: str, columns: Sequence[str], label: str, minority: int, m: int = 10) -> DataFrame:
     """Minority rows at the border: half or more, but not all, of their m nearest rows are of other classes."""
     own = df.filter(F.col(label) == minority)
-    near = nearest(own, df, key, columns, m).join(df.select(F.col(key).alias("other"), F.col(label).alias("_l")), "other")
-    n = near.groupBy(key).agg(F.sum(F.when(F.col("_l") != minority, 1).otherwise(0)).alias("foreign_rows"))
+    near = nearest(own, df, key, columns, m, F.when(F.col(label) != minority, 1).otherwise(0))
+    n = near.groupBy(key).agg(F.sum("mark").cast("long").alias("foreign_rows"))
     return n.filter((F.col("foreign_rows") >= m / 2) & (F.col("foreign_rows") < m))
 
 
@@ -203,7 +216,7 @@ def borderline(df: DataFrame, key: str, columns: Sequence[str], label: str, mino
         return df
     own = df.filter(F.col(label) == minority)
     border = own.join(danger(df, key, columns, label, minority, m).select(key), key, "left_semi")
-    pairs = nearest(border, own, key, columns, k).withColumn("_h", F.xxhash64(key, "other", F.lit(seed))).persist()
+    pairs = nearest(border, own, key, columns, k).drop("mark").withColumn("_h", F.xxhash64(key, "other", F.lit(seed))).persist()
     n = pairs.count()
     if not n:
         return df

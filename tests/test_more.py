@@ -345,3 +345,31 @@ def test_wrapper_asks_no_forest_of_rows_where_cells_are_few(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(selection, "FOREST_CELLS", 0)
     assert selection.forward_wrapper(df, ["told"], ["other"], "label", folds=2, trees=3) == ["told", "other"]
+
+
+def test_nearest_rows_of_a_place_are_one_search(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [(k, float(k % 4), 0.0) for k in range(40)] + [(0, 0.0, 0.0)] * 9  # and a key that many rows have
+    (tmp_path / "cell=0").mkdir()
+    pq.write_table(pa.table({"key": [r[0] for r in rows], "x0": [r[1] for r in rows], "x1": [r[2] for r in rows]}), tmp_path / "cell=0/a.parquet")
+    calls, sort = [], np.lexsort
+    monkeypatch.setattr(balance, "QUERIES", 1)
+    monkeypatch.setattr(np, "lexsort", lambda *a, **b: calls.append(1) or sort(*a, **b))
+
+    def near(keys: list) -> dict:
+        batch = pa.record_batch({"cell": [0] * len(keys), "key": keys, "x0": [float(k % 4) for k in keys], "x1": [0.0] * len(keys)})
+        got: dict[int, list] = {}
+        for b in balance._near(iter([batch]), f"file://{tmp_path}", np.array([0]), np.zeros((1, 2)), np.array([[3.0, 0.0]]), 5):
+            for r in b.to_pylist():
+                got.setdefault(r["key"], []).append((r["d"], r["other"]))
+        return got
+
+    def by_loops(keys: list) -> dict:
+        return {k: sorted(((k % 4 - x) ** 2, o) for o, x, _ in rows if o != k)[:5] for k in keys}
+
+    many = [k for k in range(1, 40) if k % 4 < 2 and k] * 3
+    assert {k: v[:5] for k, v in near(many).items()} == by_loops(many)
+    assert len(calls) == 2  # two places
+    assert near([0]) == by_loops([0])

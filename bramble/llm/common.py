@@ -75,13 +75,16 @@ def rows_kept(docs: DataFrame, keep) -> DataFrame:
 
 def tidy(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """A task's work that gives memory that it freed back to the machine at its end: a worker waits for its next task
-    beside others that run, and holds all that it ever held otherwise."""
+    beside others that run, and holds all that it ever held otherwise. Tokenizers go with the first task that asks for none."""
 
     @functools.wraps(work)
     def run(*args, **more):
+        _ASKED.clear()
         try:
             yield from work(*args, **more)
         finally:
+            if not _ASKED:
+                _ENCODERS.clear()
             Rolling._powers.clear()  # made again in milliseconds
             pa.default_memory_pool().release_unused()
             with suppress(OSError, AttributeError):  # where the C library has it
@@ -454,11 +457,14 @@ def _text(data: np.ndarray, start: int, end: int) -> str:
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
+#: The encoders that this worker's task has asked for.
+_ASKED: set[tuple[str, bool]] = set()
 
 
 def encoder(path: str, marks_as_text: bool = False) -> PieceEncoder:
     """This worker's encoder of a tokenizer file; it keeps its pieces from task to task, but only one file's."""
     key = path, marks_as_text
+    _ASKED.add(key)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = PieceEncoder(path, marks_as_text)

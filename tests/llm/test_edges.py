@@ -149,3 +149,14 @@ def test_reduction_keeps_the_optimum(seed):
     rest = tuple(sorted((s for s, n in enumerate(left) for _ in range(n)), reverse=True))
     assert sum(n for _, n in fixed) + best(rest) == best(tuple(sorted(items, reverse=True)))
     assert sum(n for _, n in packing.solved(counts, capacity)) >= -(-sum(items) // capacity)
+
+
+def test_tokenizers_go_with_tasks_that_use_none():
+    from bramble.llm import common
+
+    path = common.tokenizer_path("byte_bpe_50k.json")
+    encodes, plain = common.tidy(lambda: iter([common.encoder(path)])), common.tidy(lambda: iter([1]))
+    (first,), (again,) = list(encodes()), list(encodes())
+    assert first is again  # pieces stay for the next task of the kind
+    assert list(plain()) == [1] and not common._ENCODERS
+    common._ASKED.clear()

@@ -85,14 +85,31 @@ def tidy(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
         finally:
             if not _ASKED:
                 _ENCODERS.clear()
-            Rolling._powers.clear()  # made again in milliseconds
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):  # where the C library has it
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            _give_back()
 
     return run
 
 
+def tidy_group(work: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The same for a function of one group, after each of them."""
+
+    @functools.wraps(work)
+    def run(*args, **more):
+        try:
+            return work(*args, **more)
+        finally:
+            _give_back()
+
+    return run
+
+
+def _give_back() -> None:
+    Rolling._powers.clear()  # made again in milliseconds
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def total_chars(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.length(column)).alias("n")).first()["n"] or 0
 
@@ -103,14 +120,29 @@ def ways(total: float, each: float, least: int = 4) -> int:
 
 
 def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, byte offsets of the rows) of a string column without nulls, zero-copy."""
-    for first, end, data, offsets in _blocks(column, size):
-        yield first, end, data, offsets
+    """(first row, end row, bytes, byte offsets of the rows) of a string column without nulls, zero-copy but for small
+    pieces of a chunked column, which are joined up to the size of a block; the same ones for the same column."""
+    before = 0
+    for part in _parts(column, size):
+        for first, end, data, offsets in _blocks(part, size):
+            yield before + first, before + end, data, offsets
+        before += len(part)
+
+
+def _parts(column: pa.Array | pa.ChunkedArray, size: int) -> Iterator[pa.Array]:
+    if not isinstance(column, pa.ChunkedArray):
+        yield column
+        return
+    held, n = [], 0
+    for k, piece in enumerate(column.chunks, 1):
+        held.append(piece)
+        n += piece.nbytes
+        if n >= size or k == column.num_chunks:
+            yield held[0] if len(held) == 1 else pa.concat_arrays(held)
+            held, n = [], 0
 
 
 def _blocks(column, size):
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
     column = column.cast(pa.large_string())
     n = len(column)
     if not n:
@@ -128,13 +160,18 @@ def _blocks(column, size):
 
 @tidy
 def by_chunk(batches: Iterator[pa.RecordBatch], work, side: dict[str, str], args: dict) -> Iterator[pa.RecordBatch]:
-    """Whole chunks from batches that hold one after the other; side: tables in the shared folder with a part per chunk."""
+    """Whole chunks from batches that hold one after the other; side: tables in the shared folder with a part per chunk.
+
+    A work returns a table, or gives tables by turns: what it has given is not held here any more.
+    """
     held: list[pa.RecordBatch] = []
 
     def done() -> Iterator[pa.RecordBatch]:
         if held:
             number = held[0].column("chunk")[0].as_py()
-            yield from work(number, pa.Table.from_batches(held), {k: side_part(path, number) for k, path in side.items()}, **args).to_batches()
+            got = work(number, pa.Table.from_batches(held), {k: side_part(path, number) for k, path in side.items()}, **args)
+            for table in [got] if isinstance(got, pa.Table) else got:
+                yield from table.to_batches()
             held.clear()
 
     for batch in batches:
@@ -271,26 +308,16 @@ class Rolling:
 
     def words(self, data: np.ndarray, offsets: np.ndarray, lower: bool, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, byte starts, byte ends, index of each row's first word, one more at the end)."""
+        s, e, row = word_bounds(data, offsets, gap)
         if not len(data):
-            none = np.zeros(0, np.int64)
-            return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-        inside = ~gap[data]
-        begins, ends = inside.copy(), inside.copy()
-        begins[1:] &= ~inside[:-1]
-        ends[:-1] &= ~inside[1:]
-        at = offsets[1:-1]
-        at = at[at < len(data)]
-        begins[at] = inside[at]
-        at = at[at > 0]
-        ends[at - 1] = inside[at - 1]
-        s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+            return np.zeros(0, np.uint64), s, e, row
         up, down = self.powers(self.base, len(data))
         value = self.table[_LOWER[data] if lower else data]
         value *= up[: len(data)]
         total = np.empty(len(data) + 1, np.uint64)
         total[0] = 0
         np.cumsum(value, out=total[1:])
-        return mixed((total[e] - total[s]) * down[s]), s, e, np.searchsorted(s, offsets)
+        return mixed((total[e] - total[s]) * down[s]), s, e, row
 
     def runs(self, hashes: np.ndarray, n: int) -> np.ndarray:
         """The hash of each n consecutive words, by the first one's index; runs over row bounds are the caller's to drop."""
@@ -304,6 +331,24 @@ class Rolling:
         return mixed((total[n:] - total[:m]) * down[:m])
 
 
+def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(byte starts, byte ends, index of each row's first word, one more at the end) of the words in a block."""
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(offsets), np.int64)
+    inside = ~gap[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    at = offsets[1:-1]
+    at = at[at < len(data)]
+    begins[at] = inside[at]
+    at = at[at > 0]
+    ends[at - 1] = inside[at - 1]
+    s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return s, e, np.searchsorted(s, offsets)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x *= np.uint64(0xBF58476D1CE4E5B9)

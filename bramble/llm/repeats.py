@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Exchange, Rolling, blocks, by_chunk, chunked, side_table, total_chars, ways
+from .common import Exchange, Rolling, blocks, by_chunk, chunked, side_table, tidy_group, total_chars, ways, word_bounds
 
 
 @dataclass(frozen=True)
@@ -69,83 +69,177 @@ def _keys(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
     return (bucket << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
 
 
-def _probe(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int, out: Exchange) -> pa.Table:
+#: Bytes of cells that travel in one batch, about, and values that a bucket's task compares at once.
+_SENT, _AT_ONCE = 1_000_000, 250_000
+
+
+def _cells(of: str, number: int, cells: Iterator[tuple], schema: pa.Schema, out: Exchange) -> Iterator[pa.Table]:
+    """What a chunk or bucket has for others, (other, a few binary values) each, as tables of about _SENT bytes."""
+    held, n = [], 0
+
+    def table() -> pa.Table:
+        columns = dict(zip([out.to, *(x for x, _ in out.fields)], zip(*held, strict=True), strict=True)) | {of: [number] * len(held)}
+        return out.sent(pa.table({x.name: pa.array(columns[x.name], x.type) for x in schema}))
+
+    for cell in cells:
+        held.append(cell)
+        n += sum(len(x) for x in cell[1:])
+        if n >= _SENT:
+            yield table()
+            held, n = [], 0
+    if held:
+        yield table()
+
+
+def _probe(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int, out: Exchange) -> Iterator[pa.Table]:
     """(bucket, chunk, hashes, marks): mark 1: an aligned block is among the occurrences, 2: it occurs more than once."""
-    found, on_block = [], []
+    found = []
     for first, end, data, offsets in blocks(texts.column("text")):
         words, _, _, row = _HASHERS[0].words(data, offsets, lower=False)
         at = np.flatnonzero(_whole(row, len(words), rule.block))
         owner = np.repeat(np.arange(end - first), np.diff(row))[at]
-        found.append(_keys(_HASHERS[0].runs(words, rule.block)[at], n_buckets))
-        on_block.append((at - row[owner]) % rule.block == 0)
-    keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    aligned = np.concatenate(on_block) if on_block else np.zeros(0, bool)
-    # One sort of the keys with the mark below them.
-    both = np.sort((keys << np.uint64(1)) | aligned.astype(np.uint64))
-    keys, aligned = both >> np.uint64(1), (both & np.uint64(1)).astype(np.uint8)
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    starts = np.flatnonzero(new)
-    twice = np.diff(np.append(starts, len(keys))) > 1
-    marks = (np.maximum.reduceat(aligned, starts) if len(starts) else aligned) | (twice.astype(np.uint8) << 1)
-    keys = keys[starts]
-    bucket, begin = np.unique(keys >> np.uint64(32), return_index=True)
-    bounds = np.append(begin, len(keys))
-    low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    part = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-    chunk = pa.array(np.full(len(bucket), number, np.int32))
-    return out.sent(pa.table({"bucket": pa.array(bucket.astype(np.int32)), "chunk": chunk, "hashes": part(low), "marks": part(marks)}))
-
-
+        keys = _keys(_HASHERS[0].runs(words, rule.block)[at], n_buckets)
+        # The mark goes below the key, for one sort of both.
+        found.append((keys << np.uint64(1)) | ((at - row[owner]) % rule.block == 0).astype(np.uint64))
+    both = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    found.clear()
+    both.sort()
+
+    def cells() -> Iterator[tuple]:
+        # A bucket at a time: few of them make no large arrays.
+        bounds = np.searchsorted(both, np.arange(n_buckets + 1, dtype=np.uint64) << np.uint64(33))
+        for bucket in np.flatnonzero(np.diff(bounds)).tolist():
+            own = both[bounds[bucket] : bounds[bucket + 1]]
+            keys, aligned = own >> np.uint64(1), (own & np.uint64(1)).astype(np.uint8)
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            starts = np.flatnonzero(new)
+            twice = np.diff(np.append(starts, len(keys))) > 1
+            marks = np.maximum.reduceat(aligned, starts) | (twice.astype(np.uint8) << 1)
+            yield bucket, keys[starts].astype(np.uint32).tobytes(), marks.tobytes()
+
+    schema = pa.schema({"bucket": pa.int32(), "chunk": pa.int32(), "hashes": pa.binary(), "marks": pa.binary()})
+    yield from _cells("chunk", number, cells(), schema, out)
+
+
+def _slices(parts: list[np.ndarray]) -> Iterator[list[slice]]:
+    """Of ascending arrays, slices for one range of values after the other, of about _AT_ONCE values together."""
+    full = [x for x in parts if len(x)]
+    if not full:
+        return
+    low, high = min(int(x[0]) for x in full), max(int(x[-1]) for x in full)
+    n = -(-sum(len(x) for x in full) // _AT_ONCE)
+    edges = np.array(sorted({low + (high - low) * k // n for k in range(1, n)}), full[0].dtype)
+    at = [[0, *np.searchsorted(x, edges).tolist(), len(x)] for x in parts]
+    for k in range(len(edges) + 1):
+        yield [slice(x[k], x[k + 1]) for x in at]
+
+
+@tidy_group
 def _hits(key, table: pa.Table, into: Exchange, out: Exchange) -> pa.Table:
     """A bucket's hashes with an aligned block that occur more than once, for each chunk that has them."""
     table = into.cells(table)
     parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("hashes")]
-    hashes = np.concatenate(parts)
-    marks = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("marks")])
-    chunks = np.repeat(table.column("chunk").to_numpy(), [len(x) for x in parts])
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    new = np.ones(len(ranked), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    starts = np.flatnonzero(new)
-    sizes = np.diff(np.append(starts, len(ranked)))
-    every = np.bitwise_or.reduceat(marks[order], starts)
-    hit = order[np.repeat(((every & 1) == 1) & (((every & 2) == 2) | (sizes > 1)), sizes)]
-    hit = hit[np.argsort(chunks[hit], kind="stable")]
-    own, starts = np.unique(chunks[hit], return_index=True)
-    bounds = np.append(starts, len(hit))
+    own_marks = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("marks")]
+    of = table.column("chunk").to_numpy()
+    found = [(np.zeros(0, of.dtype), np.zeros(0, np.uint32))]
+    for some in _slices(parts):
+        hashes = np.concatenate([x[i] for x, i in zip(parts, some, strict=True)])
+        marks = np.concatenate([x[i] for x, i in zip(own_marks, some, strict=True)])
+        if not len(hashes):
+            continue
+        chunks = np.repeat(of, [i.stop - i.start for i in some])
+        order = np.argsort(hashes, kind="stable")
+        ranked = hashes[order]
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(ranked)))
+        every = np.bitwise_or.reduceat(marks[order], starts)
+        hit = order[np.repeat(((every & 1) == 1) & (((every & 2) == 2) | (sizes > 1)), sizes)]
+        found.append((chunks[hit], hashes[hit]))
+    chunks, hashes = (np.concatenate([x[i] for x in found]) for i in range(2))
+    order = np.argsort(chunks, kind="stable")
+    own, starts = np.unique(chunks[order], return_index=True)
+    bounds = np.append(starts, len(order))
     bucket = np.uint64(key[0].as_py() << 32)
-    keys = [(hashes[hit[a:b]].astype(np.uint64) | bucket).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    keys = [(hashes[order[a:b]].astype(np.uint64) | bucket).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return out.sent(pa.table({"chunk": pa.array(own, pa.int32()), "bucket": pa.array([key[0].as_py()] * len(own), pa.int32()), "hashes": pa.array(keys, pa.binary())}))
 
 
+@tidy_group
 def _firsts(key, table: pa.Table, into: Exchange, out: Exchange) -> pa.Table:
     """For each chunk that sent hashes to a bucket, a bit for each: whether no chunk before it has that hash."""
     table = into.cells(table).sort_by("chunk")
     pairs = [np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1) for x in table.column("hashes")]
-    h1, h2 = np.concatenate(pairs, axis=1)
-    sizes = [x.shape[1] for x in pairs]
-    chunks = np.repeat(np.arange(len(pairs)), sizes)
-    order = np.lexsort((chunks, h2, h1))
-    first = np.ones(len(order), bool)
-    first[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-    told = np.empty(len(order), bool)
-    told[order] = first
-    bits = [np.packbits(x).tobytes() for x in np.split(told, np.cumsum(sizes)[:-1])]
+    told = [np.empty(x.shape[1], bool) for x in pairs]
+    for some in _slices([x[0] for x in pairs]):
+        h1, h2 = np.concatenate([x[:, i] for x, i in zip(pairs, some, strict=True)], axis=1)
+        sizes = [i.stop - i.start for i in some]
+        order = np.lexsort((np.repeat(np.arange(len(pairs)), sizes), h2, h1))
+        first = np.ones(len(order), bool)
+        first[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+        own = np.empty(len(order), bool)
+        own[order] = first
+        for x, i, y in zip(told, some, np.split(own, np.cumsum(sizes)[:-1]), strict=True):
+            x[i] = y
+    bits = [np.packbits(x).tobytes() for x in told]
     return out.sent(pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())}))
 
 
+class _Windows:
+    """A chunk's candidate windows: for each block of texts their places in it, and the distinct ones' hashes, by bucket.
+
+    places: also which of the distinct ones each candidate is, where it stands, and where each is first in the chunk.
+    """
+
+    def __init__(self, texts: pa.Table, hits: pa.Table | None, rule: Repeats, n_buckets: int, places: bool) -> None:
+        self.blocks: list[np.ndarray] = []
+        one, two, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for own, h1, h2, place in _candidates(texts, hits, rule, n_buckets):
+            one.append(h1)
+            two.append(h2)
+            if places:
+                self.blocks.append(own.astype(np.int32))
+                at.append(place)
+        h1 = np.concatenate(one)
+        one.clear()
+        h2 = np.concatenate(two)
+        two.clear()
+        self.at = np.concatenate(at)
+        at.clear()
+        order = np.lexsort((h2, h1))
+        h1, h2 = h1[order], h2[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        starts = np.flatnonzero(new)
+        self.h1, self.h2 = h1[starts], h2[starts]
+        del h1, h2
+        if places:
+            self.number = np.empty(len(order), np.int32)
+            self.number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+            self.first = np.minimum.reduceat(self.at[order], starts) if len(starts) else self.at
+        bucket = (((self.h1 >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int32)
+        self.bucket, begin = np.unique(bucket, return_index=True)
+        self.bounds = np.append(begin, len(starts))
+
+
 def _candidates(texts: pa.Table, hits: pa.Table | None, rule: Repeats, n_buckets: int) -> Iterator[tuple]:
-    """(rows, bytes, word starts, ends, rows' first words, candidate windows, their rows, two hashes, rows' offsets)."""
+    """(candidate windows' first words in the block, two hashes, document and place in it) for each block of texts."""
     parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in hits.column("hashes")] if hits is not None else []
-    known = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    known = np.concatenate([np.zeros(0, np.uint64), *parts])
+    known.sort()
+    # Rows with equal doc_id and text are one document.
+    ids, copy = texts.column("doc_id"), texts.column("copy").to_numpy()
+    null, ids = np.asarray(ids.is_null()), ids.fill_null(0).to_numpy()
+    other = np.ones(len(ids), bool)
+    other[1:] = (ids[1:] != ids[:-1]) | (null[1:] != null[:-1]) | (copy[1:] != copy[:-1])
+    document = np.cumsum(other)
     n, b = rule.window, rule.block
     for first, end, data, offsets in blocks(texts.column("text")):
-        words, s, e, row = _HASHERS[0].words(data, offsets, lower=False)
-        at = owner = np.zeros(0, np.int64)
-        h1 = h2 = np.zeros(0, np.uint64)
-        if len(known) and len(words) >= n:
+        at, place, h1, h2 = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        words, _, _, row = _HASHERS[0].words(data, offsets, lower=False) if len(known) else (at, at, at, at)
+        if len(words) >= n:
             keys = _keys(_HASHERS[0].runs(words, b), n_buckets)
             near = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
             hit = np.flatnonzero(near & _whole(row, len(words), b))
@@ -159,62 +253,35 @@ def _candidates(texts: pa.Table, hits: pa.Table | None, rule: Repeats, n_buckets
                 owner = np.repeat(np.arange(end - first), np.diff(row))[at]
                 h1 = _HASHERS[0].runs(words, n)[at]
                 h2 = _HASHERS[1].runs(_HASHERS[1].words(data, offsets, lower=False)[0], n)[at]
-        yield first, end, data, s, e, row, at, owner, h1, h2, offsets
-
-
-class _Windows:
-    """A chunk's distinct candidate windows: hashes, by bucket, and where each is first in the chunk."""
-
-    def __init__(self, texts: pa.Table, found: list[tuple], n_buckets: int) -> None:
-        join = lambda i: np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.uint64)
-        h1, h2 = join(8), join(9)
-        # Rows with equal doc_id and text are one document.
-        ids, copy = texts.column("doc_id"), texts.column("copy").to_numpy()
-        null, ids = np.asarray(ids.is_null()), ids.fill_null(0).to_numpy()
-        other = np.ones(len(ids), bool)
-        other[1:] = (ids[1:] != ids[:-1]) | (null[1:] != null[:-1]) | (copy[1:] != copy[:-1])
-        document = np.cumsum(other)
-        owner = np.concatenate([x[0] + x[7] for x in found]) if found else np.zeros(0, np.int64)
-        place = np.concatenate([x[6] - x[5][x[7]] for x in found]) if found else np.zeros(0, np.int64)
-        self.at = (document[owner].astype(np.int64) << 32) | place if len(owner) else np.zeros(0, np.int64)
-        order = np.lexsort((self.at, h2, h1))
-        r1, r2 = h1[order], h2[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])
-        starts = np.flatnonzero(new)
-        self.h1, self.h2 = r1[starts], r2[starts]
-        self.number = np.empty(len(order), np.int64)
-        self.number[order] = np.cumsum(new) - 1
-        self.first = self.at[order][starts]
-        bucket = ((self.h1 >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
-        self.bucket, begin = np.unique(bucket.astype(np.int64), return_index=True)
-        self.bounds = np.append(begin, len(starts))
+                place = (document[first + owner].astype(np.int64) << 32) | (at - row[owner])
+        yield at, h1, h2, place
 
 
 def _got(side: dict, name: str, into: Exchange) -> pa.Table | None:
     return None if side[name] is None else into.cells(side[name])
 
 
-def _send(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int, hits: Exchange, out: Exchange) -> pa.Table:
-    w = _Windows(texts, list(_candidates(texts, _got(side, "hits", hits), rule, n_buckets)), n_buckets)
-    parts = [np.concatenate((w.h1[a:b], w.h2[a:b])).tobytes() for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
-    return out.sent(pa.table({"bucket": pa.array(w.bucket, pa.int32()), "chunk": pa.array(np.full(len(parts), number, np.int32)), "hashes": pa.array(parts, pa.binary())}))
+def _send(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int, hits: Exchange, out: Exchange) -> Iterator[pa.Table]:
+    w = _Windows(texts, _got(side, "hits", hits), rule, n_buckets, places=False)
+    cells = ((k, np.concatenate((w.h1[a:b], w.h2[a:b])).tobytes()) for k, a, b in zip(w.bucket.tolist(), w.bounds[:-1], w.bounds[1:], strict=True))
+    yield from _cells("chunk", number, cells, pa.schema({"bucket": pa.int32(), "chunk": pa.int32(), "hashes": pa.binary()}), out)
 
 
-def _taken_out(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int, hits: Exchange, firsts: Exchange) -> pa.Table:
+def _taken_out(number: int, texts: pa.Table, side: dict, rule: Repeats, n_buckets: int, hits: Exchange, firsts: Exchange) -> Iterator[pa.Table]:
     """Every text without the words under windows that start earlier elsewhere."""
-    found = list(_candidates(texts, _got(side, "hits", hits), rule, n_buckets))
-    w = _Windows(texts, found, n_buckets)
+    w = _Windows(texts, _got(side, "hits", hits), rule, n_buckets, places=True)
     own = np.ones(len(w.first), bool)
     bits = _got(side, "firsts", firsts)
     if bits is not None:
-        for bucket, raw in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True):
+        for bucket, raw in zip(bits.column("bucket").to_pylist(), bits.column("bits"), strict=True):
             k = int(np.searchsorted(w.bucket, bucket))
             a, b = int(w.bounds[k]), int(w.bounds[k + 1])
-            own[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
+            own[a:b] = np.unpackbits(np.frombuffer(raw.as_buffer(), np.uint8), count=b - a).astype(bool)
     earlier = ~(own[w.number] & (w.first[w.number] == w.at))
-    n_words, n_removed, kept, done = [], [], [], 0
-    for first, end, data, s, e, row, at, _owner, _h1, _h2, offsets in found:
+    w.at = w.first = w.number = w.h1 = w.h2 = None
+    done = 0
+    for at, (first, end, data, offsets) in zip(w.blocks, blocks(texts.column("text")), strict=True):
+        s, e, row = word_bounds(data, offsets)
         gone = np.zeros(len(s) + 1, np.int32)
         mark = at[earlier[done : done + len(at)]]
         done += len(at)
@@ -222,6 +289,7 @@ def _taken_out(number: int, texts: pa.Table, side: dict, rule: Repeats, n_bucket
         np.add.at(gone, np.minimum(mark + rule.window, len(s)), -1)
         out = np.cumsum(gone[:-1]) > 0
         raw = data.tobytes()
+        n_words, n_removed, kept = [], [], []
         for k in range(end - first):
             a, b = int(row[k]), int(row[k + 1])
             stay = np.flatnonzero(~out[a:b]) + a
@@ -231,8 +299,9 @@ def _taken_out(number: int, texts: pa.Table, side: dict, rule: Repeats, n_bucket
                 kept.append(_cut_out(raw[offsets[k] : offsets[k + 1]], s[a:b] - offsets[k], e[a:b] - offsets[k], out[a:b]))
             else:
                 kept.append(b" ".join([raw[i:j] for i, j in zip(s[stay].tolist(), e[stay].tolist(), strict=True)]))
-    rest = {"rest": texts.column("rest")} if "rest" in texts.column_names else {}
-    return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).view(pa.string())} | rest)
+        mine = texts.slice(first, end - first)
+        rest = {"rest": mine.column("rest")} if "rest" in texts.column_names else {}
+        yield pa.table({"doc_id": mine.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).view(pa.string())} | rest)
 
 
 def _cut_out(raw: bytes, s: np.ndarray, e: np.ndarray, out: np.ndarray) -> bytes:

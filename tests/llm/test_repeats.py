@@ -1,9 +1,12 @@
 """Removed passages against loops over all windows."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from bramble.llm import repeats
+from bramble.llm import common, repeats
 
 SMALL = dict(chunk_chars=3000, bucket_chars=2000)
 
@@ -73,3 +76,27 @@ def test_ties_and_nulls(spark):
     first = [(1, passage), (1, passage), (2, "y")]
     got = [(x["doc_id"], x["n_removed"]) for x in repeats.without_repeats(spark.createDataFrame(first, "doc_id long, text string")).collect()]
     assert sorted(got) == [(1, 0), (1, 0), (2, 0)]
+
+
+@pytest.mark.parametrize(("work", "most"), [("_probe", 32), ("_taken_out", 8)])
+def test_a_chunk_takes_little_memory_and_leaves_in_small_batches(tmp_path, work, most):
+    """Beside another task and a full JVM: most bytes of arrays a word, and batches of a part of the chunk."""
+    r = np.random.Generator(np.random.PCG64(5))
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 10**6, 500)) for _ in range(2400)]
+    n = len(texts)
+    table = pa.table({"chunk": pa.array([0] * n, pa.int32()), "doc_id": pa.array(range(n), pa.int64()), "text": texts, "copy": pa.array(range(n), pa.int64())})
+    cells = lambda of, to, *fields: common.Exchange(of, to, 4, 4096, fields)
+    hits, firsts = cells("bucket", "chunk", ("hashes", "binary")), cells("bucket", "chunk", ("bits", "binary"))
+    args = {"out": cells("chunk", "bucket", ("hashes", "binary"), ("marks", "binary"))} if work == "_probe" else {"hits": hits, "firsts": firsts}
+    side = {} if work == "_probe" else {"hits": str(tmp_path), "firsts": str(tmp_path)}
+    largest = total = 0
+    tracemalloc.start()
+    try:
+        for batch in common.by_chunk(iter(table.to_batches(max_chunksize=500)), getattr(repeats, work), side, {"rule": repeats.Repeats(), "n_buckets": 4, **args}):
+            largest, total = max(largest, batch.nbytes), total + batch.nbytes
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total > 4_000_000 and largest < 0.5 * total
+    # Besides, a block of text has its own arrays, as large as they are for any chunk.
+    assert peak < most * 500 * n + 40 * common.BLOCK_BYTES, peak / 500 / n
